@@ -207,3 +207,130 @@ def mask_nodes(nodes: DataFrame, ratio: float, epoch: int) -> DataFrame:
     k = F.greatest(F.lit(1), F.floor(F.col("_t") * ratio))
     return (d.withColumn("_r", rank).join(base, [*keys, "_s"])
             .withColumn("masked", F.col("_r") + F.col("_b") <= k).drop("_h", "_s", "_r", "_b", "_t"))
+
+
+# -- pattern queries --------------------------------------------------------
+# Limits are part of these reports; a total order by ids makes them repeatable.
+
+def _pairs(txn: DataFrame) -> DataFrame:
+    return txn.select("customer_id", "merchant_id", "is_fraud", "seq", "transaction_id")
+
+
+def _with_merchant(pairs: DataFrame, txn: DataFrame) -> DataFrame:
+    return pairs.join(merchant_nodes(txn), "merchant_id").select("customer_id", "merchant_id", "mcc", "fraud_rate")
+
+
+_ORDER = ["customer_id", "merchant_id", "seq", "transaction_id"]
+
+
+def overview(txn: DataFrame, limit: int = 40) -> DataFrame:
+    return _with_merchant(_pairs(txn).orderBy(*_ORDER).limit(limit), txn)
+
+
+def hot_merchant_pairs(txn: DataFrame, rate: float = 0.05, limit: int = 60) -> DataFrame:
+    hot = merchant_nodes(txn).filter(F.col("fraud_rate") > rate)
+    return _pairs(txn).join(hot, "merchant_id").orderBy(*_ORDER).limit(limit).select(
+        "customer_id", "merchant_id", "mcc", "fraud_rate")
+
+
+def cards_of_customers(txn: DataFrame, limit: int = 40) -> DataFrame:
+    return txn.select("customer_id", "card_id").distinct().orderBy("customer_id", "card_id").limit(limit)
+
+
+def fraud_edges(txn: DataFrame, limit: int = 50) -> DataFrame:
+    return _with_merchant(_pairs(txn).filter(F.col("is_fraud") == 1).orderBy(*_ORDER).limit(limit), txn)
+
+
+def fraud_web(txn: DataFrame, worst: int = 6, customers: int = 20, limit: int = 70) -> DataFrame:
+    """Worst merchants with fraud, their customers, and those customers' other merchants.
+
+    Every step keeps a short list, so the lists are broadcast to the edges.
+    """
+    nodes = merchant_nodes(txn)
+    top = nodes.filter(F.col("fraud_rate") > 0).orderBy(F.desc("fraud_rate"), "merchant_id").limit(worst)
+    around = _pairs(txn).join(F.broadcast(top.select("merchant_id")), "merchant_id", "left_semi")
+    seeds = around.select("customer_id").distinct().orderBy("customer_id").limit(customers)
+    links = (around.join(F.broadcast(seeds), "customer_id", "left_semi")
+             .select("customer_id", F.col("merchant_id").alias("fraud_merchant")).distinct())
+    hops = _pairs(txn).join(F.broadcast(links), "customer_id").filter(F.col("merchant_id") != F.col("fraud_merchant"))
+    hops = hops.orderBy("customer_id", "fraud_merchant", "merchant_id", "seq", "transaction_id").limit(limit)
+    return hops.join(nodes, "merchant_id").select("customer_id", "fraud_merchant", "merchant_id", "mcc", "fraud_rate")
+
+
+def render(pairs: DataFrame, max_nodes: int = 120, max_edges: int = 200, rate: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a drawing from (customer_id, merchant_id, fraud_rate) pairs."""
+    c = pairs.select(F.concat(F.lit("customer-"), "customer_id").alias("id"), F.lit("customer").alias("type"), "fraud_rate")
+    m = pairs.select(F.concat(F.lit("merchant-"), "merchant_id").alias("id"), F.lit("merchant").alias("type"), "fraud_rate")
+    nodes = (c.unionByName(m).groupBy("id", "type").agg((F.max("fraud_rate") > rate).alias("fraud"))
+             .orderBy("id").limit(max_nodes))
+    e = pairs.select(F.concat(F.lit("customer-"), "customer_id").alias("source"),
+                     F.concat(F.lit("merchant-"), "merchant_id").alias("target"))
+    kept = F.broadcast(nodes.select("id"))
+    e = e.join(kept.withColumnRenamed("id", "source"), "source", "left_semi").join(
+        kept.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes, e.orderBy("source", "target").limit(max_edges)
+
+
+def degrees(txn: DataFrame, id_col: str) -> DataFrame:
+    return txn.groupBy(id_col).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def top_degree(txn: DataFrame, id_col: str, n: int) -> DataFrame:
+    return degrees(txn, id_col).orderBy(F.desc("degree"), id_col).limit(n)
+
+
+def sample_subgraph(txn: DataFrame, max_nodes: int = 120) -> DataFrame:
+    """A connected drawing: busiest customers, their most shared merchants, the
+    customers around those, further merchants, and the customers' cards.
+
+    Rows (node_type, node_id). Caps are thirds and a sixth of `max_nodes`
+    (at least 24), so each intermediate list is short.
+    """
+    seed_n = max(4, min(10, max_nodes // 12))
+    cust_cap, merch_cap, card_cap = max(8, max_nodes // 3), max(8, max_nodes // 3), max(6, max_nodes // 6)
+    p = txn.select("customer_id", "merchant_id")
+    deg = degrees(txn, "merchant_id")
+    seeds = top_degree(txn, "customer_id", seed_n).select("customer_id")
+    first = p.join(F.broadcast(seeds), "customer_id", "left_semi").select("merchant_id").distinct()
+    by_degree = [F.desc("degree"), F.col("merchant_id")]
+    merch = deg.join(F.broadcast(first), "merchant_id", "left_semi").orderBy(*by_degree).limit(merch_cap)
+    merch = merch.withColumn("rank", F.row_number().over(Window.orderBy(*by_degree)))
+    around = (p.join(F.broadcast(merch), "merchant_id").join(F.broadcast(seeds), "customer_id", "left_anti")
+              .groupBy("customer_id").agg(F.min("rank").alias("rank")))
+    more = around.orderBy("rank", "customer_id").limit(cust_cap - seed_n).select("customer_id")
+    cust = seeds.unionByName(more)
+    reach = p.join(F.broadcast(cust), "customer_id", "left_semi").select("merchant_id").distinct()
+    extra = deg.join(reach, "merchant_id", "left_semi").join(F.broadcast(merch.select("merchant_id")), "merchant_id", "left_anti")
+    extra = extra.orderBy(*by_degree).limit(merch_cap)
+    all_merch = (merch.select("merchant_id", "degree", F.lit(0).alias("step"))
+                 .unionByName(extra.select("merchant_id", "degree", F.lit(1).alias("step")))
+                 .orderBy("step", F.desc("degree"), "merchant_id").limit(merch_cap))
+    card = (txn.select("customer_id", "card_id").distinct().join(F.broadcast(cust), "customer_id", "left_semi")
+            .orderBy("customer_id", "card_id").limit(card_cap))
+    return (cust.select(F.lit("customer").alias("node_type"), F.col("customer_id").alias("node_id"))
+            .unionByName(all_merch.select(F.lit("merchant").alias("node_type"), F.col("merchant_id").alias("node_id")))
+            .unionByName(card.select(F.lit("card").alias("node_type"), F.col("card_id").alias("node_id"))))
+
+
+def kept_edges(txn: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Purchase and card edges whose two ends are among the kept nodes (a short list)."""
+    def ids(kind, col):
+        return F.broadcast(nodes.filter(F.col("node_type") == kind).select(F.col("node_id").alias(col)))
+
+    bought = (txn.select("customer_id", "merchant_id").join(ids("customer", "customer_id"), "customer_id", "left_semi")
+              .join(ids("merchant", "merchant_id"), "merchant_id", "left_semi")
+              .select(F.lit("purchased").alias("kind"), F.col("customer_id").alias("src"), F.col("merchant_id").alias("dst")))
+    holds = (txn.select("customer_id", "card_id").distinct().join(ids("customer", "customer_id"), "customer_id", "left_semi")
+             .join(ids("card", "card_id"), "card_id", "left_semi")
+             .select(F.lit("has_card").alias("kind"), F.col("customer_id").alias("src"), F.col("card_id").alias("dst")))
+    return bought.unionByName(holds)
+
+
+def masked_targets(nodes: DataFrame, features: list[str], ratio: float, epoch: int, sentinel: float = -1.0) -> DataFrame:
+    """Long form: what a model sees per feature, and the value to reconstruct where masked."""
+    m = mask_nodes(nodes, ratio, epoch)
+    long = m.select("node_type", "node_id", "bucket_idx", "masked", *features).unpivot(
+        ["node_type", "node_id", "bucket_idx", "masked"], features, "feature", "value")
+    return long.select("node_type", "node_id", "bucket_idx", "feature",
+                       F.when(F.col("masked"), F.lit(sentinel)).otherwise(F.col("value")).alias("shown"),
+                       F.when(F.col("masked"), F.col("value")).alias("target"))

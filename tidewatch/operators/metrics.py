@@ -48,7 +48,8 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "is_frau
     keys = keys or []
     c = pr_curve(df, score, label, keys)
     return c.groupBy(*keys).agg(
-        F.sum(F.col("pos") / F.col("total_pos") * F.col("precision")).alias("average_precision"))
+        F.sum(F.col("pos") / F.when(F.col("total_pos") > 0, F.col("total_pos")) * F.col("precision"))
+        .alias("average_precision"))
 
 
 def best_f1(df: DataFrame, score: str = "score", label: str = "is_fraud") -> DataFrame:

@@ -27,7 +27,8 @@ def _slice_column(df: DataFrame, value: str, keys: list[str], slices: int) -> Da
                  .cast("array<double>").alias("_edges")).collect())
     if not rows:
         return df.withColumn("_slice", F.lit(0))
-    schema = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys) + ", _edges array<double>"
+    types = dict(df.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", _edges array<double>"
     edges = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
     return (df.join(F.broadcast(edges), keys)
             .withColumn("_slice", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges"))

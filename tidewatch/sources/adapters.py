@@ -75,7 +75,7 @@ def score_stream(lines: DataFrame) -> DataFrame:
     micro = (1 + F.floor(cube * 6 / 10) + F.when(F.col("is_fraud") == 1, 250000).otherwise(0)
              + F.when(F.year("event_time") >= 2000, 50000).otherwise(0))
     score = micro / F.lit(1000000.0)
-    return lines.drop("h").withColumn("score", score).withColumn(
+    return lines.withColumn("score", score).drop("h").withColumn(
         "split",
         F.when(F.col("event_time") < F.lit("1999-03-01").cast("timestamp"), "train")
         .when(F.col("event_time") < F.lit("2000-07-01").cast("timestamp"), "val").otherwise("test"),
