@@ -1 +1,230 @@
-"""Registered later."""
+"""Drift statistics, detectors and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch import config as C
+from tidewatch.functions import expr as X
+from tidewatch.operators import drift as D, models as MD, priors
+from tidewatch.plans.aggregates import RANK
+from tidewatch.plans.registry import query
+from tidewatch.plans.sources import AUC_SQL, model_table
+from tidewatch.plans.sqltext import sql
+
+MO = "strftime(event_time, '%Y-%m')"
+
+
+@query("agg_window_stats", sql(
+    f"SELECT {MO} AS month, count(*) AS rows, round(avg(score), 8) AS mean_score, round(stddev_pop(score), 8) AS std_score, round(avg(is_fraud), 8) AS fraud_rate, CAST(sum(is_fraud) AS BIGINT) AS frauds FROM scores GROUP BY 1", "scores"))
+def _(t):
+    w = D.window_stats(t.scores())
+    return w.select("month", "rows", *[F.round(c, 8).alias(c) for c in ("mean_score", "std_score", "fraud_rate")], "frauds")
+
+
+REF = f"""pm AS (SELECT {MO} AS month, count(*) AS n, sum(score) AS s FROM scores WHERE split = 'train' GROUP BY 1 ORDER BY 1 DESC LIMIT 3),
+rf AS (SELECT min(month) AS first_month, count(*) AS months, CAST(sum(n) AS BIGINT) AS ref_rows, sum(s) / sum(n) AS ref_mean, greatest(stddev_pop(s / n), 1e-9) AS ref_std FROM pm)"""
+
+
+@query("agg_reference_stats", sql("SELECT first_month, months, ref_rows, round(ref_mean, 8) AS ref_mean, round(ref_std, 8) AS ref_std FROM rf", "scores", extra=REF))
+def _(t):
+    r = D.reference_stats(t.scores())
+    return r.select("first_month", "months", "ref_rows", F.round("ref_mean", 8).alias("ref_mean"), F.round("ref_std", 8).alias("ref_std"))
+
+
+def psi_sql(ref: str, obs: str, groups: str = "") -> str:
+    """PSI of `obs(x[, groups])` against `ref(x)`."""
+    g = f"{groups}, " if groups else ""
+    part = f"PARTITION BY {groups}" if groups else ""
+    using = f"USING ({g}bin)" if groups else "USING (bin)"
+    return f"""ed AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM ({ref})),
+rh AS (SELECT len([v FOR v IN e IF v <= x]) AS bin, count(*) / (SELECT count(*) FROM ({ref})) AS r FROM ({ref}), ed GROUP BY 1),
+oh AS (SELECT {g}bin, n / sum(n) OVER ({part}) AS o FROM (SELECT {g}len([v FOR v IN e IF v <= x]) AS bin, count(*) AS n FROM ({obs}), ed GROUP BY ALL)),
+ps AS (SELECT {g}sum((greatest(coalesce(o, 0), 1e-6) - greatest(coalesce(r, 0), 1e-6)) * ln(greatest(coalesce(o, 0), 1e-6) / greatest(coalesce(r, 0), 1e-6))) AS psi
+  FROM (SELECT DISTINCT {g}b.bin FROM oh, (SELECT unnest(range(10)) AS bin) b) LEFT JOIN oh {using} LEFT JOIN rh USING (bin) {'GROUP BY ' + groups if groups else ''})"""
+
+
+@query("agg_psi", sql("SELECT round(psi, 6) AS psi FROM ps", "scores", extra=psi_sql(
+    "SELECT score AS x FROM scores WHERE split = 'train'", "SELECT score AS x FROM scores WHERE split = 'test'")))
+def _(t):
+    s = t.scores()
+    ref, obs = s.filter(F.col("split") == "train").select("score"), s.filter(F.col("split") == "test").select("score")
+    edges = D.bin_edges(ref, "score")
+    return D.psi(D.histogram(ref, "score", edges, []), D.histogram(obs, "score", edges, []), []).select(F.round("psi", 6).alias("psi"))
+
+
+@query("agg_mean_shift_z", sql(
+    "SELECT round((avg(score) FILTER (split = 'test') - avg(score) FILTER (split = 'train')) / (stddev_pop(score) FILTER (split = 'train') / sqrt(count(*) FILTER (split = 'test'))), 6) AS z FROM scores", "scores"))
+def _(t):
+    tr, te = F.col("split") == "train", F.col("split") == "test"
+    a = t.scores().agg(F.avg(F.when(tr, F.col("score"))).alias("m"), F.stddev_pop(F.when(tr, F.col("score"))).alias("s"),
+                       F.avg(F.when(te, F.col("score"))).alias("o"), F.count_if(te).alias("n"))
+    return a.select(F.round(D.mean_shift_z("m", "s", "o", "n"), 6).alias("z"))
+
+
+def featured(t):
+    """Calendar features and train-only encodings of every line, with its split."""
+    s = t.scores()
+    p = priors.fit(s.filter(F.col("split") == "train"))
+    return priors.attach(s.select("transaction_id", "split", "merchant_id", "merchant_category_code", *X.calendar_columns()), p)
+
+
+_FEATURES = """fe AS (SELECT split, ln(1 + greatest(amount, 0.0)) AS amount_log1p, round(sin(hour(event_time) * pi() / 12), 12) AS hour_sin, round(cos(hour(event_time) * pi() / 12), 12) AS hour_cos,
+  CASE WHEN isodow(event_time) >= 6 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_weekend, CASE WHEN hour(event_time) <= 5 OR hour(event_time) >= 23 THEN 1.0 ELSE 0.0 END::DOUBLE AS is_night,
+  CASE WHEN payment_channel LIKE 'Swipe%' THEN 1.0 ELSE 0.0 END::DOUBLE AS channel_swipe, CASE WHEN payment_channel LIKE 'Chip%' THEN 1.0 ELSE 0.0 END::DOUBLE AS channel_chip, CASE WHEN payment_channel LIKE 'Online%' THEN 1.0 ELSE 0.0 END::DOUBLE AS channel_online,
+  0.0::DOUBLE AS had_payment_error, coalesce(ms.share, 0.0) AS merch_freq_share, coalesce(mr.rate, (SELECT round_even(avg(is_fraud), 8) FROM scores WHERE split = 'train')) AS merch_fraud_rate_prior, coalesce(cs.share, 0.0) AS mcc_freq_share
+  FROM scores LEFT JOIN (SELECT merchant_id, round_even(avg(is_fraud), 6) AS rate FROM scores WHERE split = 'train' GROUP BY 1) mr USING (merchant_id)
+  LEFT JOIN (SELECT merchant_id, round_even(count(*) / (SELECT count(*) FROM scores WHERE split = 'train'), 8) AS share FROM scores WHERE split = 'train' GROUP BY 1) ms USING (merchant_id)
+  LEFT JOIN (SELECT merchant_category_code, round_even(count(*) / (SELECT count(*) FROM scores WHERE split = 'train'), 8) AS share FROM scores WHERE split = 'train' GROUP BY 1) cs USING (merchant_category_code)),
+un AS (UNPIVOT fe ON """ + ", ".join(C.MONITORED_COLUMNS) + """ INTO NAME feature VALUE x),
+"""
+
+
+def drift_sql(split: str, tag: str = "") -> str:
+    s = f"""ed{tag} AS (SELECT feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e, avg(x) AS rm, stddev_pop(x) AS rs FROM un WHERE split = 'train' GROUP BY 1),
+hh{tag} AS (SELECT feature, split, bin, n / sum(n) OVER (PARTITION BY feature, split) AS share FROM (SELECT feature, split, len([v FOR v IN e IF v <= x]) AS bin, count(*) AS n FROM un JOIN ed{tag} USING (feature) WHERE split IN ('train', '{split}') GROUP BY ALL)),
+pp{tag} AS (SELECT feature, sum((greatest(coalesce(o.share, 0), 1e-6) - greatest(coalesce(r.share, 0), 1e-6)) * ln(greatest(coalesce(o.share, 0), 1e-6) / greatest(coalesce(r.share, 0), 1e-6))) AS psi
+  FROM (SELECT feature, unnest(range(10)) AS bin FROM ed{tag}) LEFT JOIN (SELECT * FROM hh{tag} WHERE split = '{split}') o USING (feature, bin) LEFT JOIN (SELECT * FROM hh{tag} WHERE split = 'train') r USING (feature, bin) GROUP BY 1),
+dt{tag} AS (SELECT feature, rm AS ref_mean, om AS obs_mean, psi, (om - rm) / greatest(rs / sqrt(onn), 1e-9) AS z FROM ed{tag} JOIN pp{tag} USING (feature) JOIN (SELECT feature, avg(x) AS om, count(*) AS onn FROM un WHERE split = '{split}' GROUP BY 1) USING (feature))"""
+    return s
+
+
+def drift_table(t, split):
+    f = featured(t)
+    for c in ("hour_sin", "hour_cos"):
+        f = f.withColumn(c, F.round(c, 12))
+    return D.feature_drift(f.filter(F.col("split") == "train"), f.filter(F.col("split") == split), C.MONITORED_COLUMNS)
+
+
+@query("agg_feature_drift", sql(
+    "SELECT feature, round(ref_mean, 6) AS ref_mean, round(obs_mean, 6) AS obs_mean, round(psi, 6) AS psi, round(z, 4) AS z FROM dt", "scores", extra=_FEATURES + drift_sql("test")))
+def _(t):
+    d = drift_table(t, "test")
+    return d.select("feature", *[F.round(c, 6).alias(c) for c in ("ref_mean", "obs_mean", "psi")], F.round("z", 4).alias("z"))
+
+
+_TRIG = ("SELECT round(least(greatest(avg(psi), 0.0), 2.0), 4) AS score, count(*) AS n_features, count(*) FILTER (psi > 0.25 OR abs(z) > 3) AS n_culprits, "
+         "CASE WHEN count(*) FILTER (psi > 0.25 OR abs(z) > 3) > 0 THEN 'YES' ELSE 'NO' END AS trigger, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (psi > 0.25 OR abs(z) > 3), '') AS culprits FROM {t}")
+
+
+@query("agg_retrain_trigger", sql(_TRIG.format(t="dt"), "scores", extra=_FEATURES + drift_sql("test")))
+def _(t):
+    r = D.retrain_trigger(drift_table(t, "test"))
+    return r.select("score", "n_features", F.col("n_culprits").cast("long").alias("n_culprits"), "trigger", F.array_join("culprits", ",").alias("culprits"))
+
+
+@query("agg_drift_union", sql(
+    "SELECT max(trigger) AS trigger, max(score) AS score, CAST(sum(n_culprits) AS BIGINT) AS n_culprits, (SELECT coalesce(string_agg(feature, ',' ORDER BY feature), '') FROM (SELECT DISTINCT feature FROM (SELECT * FROM dt1 UNION ALL SELECT * FROM dt2) WHERE psi > 0.25 OR abs(z) > 3)) AS culprits "
+    "FROM (" + _TRIG.format(t="dt1") + " UNION ALL " + _TRIG.format(t="dt2") + ")", "scores", extra=_FEATURES + drift_sql("val", "1") + ",\n" + drift_sql("test", "2")))
+def _(t):
+    both = D.retrain_trigger(drift_table(t, "val")).unionByName(D.retrain_trigger(drift_table(t, "test")))
+    m = D.merge_triggers(both)
+    return m.select("trigger", "score", "n_culprits", F.array_join("culprits", ",").alias("culprits"))
+
+
+@query("agg_retrain_belief", sql(
+    "SELECT round(belief, 6) AS belief, round(peak, 4) AS peak_z, CASE WHEN peak > 3 OR belief > 0.5 THEN 'YES' ELSE 'NO' END AS recommend FROM "
+    "(SELECT coalesce(avg(CASE WHEN seq % 3 = 0 THEN CAST(amount > 20 AS INTEGER) END), 0.5) AS belief FROM txn), (SELECT max(abs(z)) AS peak FROM dt)", "txn", "scores", extra=_FEATURES + drift_sql("test")))
+def _(t):
+    memory = t.txn().select(F.when(F.col("seq") % 3 == 0, (F.col("amount") > 20).cast("int")).alias("outcome"))
+    b = D.retrain_belief(memory, drift_table(t, "test"))
+    return b.select(F.round("belief", 6).alias("belief"), F.round("peak_z", 4).alias("peak_z"), "recommend")
+
+
+# -- folds ------------------------------------------------------------------
+
+SERIES = REF + f""",
+wk AS (SELECT {MO} AS month, count(*) AS rows, avg(score) AS x FROM scores WHERE split <> 'train' GROUP BY 1),
+wi AS (SELECT *, row_number() OVER (ORDER BY month) AS i FROM wk),
+ew AS (SELECT i, month, x, x AS e FROM wi WHERE i = 1 UNION ALL SELECT w.i, w.month, w.x, 0.5 * w.x + 0.5 * ew.e FROM ew JOIN wi w ON w.i = ew.i + 1),
+cz AS (SELECT i, month, (x - ref_mean) / ref_std AS z FROM wi, rf),
+c0 AS (SELECT i, month, greatest(0.0, z - 0.5) AS p, greatest(0.0, -z - 0.5) AS q FROM cz WHERE i = 1),
+cu AS (SELECT i, month, CASE WHEN p > 5 OR q > 5 THEN 0.0 ELSE p END AS p, CASE WHEN p > 5 OR q > 5 THEN 0.0 ELSE q END AS q, p > 5 OR q > 5 AS fired FROM c0
+  UNION ALL SELECT i, month, CASE WHEN p2 > 5 OR q2 > 5 THEN 0.0 ELSE p2 END, CASE WHEN p2 > 5 OR q2 > 5 THEN 0.0 ELSE q2 END, p2 > 5 OR q2 > 5 FROM
+  (SELECT cz.i, cz.month, greatest(0.0, cu.p + cz.z - 0.5) AS p2, greatest(0.0, cu.q - cz.z - 0.5) AS q2 FROM cu JOIN cz ON cz.i = cu.i + 1)),
+lgt AS (SELECT split, {MO} AS month, ln(least(greatest(score, 1e-6), 1.0 - 1e-6) / (1.0 - least(greatest(score, 1e-6), 1.0 - 1e-6))) AS x FROM scores)"""
+
+
+def walk_series(t):
+    s = t.scores().filter(F.col("split") != "train")
+    return D.ordered_series(D.window_stats(s), "month", "mean_score")
+
+
+@query("win_ewma", sql("SELECT month, round(e, 8) AS ewma FROM ew", "scores", recursive=True, extra=SERIES))
+def _(t):
+    s = walk_series(t)
+    return s.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("month"), D.ewma(F.col("s"), 3.0).alias("e"))).alias("f")).select(
+        "f.month", F.round("f.e", 8).alias("ewma"))
+
+
+@query("win_cusum", sql("SELECT month, round(greatest(p, q), 6) AS chart, fired FROM cu", "scores", recursive=True, extra=SERIES))
+def _(t):
+    s = walk_series(t).join(F.broadcast(D.reference_stats(t.scores())))
+    c = s.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("month"),
+                                        D.cusum(F.col("s"), F.col("ref_mean"), F.col("ref_std")).alias("c"))).alias("f"))
+    return c.select("f.month", F.round("f.c.chart", 6).alias("chart"), F.col("f.c.fired").alias("fired"))
+
+
+_PSI_M = psi_sql("SELECT x FROM lgt, rf WHERE split = 'train' AND month >= first_month", "SELECT month, x FROM lgt WHERE split <> 'train'", "month")
+
+
+@query("win_monitor_report", sql(
+    "SELECT month, rows, round(wi.x, 8) AS mean_score, round((wi.x - ref_mean) / ref_std, 6) AS z_mean_score, round(psi, 6) AS psi, round(e, 8) AS ewma_mean_score, round(greatest(p, q), 6) AS cusum_stat "
+    "FROM wi JOIN ew USING (month) JOIN cu USING (month) JOIN ps USING (month), rf", "scores", recursive=True, extra=SERIES + ",\n" + _PSI_M))
+def _(t):
+    r = D.monitor_report(t.scores())
+    return r.select("month", "rows", F.round("mean_score", 8).alias("mean_score"), F.round("z_mean_score", 6).alias("z_mean_score"),
+                    F.round("psi", 6).alias("psi"), F.round("ewma_mean_score", 8).alias("ewma_mean_score"), F.round("cusum_stat", 6).alias("cusum_stat"))
+
+
+@query("win_first_alert", sql(
+    "SELECT (SELECT min(month) FROM cu WHERE fired) AS cusum_first_alert_month, (SELECT min(month) FROM ps WHERE psi > 0.25) AS psi_first_alert_month", "scores", recursive=True, extra=SERIES + ",\n" + _PSI_M))
+def _(t):
+    return D.first_alerts(D.monitor_report(t.scores()))
+
+
+# Levels per month over all splits, for the sequential detectors.
+LEVEL = f"""lv AS (SELECT {MO} AS month, avg(score) AS x FROM scores GROUP BY 1),
+li AS (SELECT *, row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS n FROM lv),
+wm AS (SELECT avg(x) AS baseline, greatest(stddev_pop(x), 1e-6) AS sd FROM li WHERE i <= greatest(2, n // 16)),
+ca AS (SELECT baseline, greatest(2.0 * sd, baseline * 0.25) AS delta, 6.0 * sd AS lamb FROM wm),
+ph AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS s, 0.0::DOUBLE AS lo, false AS fired
+  UNION ALL SELECT i, CASE WHEN t - least(lo, t) > lamb THEN 0.0 ELSE t END, CASE WHEN t - least(lo, t) > lamb THEN 0.0 ELSE least(lo, t) END, t - least(lo, t) > lamb FROM
+  (SELECT li.i, ph.s + (li.x - baseline - delta) AS t, ph.lo, lamb FROM ph JOIN li ON li.i = ph.i + 1, ca))"""
+
+
+def levels(t):
+    return D.window_stats(t.scores())
+
+
+@query("win_drift_calibrate", sql("SELECT round(baseline, 8) AS baseline, round(delta, 8) AS delta, round(lamb, 8) AS lamb FROM ca", "scores", recursive=True, extra=LEVEL))
+def _(t):
+    c = D.calibrate_detector(F.col("s"))
+    s = D.ordered_series(levels(t), "month", "mean_score")
+    return s.select(*[F.round(c[n], 8).alias(n) for n in ("baseline", "delta", "lamb")])
+
+
+@query("win_page_hinkley", sql("SELECT month, fired FROM ph JOIN li USING (i)", "scores", recursive=True, extra=LEVEL))
+def _(t):
+    s = D.ordered_series(levels(t), "month", "mean_score")
+    c = D.calibrate_detector(F.col("s"))
+    f = D.page_hinkley(F.col("s"), c["baseline"], c["delta"], c["lamb"])
+    return s.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("month"), f.alias("fired"))).alias("f")).select("f.month", "f.fired")
+
+
+@query("win_adwin")
+def _(t):
+    """Adaptive windows over the monthly level of every category code."""
+    m = t.scores().groupBy("merchant_category_code", X.month_label("event_time").alias("month")).agg(
+        (F.avg("score") * 8).alias("level"))
+    s = D.ordered_series(m, "month", "level", ["merchant_category_code"])
+    return D.adwin(s, ["merchant_category_code"])
+
+
+@query("win_auto_switch", sql(
+    "SELECT (SELECT min(i) - 1 FROM ph WHERE fired) AS page_hinkley_at, (SELECT min(i) FROM ph WHERE fired) IS NOT NULL AS triggered, CASE WHEN (SELECT min(i) FROM ph WHERE fired) IS NOT NULL THEN (SELECT name FROM rn WHERE rank = 1) END AS to_model, round((SELECT baseline FROM ca), 8) AS baseline",
+    "scores", recursive=True, extra=LEVEL + ",\n" + AUC_SQL + ",\n" + RANK))
+def _(t):
+    models = model_table(t).withColumn("action_counts", F.lit(None).cast("map<string,bigint>"))
+    d = D.auto_switch(levels(t), "month", "mean_score", MD.rank_candidates(models, "c3"), "c3")
+    return d.select(F.col("page_hinkley_at").cast("long").alias("page_hinkley_at"), "triggered", "to_model", F.round("baseline", 8).alias("baseline"))

@@ -122,8 +122,8 @@ def _(t):
 
 def node_sql(idc, partner, kind):
     return ("SELECT '" + kind + "' AS node_type, r.id AS node_id, bucket_idx, round(ln(1 + coalesce(n, 0)), 6) AS log_n, round(ln(1 + greatest(coalesce(amt, 0), 0)), 6) AS log_amount, "
-            "round(ln(1 + coalesce(extra, 0)), 6) AS log_extra, round(coalesce(least(fraud / n, 1.0), 0.0), 6) AS fraud_rate, round(ln(1 + coalesce(fraud, 0)), 6) AS log_frauds, "
-            "round(ln(1 + coalesce(amt / n, 0)), 6) AS log_avg_amount, round(coalesce(least(extra / n, 1.0), 0.0), 6) AS partner_density, round(ln(1 + coalesce(amt / months, 0)), 6) AS log_velocity "
+            "round(ln(1 + coalesce(extra, 0)), 6) AS log_extra, round(CASE WHEN n > 0 THEN least(fraud / n, 1.0) ELSE 0.0 END, 6) AS fraud_rate, round(ln(1 + coalesce(fraud, 0)), 6) AS log_frauds, "
+            "round(ln(1 + coalesce(amt / n, 0)), 6) AS log_avg_amount, round(CASE WHEN n > 0 THEN least(extra / n, 1.0) ELSE 0.0 END, 6) AS partner_density, round(ln(1 + coalesce(amt / months, 0)), 6) AS log_velocity "
             f"FROM (SELECT DISTINCT {idc} AS id FROM lines) r CROSS JOIN cuts LEFT JOIN hi USING (id, bucket_idx)")
 
 

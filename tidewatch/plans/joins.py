@@ -184,11 +184,11 @@ def _(t):
 
 @query("jn_dedupe_anti", sql(
     "SELECT DISTINCT strftime(event_time, '%Y-%m-%d') AS day, fail_type AS reason FROM epi WHERE fail_type IS NOT NULL AND (strftime(event_time, '%Y-%m-%d'), fail_type) NOT IN "
-    "(SELECT strftime(event_time, '%Y-%m-%d'), fail_type FROM epi WHERE fail_type IS NOT NULL AND model_version = 'online-v2')", "epi"))
+    "(SELECT strftime(event_time, '%Y-%m-%d'), fail_type FROM epi WHERE fail_type IS NOT NULL AND event_time < TIMESTAMP '2024-01-20')", "epi"))
 def _(t):
     e = t.episodes().filter(F.col("fail_type").isNotNull()).select(
         F.substring("feedback_at", 1, 10).alias("day"), F.col("fail_type").alias("reason"), "model_version")
-    return files.append_new(e.filter(F.col("model_version") == "online-v2"), e, ["day", "reason"]).select("day", "reason")
+    return files.append_new(e.filter(F.col("day") < "2024-01-20"), e, ["day", "reason"]).select("day", "reason")
 
 
 GENE_SQL = """sig AS (SELECT *, substr(md5(regexp_replace(lower(error_text), '[0-9]+', 'N', 'g')), 1, 16) AS signature FROM rep),
