@@ -1 +1,238 @@
-"""Registered later."""
+"""Streaming queries: each runs a stream to the end of its input and reads its output."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch import config as C
+from tidewatch.functions import expr as X
+from tidewatch.operators import asof, audit, memory as MEM, velocity as V
+from tidewatch.operators.velocity import velocity_features
+from tidewatch.plans.joins import merchant_overrides
+from tidewatch.plans.memory import LEDGER
+from tidewatch.plans.registry import query
+from tidewatch.plans.sqltext import sql
+from tidewatch.plans.windows import COUNTS, REPLAY, _select, velocity_sql
+from tidewatch.session import scratch_path
+from tidewatch.sources import adapters as A
+from tidewatch.streaming import batches as B, state as S
+
+ID = "transaction_id"
+NAMES = C.velocity_feature_names()
+NOON = "2024-01-15"
+
+
+def staged(t, order=("early", "late"), twice: bool = False) -> str:
+    """The whole event table as files that arrive one after the other."""
+    path = scratch_path(t.spark, "arrivals")
+    e = t.raw("events")
+    early = F.col("ts") < F.lit(NOON).cast("timestamp_ntz")
+    for part in order:
+        for _ in range(2 if twice else 1):
+            e.filter(early if part == "early" else ~early).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def stateful(t, order=("early", "late"), ttl: int | None = None):
+    stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=1), ttl_seconds=ttl)
+    return t.spark.read.parquet(B.run_available(stream, "entity-features"))
+
+
+@query("st_velocity", sql(velocity_sql("txn"), "txn"))
+def _(t):
+    return S.widen(stateful(t)).select(ID, *NAMES)
+
+
+_PRIORS = C.prior_feature_names()
+
+
+@query("st_priors", sql(_select(REPLAY, _PRIORS, "txn"), "txn"))
+def _(t):
+    w = S.widen(stateful(t))
+    return w.select(ID, *[F.round(c, 6).alias(c) if c.endswith("_log") else F.col(c) for c in _PRIORS])
+
+
+@query("st_trim", sql(
+    "SELECT ent, eid, count(*) AS kept FROM (" + " UNION ALL ".join(
+        f"SELECT '{e.name}' AS ent, {e.id_col} AS eid, us, max(us) OVER (PARTITION BY {e.id_col}) AS newest FROM txn WHERE {e.id_col} IS NOT NULL" for e in C.CATALOGUE)
+    + ") WHERE us >= newest - 604800000000 GROUP BY 1, 2", "txn"))
+def _(t):
+    """Events each entity's state still holds after the last micro-batch."""
+    rows = stateful(t)
+    return rows.groupBy("ent", "eid").agg(F.max_by("kept", "n_all").cast("long").alias("kept"))
+
+
+@query("st_ttl", sql("SELECT transaction_id, cust_v_1h_count, cust_v_7d_count FROM (" + velocity_sql("txn", (C.CATALOGUE[0],)) + ")", "txn"))
+def _(t):
+    """The same features with expiring state (longest window plus an hour)."""
+    ttl = max(C.WINDOW_SECONDS.values()) + 3600
+    return S.widen(stateful(t, ttl=ttl)).select(ID, "cust_v_1h_count", "cust_v_7d_count")
+
+
+@query("st_late", sql(
+    "SELECT a.transaction_id, CAST(count(b.seq) AS DOUBLE) AS cust_v_24h_count, coalesce(CAST(sum(CAST(round(b.amount * 10000) AS BIGINT)) AS BIGINT), 0) / 10000.0::DOUBLE AS cust_v_24h_amount, "
+    "CAST(count(DISTINCT b.merchant_id) AS DOUBLE) AS cust_v_24h_distinct_merchants FROM txn a LEFT JOIN txn b ON a.customer_id = b.customer_id "
+    f"AND b.us BETWEEN a.us - 86400000000 AND a.us AND (b.us, b.seq) < (a.us, a.seq) AND (a.event_time < TIMESTAMP '{NOON}' OR b.event_time >= TIMESTAMP '{NOON}') GROUP BY 1", "txn"))
+def _(t):
+    """The first half arrives after the second: late rows read nothing newer, none is dropped."""
+    w = S.widen(stateful(t, order=("late", "early")))
+    return w.select(ID, "cust_v_24h_count", "cust_v_24h_amount", "cust_v_24h_distinct_merchants")
+
+
+@query("st_missing_entity", sql(
+    "SELECT transaction_id, device_v_24h_count, device_v_7d_amount FROM (" + velocity_sql("txn", (C.CATALOGUE[3],)) + ")", "txn"))
+def _(t):
+    """Events without a device get null device features, not zeros."""
+    return S.widen(stateful(t)).select(ID, "device_v_24h_count", "device_v_7d_amount")
+
+
+@query("st_idempotent", sql("SELECT transaction_id, customer_id, amount FROM txn", "txn"))
+def _(t):
+    """Every event arrives twice; each transaction id passes once."""
+    s = B.event_stream(t.spark, staged(t, twice=True), files_per_batch=1)
+    once = s.withWatermark("event_time", "60 days").dropDuplicatesWithinWatermark([ID])
+    return t.spark.read.parquet(B.run_available(once.select(ID, "customer_id", "amount", "event_time"), "once")).drop("event_time")
+
+
+@query("st_snapshot", sql(
+    "SELECT customer_id, count(*) FILTER (us > mx - 3600000000) AS n_1h, count(*) FILTER (us >= mx - 604800000000) AS n_7d, round(coalesce(sum(amount) FILTER (us >= mx - 604800000000), 0), 2) AS a_7d, "
+    "count(*) AS prior_count, max(us) AS prior_at FROM (SELECT *, max(us) OVER () AS mx FROM txn) GROUP BY 1", "txn"))
+def _(t):
+    """Every customer's windows and priors at the time of the newest event."""
+    d = t.txn().withColumn("us", X.micros("event_time"))
+    newest = d.agg(F.max("us").alias("mx"))
+    inside = lambda s: F.col("us") >= F.col("mx") - s * 1_000_000
+    return d.join(F.broadcast(newest)).groupBy("customer_id").agg(
+        F.count_if(inside(3600)).alias("n_1h"), F.count_if(inside(604800)).alias("n_7d"),
+        F.round(F.coalesce(F.sum(F.when(inside(604800), F.col("amount"))), F.lit(0.0)), 2).alias("a_7d"),
+        F.count(F.lit(1)).alias("prior_count"), F.max("us").alias("prior_at"))
+
+
+@query("st_health", sql("SELECT true AS healthy, count(*) AS observations, 2::BIGINT AS batches FROM txn", "txn"))
+def _(t):
+    """Progress of a finished stream as a row: batches and observations."""
+    out = scratch_path(t.spark, "health")
+    q = B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1).select(ID),
+                      lambda df, i: B.write_batch(df, out, i), "health")
+    progress = [(int(p["batchId"]), int(p["numInputRows"])) for p in q.recentProgress if p["numInputRows"]]
+    p = t.spark.createDataFrame(progress, "batch long, rows long")
+    return p.agg((F.sum("rows") >= 0).alias("healthy"), F.sum("rows").alias("observations"), F.count(F.lit(1)).alias("batches"))
+
+
+@query("st_replay", sql("SELECT transaction_id, cust_v_7d_count, cust_v_7d_distinct_merchants, merch_v_24h_count FROM (" + velocity_sql("txn", C.CATALOGUE[:3]) + ")", "txn"))
+def _(t):
+    """A historical table replayed through the micro-batch sweep."""
+    hist, out = scratch_path(t.spark, "history"), scratch_path(t.spark, "replayed")
+
+    def step(df, i):
+        old = B.read_batches(t.spark, hist, before=i)
+        B.write_batch(B.sweep_batch(old, df), out, i)
+        B.write_batch(df, hist, i)
+
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1), step, "replay")
+    return t.spark.read.parquet(out).select(ID, "cust_v_7d_count", "cust_v_7d_distinct_merchants", "merch_v_24h_count")
+
+
+@query("st_parity", sql(
+    "SELECT count(*) AS rows_compared, c AS \"column\", 0.0::DOUBLE AS max_abs_diff, true AS exact_match FROM txn, (VALUES "
+    + ", ".join(f"('{c}')" for c in NAMES + _PRIORS) + ") v(c) GROUP BY c", "txn"))
+def _(t):
+    """Stream state against the batch sweep, for every feature."""
+    p = asof.parity_report(S.widen(stateful(t)), velocity_features(t.txn()), ID, NAMES + _PRIORS)
+    return p.withColumn("max_abs_diff", F.round("max_abs_diff", 9))
+
+
+# -- scoring path -----------------------------------------------------------
+
+_COLD = ("greatest(CASE WHEN ln(1 + amount) >= 6 THEN 0.7 ELSE 0 END, CASE WHEN hour(event_time) <= 5 OR hour(event_time) >= 23 THEN 0.45 ELSE 0 END, "
+         "CASE WHEN payment_channel <> 'Chip Transaction' THEN 0.5 ELSE 0 END, CASE WHEN payment_error IS NOT NULL THEN 0.6 ELSE 0 END)::DOUBLE")
+SCORED = ("pc AS (" + _select(REPLAY, COUNTS, "txn") + "),\n"
+          "sc AS (SELECT dec.*, least(cust_txn_count_prior, card_txn_count_prior, merch_txn_count_prior) < 5 AS cold, CASE WHEN seq % 29 <> 0 THEN fraud_probability END AS p, " + _COLD + " AS rule FROM dec JOIN pc USING (transaction_id)),\n"
+          "so AS (SELECT *, CASE WHEN cold THEN CASE WHEN rule >= 0.6 THEN 'hold' WHEN rule >= 0.4 THEN 'review' ELSE 'allow' END WHEN p IS NULL THEN 'review' WHEN p >= 0.55 THEN 'hold' WHEN p >= 0.25 THEN 'review' ELSE 'allow' END AS act, "
+          "CASE WHEN cold THEN 'decision.cold_start' WHEN p IS NULL THEN 'decision.review_failsafe' ELSE 'decision.scored' END AS et FROM sc)")
+
+
+def score_stream(t) -> str:
+    """Velocity state, then cold-start rules or the model, then decision rows per batch."""
+    out, feats = scratch_path(t.spark, "decisions"), scratch_path(t.spark, "features")
+    path = staged(t)
+    B.run_batches(S.entity_features(B.event_stream(t.spark, path, files_per_batch=1)),
+                  lambda df, i: B.write_batch(S.widen(df), feats, i), "features")
+    features = t.spark.read.parquet(feats).drop("batch")
+
+    def step(df, i):
+        base = A.decisions(df)
+        p = F.when(F.col("seq") % 29 != 0, F.col("fraud_probability"))  # every 29th score fails
+        rows = base.select(ID, "seq", "event_time", "amount", "merchant_id", p.alias("p"), *X.calendar_columns()).join(features, ID)
+        B.write_batch(B.decide(rows, 0.55, 0.25, F.col("p")), out, i)
+
+    B.run_batches(B.event_stream(t.spark, path, files_per_batch=1), step, "score")
+    return out
+
+
+@query("st_score", sql("SELECT transaction_id, cold AS is_cold_start, CASE WHEN cold THEN rule ELSE p END AS fraud_probability, act AS action, "
+                       "CASE act WHEN 'allow' THEN 'APPROVE' WHEN 'review' THEN 'REQUEST_STEP_UP' ELSE 'DECLINE' END AS security_action FROM so", "dec", extra=SCORED))
+def _(t):
+    d = t.spark.read.parquet(score_stream(t))
+    return d.select(ID, "is_cold_start", "fraud_probability", "action", "security_action")
+
+
+@query("st_failsafe", sql("SELECT et AS event_type, act AS action, count(*) AS n FROM so GROUP BY 1, 2", "dec", extra=SCORED))
+def _(t):
+    """No event is lost: rows without a score become review."""
+    return t.spark.read.parquet(score_stream(t)).groupBy("event_type", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("st_audit", sql("SELECT seq, hash, prev_hash FROM led", "dec", extra=LEDGER))
+def _(t):
+    """Decisions appended to the ledger batch by batch, chained across batches."""
+    root = scratch_path(t.spark, "ledger")
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1),
+                  lambda df, i: B.append_ledger(t.spark, audit.from_decisions(A.decisions(df)), root, i), "ledger")
+    return t.spark.read.parquet(root).select("seq", "hash", "prev_hash")
+
+
+@query("st_feedback", sql("SELECT transaction_id, action, outcome, fail_type FROM epi", "epi"))
+def _(t):
+    path = staged(t)
+    dec = A.decisions(B.event_stream(t.spark, path)).select(ID, "event_time", "action")
+    fb = A.decisions(B.event_stream(t.spark, path)).select(
+        F.col(ID), (F.col("event_time") + F.expr("INTERVAL 2 HOURS")).alias("feedback_time"), "outcome")
+    j = B.feedback_join(dec, fb).select(F.col(f"d.{ID}"), "action", "outcome", "feedback_time")
+    out = t.spark.read.parquet(B.run_available(j, "feedback"))
+    return out.select(ID, "action", "outcome", X.fail_type("action", "outcome").alias("fail_type"))
+
+
+_OVER = """adj AS (SELECT merchant_id, strftime(event_time, '%Y-%m-%d') AS cycle, max(CASE WHEN fail_type = 'missed_fraud' THEN 1 ELSE 0 END) = 1 AS tight FROM epi WHERE fail_type IS NOT NULL GROUP BY 1, 2),
+adjn AS (SELECT merchant_id, cycle, CASE WHEN tight THEN 1.25 ELSE 0.8 END::DOUBLE AS factor, row_number() OVER (PARTITION BY merchant_id ORDER BY cycle) - 1 AS i FROM adj),
+walk AS (SELECT merchant_id, i, least(greatest(round_even(0.55::DOUBLE * factor, 8), 1e-8), 0.999999) AS new_hold FROM adjn WHERE i = 0
+  UNION ALL SELECT a.merchant_id, a.i, least(greatest(round_even(w.new_hold * a.factor, 8), 1e-8), 0.999999) FROM walk w JOIN adjn a ON a.merchant_id = w.merchant_id AND a.i = w.i + 1)"""
+
+
+@query("st_overrides", sql(
+    "SELECT transaction_id, CASE WHEN h IS NULL THEN 'base' ELSE 'merchant' END AS threshold_source, CASE WHEN fraud_probability >= coalesce(h, 0.55) THEN 'hold' WHEN fraud_probability >= 0.25 THEN 'review' ELSE 'allow' END AS final_action "
+    "FROM dec LEFT JOIN (SELECT merchant_id, max_by(new_hold, i) AS h FROM walk GROUP BY 1) USING (merchant_id)", "epi", recursive=True, extra=_OVER))
+def _(t):
+    """The threshold table is read again for every micro-batch."""
+    thresholds, out = scratch_path(t.spark, "thresholds"), scratch_path(t.spark, "final")
+    merchant_overrides(t).write.parquet(thresholds)
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1), lambda df, i: B.write_batch(
+        B.apply_current_overrides(A.decisions(df), thresholds, 0.55, 0.25).select(ID, "threshold_source", "final_action"), out, i), "overrides")
+    return t.spark.read.parquet(out).drop("batch")
+
+
+@query("st_tumbling", sql("SELECT strftime(event_time, '%Y-%m-%d') AS day, action, count(*) AS n, round(sum(amount), 2) AS amount FROM dec GROUP BY 1, 2", "dec"))
+def _(t):
+    """Daily windows, kept up to date batch by batch."""
+    out = scratch_path(t.spark, "daily")
+    d = A.decisions(B.event_stream(t.spark, staged(t), files_per_batch=1)).withWatermark("event_time", "1 day")
+    daily = d.groupBy(F.window("event_time", "1 day"), "action").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    B.run_batches(daily, lambda df, i: df.write.mode("overwrite").parquet(out), "daily", mode="complete")
+    r = t.spark.read.parquet(out)
+    return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "n", F.round("amount", 2).alias("amount"))
+
+
+@query("st_sliding", sql("SELECT transaction_id, card_v_1h_count, card_v_24h_amount, card_v_7d_count FROM (" + velocity_sql("txn", (C.CATALOGUE[1],)) + ")", "txn"))
+def _(t):
+    """Per-event 1 h, 24 h and 7 d windows of cards."""
+    return S.widen(stateful(t)).select(ID, "card_v_1h_count", "card_v_24h_amount", "card_v_7d_count")
