@@ -1 +1,82 @@
-"""Registered later."""
+"""Learned scoring: models fitted on the train part, results for all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch import config as C
+from tidewatch.functions import expr as X
+from tidewatch.operators import learned as L, metrics as M, priors, velocity as V
+from tidewatch.plans.registry import query
+from tidewatch.sources import cards
+
+ID = "transaction_id"
+ONLINE = C.ONLINE_COLUMNS
+FULL = C.FULL_COLUMNS
+
+
+def featured(t, history: bool = False):
+    """Online (or full) features of every event, with split and label."""
+    d = cards.with_split(t.txn(), cards.split_bounds(t.txn()))
+    p = priors.fit(d.filter(F.col("split") == "train"))
+    base = d.select(ID, "split", "is_fraud", "merchant_id", "merchant_category_code", *X.calendar_columns())
+    out = priors.attach(base, p)
+    return priors.join_velocity(out, V.history_features(t.txn())) if history else out
+
+
+def fitted(t, columns, frame):
+    # Every pass of the fit reads the frame again, so it is kept for the fit.
+    train = frame.filter(F.col("split") == "train").persist()
+    try:
+        return L.train_gbt(train, columns, trees=10, depth=4)
+    finally:
+        train.unpersist()
+
+
+@query("ml_train_gbt")
+def _(t):
+    """Trees on the full feature set: importance per feature (value and null part)."""
+    f = featured(t, history=True)
+    model, weight = fitted(t, FULL, f)
+    imp = model.featureImportances.toArray().tolist()
+    n = len(FULL)
+    rows = [(c, float(imp[i] + imp[i + n]), weight) for i, c in enumerate(FULL)]
+    return t.spark.createDataFrame(rows, "feature string, importance double, scale_pos_weight double")
+
+
+@query("ml_score")
+def _(t):
+    f = featured(t)
+    model, weight = fitted(t, ONLINE, f)
+    return L.score(model, weight, f, ONLINE, 0.05, 0.02).select(ID, "split", "fraud_probability", "action")
+
+
+@query("ml_stack")
+def _(t):
+    """Stacked signals: validation and test metrics of the stacker."""
+    s = t.scores().withColumn("noise", (F.col("seq") % 101) / F.lit(101.0)).withColumn(
+        "anomaly", F.log1p("amount")).withColumn("is_fraud", F.col("is_fraud").cast("double"))
+    cols = ["score", "noise", "anomaly"]
+    train = s.filter(F.col("split") == "train").select(*cols, "is_fraud").persist()
+    try:
+        model = L.stack(train, cols, raw_signals=("anomaly",))
+    finally:
+        train.unpersist()
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(s.select(ID, "split", *cols, "is_fraud")).withColumn("stacked", vector_to_array("probability")[1])
+    return M.metrics_report(out.filter(F.col("split") != "train"), score="stacked").withColumn("frauds", F.col("frauds").cast("long"))
+
+
+@query("ml_anomaly")
+def _(t):
+    f = featured(t)
+    return L.anomaly(f.filter(F.col("split") == "train"), f, ONLINE, [ID, "split"])
+
+
+@query("ml_what_if")
+def _(t):
+    f = featured(t)
+    model, weight = fitted(t, ONLINE, f)
+    scored = L.score(model, weight, f, ONLINE, 0.05, 0.02)
+    return L.what_if(model, weight, scored.filter(F.col("action") != "allow"), ONLINE, [ID]).select(
+        ID, "rank", "feature", "from_value", "to_value", "proba", "proba_after", "distance", "statement")

@@ -35,7 +35,7 @@ def staged(t, order=("early", "late"), twice: bool = False) -> str:
 
 def stateful(t, order=("early", "late"), ttl: int | None = None):
     stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=1), ttl_seconds=ttl)
-    return t.spark.read.parquet(B.run_available(stream, "entity-features"))
+    return t.spark.read.parquet(B.run_available(stream, "entity-features", timed=ttl is not None))
 
 
 @query("st_velocity", sql(velocity_sql("txn"), "txn"))

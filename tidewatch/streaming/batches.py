@@ -30,14 +30,27 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     return events_to_txn(r.parquet(path))
 
 
-def run_available(stream: DataFrame, name: str, path: str | None = None) -> str:
-    """Process what is there, append to parquet, stop; returns the output folder."""
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_available(stream: DataFrame, name: str, path: str | None = None, timed: bool = False) -> str:
+    """Process what is there, append to parquet, stop; returns the output folder.
+
+    State with a processing-time expiry asks for empty batches without end, so
+    `timed` streams run with those switched off.
+    """
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = spark.conf.get(NO_DATA)
+    if timed:
+        spark.conf.set(NO_DATA, "false")
+    try:
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(NO_DATA, before)
     return path
 
 
