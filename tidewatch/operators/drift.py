@@ -88,13 +88,17 @@ def unpivot_features(df: DataFrame, features: list[str], ids: list[str]) -> Data
 def feature_drift(reference: DataFrame, observed: DataFrame, features: list[str]) -> DataFrame:
     """One row per feature: means, PSI and z of observed against reference."""
     ref = unpivot_features(reference, features, [])
-    obs = unpivot_features(observed, features, [])
     edges = bin_edges(ref, "value", ["feature"])
-    p = psi(histogram(ref, "value", edges, [], ["feature"]), histogram(obs, "value", edges, [], ["feature"]),
-            [], ["feature"])
-    rs = ref.groupBy("feature").agg(F.avg("value").alias("ref_mean"), F.stddev_pop("value").alias("ref_std"))
-    os_ = obs.groupBy("feature").agg(F.avg("value").alias("obs_mean"), F.count("value").alias("obs_n"))
-    return (rs.join(os_, "feature").join(p, "feature")
+    both = unpivot_features(
+        reference.select(*features, F.lit(True).alias("is_ref")).unionByName(
+            observed.select(*features, F.lit(False).alias("is_ref"))), features, ["is_ref"])
+    h = histogram(both, "value", edges, ["is_ref"], ["feature"])
+    p = psi(h.filter("is_ref").drop("is_ref"), h.filter(~F.col("is_ref")).drop("is_ref"), [], ["feature"])
+    own = lambda flag: F.when(F.col("is_ref") == flag, F.col("value"))
+    stats = both.groupBy("feature").agg(
+        F.avg(own(True)).alias("ref_mean"), F.stddev_pop(own(True)).alias("ref_std"),
+        F.avg(own(False)).alias("obs_mean"), F.count(own(False)).alias("obs_n"))
+    return (stats.join(p, "feature")
             .select("feature", "ref_mean", "obs_mean", "psi",
                     mean_shift_z("ref_mean", "ref_std", "obs_mean", "obs_n").alias("z")))
 

@@ -51,13 +51,15 @@ def history(monthly: DataFrame, id_col: str, exclusive: bool = True) -> DataFram
 def latest_past(hist: DataFrame, id_col: str, cuts: DataFrame) -> DataFrame:
     """Latest history row before each cut month, per entity.
 
-    `cuts` (bucket_idx, cut) is a short calendar list; months before a cut are
-    found by joining each month to the cuts behind it.
+    A history row serves the cuts after its month up to the entity's next
+    month, so every (entity, cut) is produced once. `cuts` (bucket_idx, cut) is
+    a short calendar list.
     """
-    j = hist.join(F.broadcast(cuts), F.col("month_idx") < F.col("cut"))
+    until = F.lead("month_idx").over(Window.partitionBy(id_col).orderBy("month_idx"))
+    spans = hist.withColumn("_until", until)
+    cond = (F.col("cut") > F.col("month_idx")) & (F.col("_until").isNull() | (F.col("cut") <= F.col("_until")))
     cols = [c for c in hist.columns if c.startswith("hist_")]
-    return j.groupBy(id_col, "bucket_idx").agg(
-        F.max_by(F.struct("month_idx", *cols), "month_idx").alias("h")).select(id_col, "bucket_idx", "h.*")
+    return spans.join(F.broadcast(cuts), cond).select(id_col, "bucket_idx", "month_idx", *cols)
 
 
 def _ratio(a: str, b: str, high: float | None = None) -> Column:
@@ -130,15 +132,19 @@ def edges(txn: DataFrame) -> DataFrame:
                                       F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def node_ids(txn: DataFrame, id_col: str) -> DataFrame:
+def node_ids(txn: DataFrame, id_col: str, pieces: int = 256, per_piece: int = 32) -> DataFrame:
     """Natural id -> contiguous index in id order.
 
-    The index of an id is the number of ids before it. Ids are cut by their
-    first two characters, counted per piece, and numbered inside the pieces.
+    The ids are cut at a bounded sample of themselves (smallest hashes, the same
+    on every run), counted per piece, and numbered inside the pieces.
     """
-    ids = txn.select(F.col(id_col).alias("node_id")).distinct().withColumn("_p", F.substring("node_id", 1, 2))
-    base = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    ids = txn.select(F.col(id_col).alias("node_id")).filter(F.col("node_id").isNotNull()).distinct()
+    drawn = sorted(r[0] for r in ids.orderBy(F.md5("node_id"), "node_id").limit(pieces * per_piece).collect())
+    step = max(1, len(drawn) // pieces)
+    edges = F.array(*[F.lit(e) for e in drawn[step::step]]).cast("array<string>")
+    ids = ids.withColumn("_p", F.size(F.filter(edges, lambda e: e <= F.col("node_id"))))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     base = base.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
     w = Window.partitionBy("_p").orderBy("node_id")
     return (ids.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(base), "_p")
@@ -326,11 +332,11 @@ def kept_edges(txn: DataFrame, nodes: DataFrame) -> DataFrame:
     return bought.unionByName(holds)
 
 
-def masked_targets(nodes: DataFrame, features: list[str], ratio: float, epoch: int, sentinel: float = -1.0) -> DataFrame:
+def masked_targets(nodes: DataFrame, features: list[str], ratio: float, epoch: int, hidden: float = -1.0) -> DataFrame:
     """Long form: what a model sees per feature, and the value to reconstruct where masked."""
     m = mask_nodes(nodes, ratio, epoch)
     long = m.select("node_type", "node_id", "bucket_idx", "masked", *features).unpivot(
         ["node_type", "node_id", "bucket_idx", "masked"], features, "feature", "value")
     return long.select("node_type", "node_id", "bucket_idx", "feature",
-                       F.when(F.col("masked"), F.lit(sentinel)).otherwise(F.col("value")).alias("shown"),
+                       F.when(F.col("masked"), F.lit(hidden)).otherwise(F.col("value")).alias("shown"),
                        F.when(F.col("masked"), F.col("value")).alias("target"))

@@ -30,9 +30,12 @@ def fit_shares(train: DataFrame, column: str) -> DataFrame:
 
 
 def fit(train: DataFrame) -> dict[str, DataFrame]:
+    """All priors of the train rows; one grouping per category column."""
+    total = train.agg(F.count(F.lit(1)).alias("total"))
+    share = X.half_even(F.col("n") / F.greatest("total", F.lit(1)), 8)
     return {
-        "rates": fit_merchant_rates(train).select("merchant_id", F.col("rate").alias("_rate")),
-        "shares": fit_shares(train, "merchant_id").withColumnRenamed("share", "_share"),
+        "merchants": attach_row(fit_merchant_rates(train), total).select(
+            "merchant_id", F.col("rate").alias("_rate"), share.alias("_share")),
         "mcc": fit_shares(train, "merchant_category_code").withColumnRenamed("share", "_mcc_share"),
         "default": default_rate(train),
     }
@@ -52,9 +55,8 @@ def attach(df: DataFrame, p: dict[str, DataFrame]) -> DataFrame:
     the planner, which broadcasts it only below its own size limit.
     """
     keep = [c for c in df.columns if c not in C.ENCODING_COLUMNS]
-    merchants = p["rates"].join(p["shares"], "merchant_id", "full")
     out = attach_row(
-        df.select(*keep).join(merchants, "merchant_id", "left")
+        df.select(*keep).join(p["merchants"], "merchant_id", "left")
         .join(F.broadcast(p["mcc"]), "merchant_category_code", "left"), p["default"])
     return out.select(
         *keep, F.coalesce("_share", F.lit(0.0)).alias("merch_freq_share"),

@@ -8,20 +8,35 @@ The edges only balance the slices, so the results are exact.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 32
+SLICES = 32            # at least this many slices
+MAX_SLICES = 4096      # for one order over all rows
+MAX_KEYED_SLICES = 256  # for one order per feature, model or split
+
+
+def slice_count(df: DataFrame, most: int) -> int:
+    """As many slices as the session uses shuffle partitions, within bounds."""
+    return max(SLICES, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _slice_column(df: DataFrame, value: str, keys: list[str], slices: int) -> DataFrame:
+def _slice_column(df: DataFrame, value: str, keys: list[str], slices: int | None) -> DataFrame:
     """Add `_slice`, increasing with `value`, for every key on its own edges."""
-    probs = [i / slices for i in range(1, slices)]
     if not keys:
-        edges = sorted(set(df.approxQuantile(value, probs, 0.5 / slices)))
+        slices = slices or slice_count(df, MAX_SLICES)
+        probs = [i / slices for i in range(1, slices)]
+        edges = sorted({float(e) for e in df.approxQuantile(value, probs, 0.5 / slices)})
         if not edges:
             return df.withColumn("_slice", F.lit(0))
-        arr = F.array(*[F.lit(float(e)) for e in edges])
-        return df.withColumn("_slice", F.size(F.filter(arr, lambda e: e < F.col(value))))
+        # Bucketizer searches the edges by bisection.
+        cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_value", outputCol="_bucket", handleInvalid="keep")
+        d = cut.transform(df.withColumn("_value", F.col(value).cast("double")))
+        return d.withColumn("_slice", F.col("_bucket").cast("int")).drop("_value", "_bucket")
+    slices = slices or slice_count(df, MAX_KEYED_SLICES)
+    probs = [i / slices for i in range(1, slices)]
     rows = (df.groupBy(*keys)
             .agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 20 * slices)
                  .cast("array<double>").alias("_edges")).collect())
@@ -35,7 +50,7 @@ def _slice_column(df: DataFrame, value: str, keys: list[str], slices: int) -> Da
 
 
 def cumulative(df: DataFrame, value: str, measures: dict[str, Column], keys: list[str] | None = None,
-               descending: bool = False, slices: int = SLICES) -> DataFrame:
+               descending: bool = False, slices: int | None = None) -> DataFrame:
     """One row per (keys, value): each measure, `before_*` and `total_*`.
 
     `before_m` sums measure m over all values earlier in the order, `total_m`
@@ -68,7 +83,7 @@ def _at_rank(value: str, rank: Column) -> Column:
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None,
-              slices: int = SLICES) -> DataFrame:
+              slices: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per key, array column `q`."""
     keys = keys or []
     c = cumulative(df, value, {"n": F.count(F.lit(1))}, keys, slices=slices)
@@ -85,7 +100,7 @@ def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | N
     return agg.select(*keys, "n", F.array(*out).alias("q"))
 
 
-def nearest_rank(df: DataFrame, value: str, probs: list[float], slices: int = SLICES) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, probs: list[float], slices: int | None = None) -> DataFrame:
     """Exact nearest-rank quantiles, one column `q0, q1, ...` per probability."""
     c = cumulative(df, value, {"n": F.count(F.lit(1))}, slices=slices)
     return c.agg(F.max("total_n").alias("n"), *[
@@ -93,7 +108,7 @@ def nearest_rank(df: DataFrame, value: str, probs: list[float], slices: int = SL
         for i, p in enumerate(probs)])
 
 
-def numbered(df: DataFrame, at: str, ties: list[str], slices: int = SLICES,
+def numbered(df: DataFrame, at: str, ties: list[str], slices: int | None = None,
              name: str = "row_id") -> DataFrame:
     """Contiguous 0-based row numbers in (at, ties) order, without one big sort task."""
     sliced = _slice_column(df, at, [], slices)

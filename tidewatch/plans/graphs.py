@@ -186,7 +186,7 @@ def _(t):
     "lines", extra=_MASK + ",\n" + hist_sql("lines", "customer_id", "merchant_id")))
 def _(t):
     n = G.snapshot_nodes(t.lines()).filter(F.col("node_type") == "customer")
-    m = G.masked_targets(n, ["log_n"], 0.15, epoch=1, sentinel=-1.0)
+    m = G.masked_targets(n, ["log_n"], 0.15, epoch=1, hidden=-1.0)
     return m.select("node_type", "node_id", "bucket_idx", F.round("shown", 6).alias("shown"), F.round("target", 6).alias("target"))
 
 

@@ -154,12 +154,14 @@ walk AS (SELECT merchant_id, i, cycle, kind, 0.55::DOUBLE AS old_hold, least(gre
 @query("jn_threshold_precedence", sql(
     "SELECT transaction_id, CASE WHEN m.h IS NOT NULL THEN 'merchant' ELSE 'global' END AS threshold_source, "
     "CASE WHEN fraud_probability >= coalesce(m.h, 0.44) THEN 'hold' WHEN fraud_probability >= 0.25 THEN 'review' ELSE 'allow' END AS final_action "
-    "FROM dec LEFT JOIN (SELECT merchant_id, max_by(new_hold, i) AS h FROM walk WHERE CAST(substr(merchant_id, 2) AS INTEGER) % 2 = 0 GROUP BY 1) m USING (merchant_id)",
+    "FROM dec LEFT JOIN (SELECT merchant_id, max_by(new_hold, i) AS h FROM walk GROUP BY 1 HAVING count(*) >= 17) m USING (merchant_id)",
     "epi", recursive=True, extra=HISTORY_SQL))
 def _(t):
-    even = F.substring("merchant_id", 2, 9).cast("int") % 2 == 0  # half of the merchants were adjusted
+    h = MEM.threshold_history(MEM.adjustments_by_cycle(t.episodes()), HOLD)
+    often = h.groupBy("merchant_id").agg(F.max_by("new_hold", "i").alias("m_hold"), F.count(F.lit(1)).alias("n"))
+    often = often.filter(F.col("n") >= 17).select("merchant_id", "m_hold", F.lit(None).cast("double").alias("m_review"))
     glob = t.spark.range(1).select(F.lit(0.44).alias("g_hold"), F.lit(None).cast("double").alias("g_review"))
-    return MEM.apply_overrides(t.decisions(), merchant_overrides(t).filter(even), glob, HOLD, REVIEW).select(
+    return MEM.apply_overrides(t.decisions(), often, glob, HOLD, REVIEW).select(
         ID, "threshold_source", "final_action")
 
 

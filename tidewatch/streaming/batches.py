@@ -81,8 +81,10 @@ def read_batches(spark: SparkSession, root: str, before: int | None = None) -> D
 def recent_history(history: DataFrame, batch: DataFrame, entities=C.CATALOGUE) -> DataFrame:
     """History rows a batch can still see: inside the longest window before its first event."""
     span = max(C.WINDOW_SECONDS[w.label] for e in entities for w in e.windows)
-    start = batch.agg((F.min("event_time") - F.expr(f"INTERVAL {span} SECONDS")).alias("_start"))
-    return history.join(F.broadcast(start), history["event_time"] >= F.col("_start")).drop("_start")
+    first = batch.agg(F.min(X.micros("event_time"))).first()[0]  # a literal reaches the scan of the history
+    if first is None:
+        return history.limit(0)
+    return history.filter(F.col("event_time") >= F.timestamp_micros(F.lit(first - span * 1_000_000)))
 
 
 def sweep_batch(history: DataFrame | None, batch: DataFrame, entities=C.CATALOGUE) -> DataFrame:
