@@ -46,6 +46,23 @@ def bin_of(value: str, edges: str = "edges") -> Column:
     return F.size(F.filter(edges, lambda e: e <= F.col(value)))
 
 
+def bin_number(value: str, edges: list[float]) -> Column:
+    """The same bin from known edges, as plain comparisons inside generated code."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (F.col(value) >= F.lit(float(e))).cast("int")
+    return out
+
+
+def psi_of_counts(ref: str, obs: str) -> Column:
+    """PSI of two arrays of bin counts; null when a side is empty."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    share = lambda c, t: F.greatest(c / t, F.lit(C.PSI_FLOOR))
+    rt, ot = total(ref), total(obs)
+    terms = F.zip_with(ref, obs, lambda r, o: (share(o, ot) - share(r, rt)) * F.log(share(o, ot) / share(r, rt)))
+    return F.when((rt > 0) & (ot > 0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+
 def histogram(df: DataFrame, value: str, edges: DataFrame, groups: list[str], keys: list[str] | None = None) -> DataFrame:
     """Rows per (keys, groups, bin). Edges: one short array per key."""
     keys = keys or []
@@ -87,20 +104,28 @@ def unpivot_features(df: DataFrame, features: list[str], ids: list[str]) -> Data
 
 def feature_drift(reference: DataFrame, observed: DataFrame, features: list[str]) -> DataFrame:
     """One row per feature: means, PSI and z of observed against reference."""
-    ref = unpivot_features(reference, features, [])
-    edges = bin_edges(ref, "value", ["feature"])
-    both = unpivot_features(
-        reference.select(*features, F.lit(True).alias("is_ref")).unionByName(
-            observed.select(*features, F.lit(False).alias("is_ref"))), features, ["is_ref"])
-    h = histogram(both, "value", edges, ["is_ref"], ["feature"])
-    p = psi(h.filter("is_ref").drop("is_ref"), h.filter(~F.col("is_ref")).drop("is_ref"), [], ["feature"])
-    own = lambda flag: F.when(F.col("is_ref") == flag, F.col("value"))
-    stats = both.groupBy("feature").agg(
-        F.avg(own(True)).alias("ref_mean"), F.stddev_pop(own(True)).alias("ref_std"),
-        F.avg(own(False)).alias("obs_mean"), F.count(own(False)).alias("obs_n"))
-    return (stats.join(p, "feature")
-            .select("feature", "ref_mean", "obs_mean", "psi",
-                    mean_shift_z("ref_mean", "ref_std", "obs_mean", "obs_n").alias("z")))
+    edges = {r["feature"]: r["edges"] for r in bin_edges(
+        unpivot_features(reference, features, []), "value", ["feature"]).collect()}  # nine numbers per feature
+    both = reference.select(*features, F.lit(True).alias("is_ref")).unionByName(
+        observed.select(*features, F.lit(False).alias("is_ref")))
+    items = F.explode(F.array(*[F.struct(
+        F.lit(f).alias("feature"), F.col(f).alias("value"), bin_number(f, edges.get(f, [])).alias("bin")) for f in features]))
+    long = (both.select("is_ref", *[X.finite_or_null(F.col(f).cast("double")).alias(f) for f in features])
+            .select("is_ref", items.alias("i")).select("is_ref", "i.*").filter(F.col("value").isNotNull()))
+    # One pass to (feature, side, bin); everything behind it is a few hundred rows.
+    per = long.groupBy("feature", "is_ref", "bin").agg(
+        F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    side = Window.partitionBy("feature", "is_ref")
+    per = per.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(side) / F.sum("n").over(side))
+    sides = per.groupBy("feature", "is_ref").agg(
+        F.sum("n").alias("n"), F.first("mean").alias("mean"),
+        F.sqrt(F.sum(F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))) / F.sum("n")).alias("std"),
+        F.array(*[F.coalesce(F.max(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)) for i in range(C.PSI_BINS)]).alias("h"))
+    row = sides.groupBy("feature").agg(*[
+        F.max(F.when(F.col("is_ref") == flag, F.col(c))).alias(f"{p}_{c}")
+        for flag, p in ((True, "r"), (False, "o")) for c in ("n", "mean", "std", "h")])
+    return row.select("feature", F.col("r_mean").alias("ref_mean"), F.col("o_mean").alias("obs_mean"),
+                      psi_of_counts("r_h", "o_h").alias("psi"), mean_shift_z("r_mean", "r_std", "o_mean", "o_n").alias("z"))
 
 
 def retrain_trigger(drift_table: DataFrame, groups: list[str] | None = None, psi_warn: float = C.PSI_WARN,
@@ -245,23 +270,31 @@ def calibrate_detector(s: Column) -> dict[str, Column]:
 def monitor_report(scores: DataFrame, reference_months: int = 3, span: float = 3.0, k: float = 0.5,
                    h: float = 5.0, score: str = "score") -> DataFrame:
     """Every month after train against the last train months: z, PSI, EWMA, CUSUM."""
-    ref = reference_stats(scores, reference_months, score)
-    logit = scores.withColumn("lg", X.logit(score)).withColumn("month", X.month_label("event_time"))
-    train = attach_row(logit.filter(F.col("split") == "train"), ref.select("first_month")).filter(
-        F.col("month") >= F.col("first_month")).select("lg")
-    walk = logit.filter(F.col("split") != "train")
-    edges = bin_edges(train, "lg")
-    p = psi(histogram(train, "lg", edges, []), histogram(walk.select("month", "lg"), "lg", edges, ["month"]), ["month"])
-    stats = attach_row(window_stats(scores.filter(F.col("split") != "train"), score), ref)
-    stats = stats.withColumn("z_mean_score", (F.col("mean_score") - F.col("ref_mean")) / F.col("ref_std"))
-    folded = ordered_series(stats, "month", "mean_score").join(F.broadcast(ref))
-    folded = folded.select(F.explode(F.arrays_zip(
-        F.transform("s", lambda x: x["at"]).alias("month"), ewma(F.col("s"), span).alias("ewma"),
-        cusum(F.col("s"), F.col("ref_mean"), F.col("ref_std"), k, h).alias("c"))).alias("f")).select(
-        "f.month", F.col("f.ewma").alias("ewma_mean_score"), F.col("f.c.chart").alias("cusum_stat"),
-        F.col("f.c.fired").alias("cusum_fired"))
-    return stats.join(p, "month").join(folded, "month").select(
-        "month", "rows", "mean_score", "std_score", "fraud_rate", "frauds", "z_mean_score", "psi",
+    ref = reference_stats(scores, reference_months, score).first()
+    if ref["months"] < reference_months:
+        raise ValueError("not enough train windows for a reference tail")
+    month = X.month_label("event_time")
+    used = (scores.filter((F.col("split") != "train") | (month >= ref["first_month"]))
+            .select(F.when(F.col("split") != "train", month).alias("month"), F.col(score).alias("score"),
+                    "is_fraud", X.logit(score).alias("lg")))
+    edges = bin_edges(used.filter(F.col("month").isNull()), "lg").first()["edges"]
+    b = bin_number("lg", edges)
+    # One pass: the reference tail is the group without a month.
+    per = used.groupBy("month").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"),
+        F.avg("is_fraud").alias("fraud_rate"), F.sum("is_fraud").alias("frauds"),
+        F.array(*[F.count_if(b == i) for i in range(C.PSI_BINS)]).alias("h"))
+    series = per.agg(F.max_by("h", F.when(F.col("month").isNull(), 1)).alias("ref_h"), F.array_sort(F.collect_list(F.when(
+        F.col("month").isNotNull(), F.struct(F.col("month").alias("at"), F.col("mean_score").alias("x"), "rows", "std_score",
+                                             "fraud_rate", "frauds", "h")))).alias("s"))  # one row per month
+    mean, std = F.lit(float(ref["ref_mean"])), F.lit(float(ref["ref_std"]))
+    rows = series.select("ref_h", F.explode(F.arrays_zip(
+        F.col("s"), ewma(F.col("s"), span).alias("e"), cusum(F.col("s"), mean, std, k, h).alias("c"))).alias("f"))
+    rows = rows.select("ref_h", "f.s.*", F.col("f.e").alias("ewma_mean_score"), F.col("f.c.chart").alias("cusum_stat"),
+                       F.col("f.c.fired").alias("cusum_fired"))
+    return rows.select(
+        F.col("at").alias("month"), "rows", F.col("x").alias("mean_score"), "std_score", "fraud_rate", "frauds",
+        ((F.col("x") - mean) / std).alias("z_mean_score"), psi_of_counts("ref_h", "h").alias("psi"),
         "ewma_mean_score", "cusum_stat", "cusum_fired")
 
 

@@ -96,48 +96,51 @@ def confusion(df: DataFrame, threshold: float, score: str = "score", label: str
     return out.withColumn("fpr", F.col("fp") / F.when(F.col("fp") + F.col("tn") > 0, F.col("fp") + F.col("tn")))
 
 
-def threshold_policy(df: DataFrame, hold_precision: float = 0.8, review_precision: float = 0.3,
-                     score: str = "score", label: str = "is_fraud", min_index: int = 10) -> DataFrame:
-    """Hold and review thresholds from a validation stream.
+def fit_thresholds(df: DataFrame, hold_precision: float = 0.8, review_precision: float = 0.3,
+                   score: str = "score", label: str = "is_fraud", min_index: int = 10) -> tuple[float, float, bool]:
+    """Hold and review thresholds from a validation stream, and whether a fall-back was used.
 
     The threshold lies between the two lowest scores of the smallest flagged
     set that reaches the target precision. A set that small (its last row at
     index below `min_index`) counts as not reached; then fixed top shares
-    (0.05 % hold, 1.05 % review) take over. Review never exceeds hold.
+    (0.05 % hold, 1.05 % review) take over. Review never exceeds hold. One row
+    comes back from the cluster; the quantiles are only computed when needed.
     """
     g = score_groups(df, score, label)
     flagged = F.col("before_n") + F.col("n")
     precision = (F.col("before_pos") + F.col("pos")) / flagged
-    # Score just above this one; among the scores earlier in the order it is the lowest.
-    firsts = g.agg(*[
-        F.min_by(F.struct(F.col(score).alias("s"), F.col("n"), F.col("before_n")),
+    found = g.agg(*[
+        F.min_by(F.struct(F.col(score).alias("s"), F.col("n"), F.col("previous"), flagged.alias("flagged")),
                  F.when(precision >= t, flagged)).alias(name)
-        for name, t in (("h", hold_precision), ("r", review_precision))])
-    above = attach_row(g, firsts).agg(*[
-        F.min(F.when(F.col(score) > F.col(f"{k}.s"), F.col(score))).alias(f"{k}_above") for k in ("h", "r")],
-        *[F.first(k).alias(k) for k in ("h", "r")])
-
-    def threshold(k: str) -> Column:
-        s = F.col(f"{k}.s")
-        upper = F.when(F.col(f"{k}.n") >= 2, s).otherwise(F.col(f"{k}_above"))
-        index = F.col(f"{k}.before_n") + F.col(f"{k}.n") - 1
-        return F.when(s.isNotNull() & (index >= min_index), (upper + s) / 2)
-
-    q = R.quantiles(df, score, [1 - 0.0005, 1 - 0.0105])
-    t = attach_row(above.select(threshold("h").alias("hold0"), threshold("r").alias("review0")), q)
-    t = t.select(F.coalesce("hold0", F.col("q")[0]).alias("hold"),
-                 F.coalesce("review0", F.col("q")[1]).alias("review0"),
-                 (F.col("hold0").isNull() | F.col("review0").isNull()).alias("fallback_used"))
-    t = t.withColumn("review", F.when(F.col("review0") > F.col("hold"), F.col("hold") * 0.9)
-                     .otherwise(F.col("review0"))).drop("review0")
-    flags = attach_row(df, t).withColumn("action", X.band(score, F.col("hold"), F.col("review")))
+        for name, t in (("hold", hold_precision), ("review", review_precision))]).first()
+
+    def threshold(hit) -> float | None:
+        if hit is None or hit["flagged"] - 1 < min_index:
+            return None
+        upper = hit["s"] if hit["n"] >= 2 else hit["previous"]
+        return (upper + hit["s"]) / 2
+
+    hold, review = threshold(found["hold"]), threshold(found["review"])
+    fallback = hold is None or review is None
+    if fallback:
+        q = R.quantiles(df, score, [1 - 0.0005, 1 - 0.0105]).first()["q"]
+        hold, review = q[0] if hold is None else hold, q[1] if review is None else review
+    return hold, hold * 0.9 if review > hold else review, fallback
+
+
+def threshold_policy(df: DataFrame, hold_precision: float = 0.8, review_precision: float = 0.3,
+                     score: str = "score", label: str = "is_fraud", min_index: int = 10) -> DataFrame:
+    """One row: fitted thresholds, action counts and the precision of both bands."""
+    hold, review, fallback = fit_thresholds(df, hold_precision, review_precision, score, label, min_index)
+    flags = df.withColumn("action", X.band(score, hold, review))
     held, reviewed = F.col("action") == "hold", F.col("action") == "review"
     pos = F.col(label) == 1
-    return flags.groupBy("hold", "review", "fallback_used").agg(
+    return flags.agg(
         *[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ACTIONS],
         F.round(F.count_if(held & pos) / F.greatest(F.count_if(held), F.lit(1)), 4).alias("hold_precision"),
         F.round(F.count_if(reviewed & pos) / F.greatest(F.count_if(reviewed), F.lit(1)), 4)
-        .alias("review_precision"))
+        .alias("review_precision")).select(
+        F.lit(hold).alias("hold"), F.lit(review).alias("review"), F.lit(fallback).alias("fallback_used"), "*")
 
 
 def action_counts(df: DataFrame, label: str = "is_fraud") -> DataFrame:

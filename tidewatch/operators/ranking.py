@@ -51,11 +51,12 @@ def _slice_column(df: DataFrame, value: str, keys: list[str], slices: int | None
 
 def cumulative(df: DataFrame, value: str, measures: dict[str, Column], keys: list[str] | None = None,
                descending: bool = False, slices: int | None = None) -> DataFrame:
-    """One row per (keys, value): each measure, `before_*` and `total_*`.
+    """One row per (keys, value): each measure, `before_*`, `total_*` and `previous`.
 
     `before_m` sums measure m over all values earlier in the order, `total_m`
-    over all values of the key. `keys` must have few combinations (features,
-    models, splits). Null values are left out.
+    over all values of the key; `previous` is the value just earlier. `keys`
+    must have few combinations (features, models, splits). Null values are left
+    out.
     """
     keys = keys or []
     df = df.filter(F.col(value).isNotNull())
@@ -65,16 +66,19 @@ def cumulative(df: DataFrame, value: str, measures: dict[str, Column], keys: lis
     slice_order = F.col("_slice").desc() if descending else F.col("_slice").asc()
     inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     over_slices = Window.partitionBy(*keys).orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = g.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in measures])
+    last = F.min(value) if descending else F.max(value)
+    last_before = (F.min if descending else F.max)("_last").over(over_slices)
+    per_slice = g.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in measures], last.alias("_last"))
     base = per_slice.select(  # at most `slices` rows per key
-        *keys, "_slice",
+        *keys, "_slice", last_before.alias("_carry"),
         *[F.coalesce(F.sum(n).over(over_slices), F.lit(0)).alias(f"_b_{n}") for n in measures],
         *[F.sum(n).over(Window.partitionBy(*keys)).alias(f"total_{n}") for n in measures])
-    run = g.select("*", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_r_{n}") for n in measures])
+    run = g.select("*", F.last(value).over(inside).alias("_prev"),
+                   *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(f"_r_{n}") for n in measures])
     return run.join(F.broadcast(base), [*keys, "_slice"]).select(
         *keys, value, *measures,
         *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(f"before_{n}") for n in measures],
-        *[f"total_{n}" for n in measures])
+        *[f"total_{n}" for n in measures], F.coalesce("_prev", "_carry").alias("previous"))
 
 
 def _at_rank(value: str, rank: Column) -> Column:
