@@ -109,6 +109,5 @@ def decision_parity(metrics: DataFrame, counts: DataFrame, recorded: DataFrame,
 
 def require_parity(parity: DataFrame) -> DataFrame:
     """Fail the job rather than publish figures of a different decision stream."""
-    ok = F.coalesce(F.col("matches"), F.lit(False)) | F.raise_error(
-        F.lit("decision stream differs from the recorded configuration")).cast("boolean")
-    return parity.filter(ok)
+    return parity.filter(F.when(F.coalesce("matches", F.lit(False)), True).otherwise(
+        F.raise_error(F.lit("decision stream differs from the recorded configuration")).cast("boolean")))

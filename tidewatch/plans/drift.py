@@ -11,6 +11,7 @@ from tidewatch.plans.aggregates import RANK
 from tidewatch.plans.registry import query
 from tidewatch.plans.sources import AUC_SQL, model_table
 from tidewatch.plans.sqltext import sql
+from tidewatch.session import stored
 
 MO = "strftime(event_time, '%Y-%m')"
 
@@ -63,10 +64,13 @@ def _(t):
 
 
 def featured(t):
-    """Calendar features and train-only encodings of every line, with its split."""
+    """Calendar features and train-only encodings of every line, with its split, as a table."""
     s = t.scores()
     p = priors.fit(s.filter(F.col("split") == "train"))
-    return priors.attach(s.select("transaction_id", "split", "merchant_id", "merchant_category_code", *X.calendar_columns()), p)
+    f = priors.attach(s.select("transaction_id", "split", "merchant_id", "merchant_category_code", *X.calendar_columns()), p)
+    for c in ("hour_sin", "hour_cos"):
+        f = f.withColumn(c, F.round(c, 12))
+    return stored(f, "features")
 
 
 _FEATURES = """fe AS (SELECT split, ln(1 + greatest(amount, 0.0)) AS amount_log1p, round(sin(hour(event_time) * pi() / 12), 12) AS hour_sin, round(cos(hour(event_time) * pi() / 12), 12) AS hour_cos,
@@ -89,17 +93,14 @@ dt{tag} AS (SELECT feature, rm AS ref_mean, om AS obs_mean, psi, (om - rm) / gre
     return s
 
 
-def drift_table(t, split):
-    f = featured(t)
-    for c in ("hour_sin", "hour_cos"):
-        f = f.withColumn(c, F.round(c, 12))
+def drift_table(f, split):
     return D.feature_drift(f.filter(F.col("split") == "train"), f.filter(F.col("split") == split), C.MONITORED_COLUMNS)
 
 
 @query("agg_feature_drift", sql(
     "SELECT feature, round(ref_mean, 6) AS ref_mean, round(obs_mean, 6) AS obs_mean, round(psi, 6) AS psi, round(z, 4) AS z FROM dt", "scores", extra=_FEATURES + drift_sql("test")))
 def _(t):
-    d = drift_table(t, "test")
+    d = drift_table(featured(t), "test")
     return d.select("feature", *[F.round(c, 6).alias(c) for c in ("ref_mean", "obs_mean", "psi")], F.round("z", 4).alias("z"))
 
 
@@ -109,7 +110,7 @@ _TRIG = ("SELECT round(least(greatest(avg(psi), 0.0), 2.0), 4) AS score, count(*
 
 @query("agg_retrain_trigger", sql(_TRIG.format(t="dt"), "scores", extra=_FEATURES + drift_sql("test")))
 def _(t):
-    r = D.retrain_trigger(drift_table(t, "test"))
+    r = D.retrain_trigger(drift_table(featured(t), "test"))
     return r.select("score", "n_features", F.col("n_culprits").cast("long").alias("n_culprits"), "trigger", F.array_join("culprits", ",").alias("culprits"))
 
 
@@ -117,7 +118,8 @@ def _(t):
     "SELECT max(trigger) AS trigger, max(score) AS score, CAST(sum(n_culprits) AS BIGINT) AS n_culprits, (SELECT coalesce(string_agg(feature, ',' ORDER BY feature), '') FROM (SELECT DISTINCT feature FROM (SELECT * FROM dt1 UNION ALL SELECT * FROM dt2) WHERE psi > 0.25 OR abs(z) > 3)) AS culprits "
     "FROM (" + _TRIG.format(t="dt1") + " UNION ALL " + _TRIG.format(t="dt2") + ")", "scores", extra=_FEATURES + drift_sql("val", "1") + ",\n" + drift_sql("test", "2")))
 def _(t):
-    both = D.retrain_trigger(drift_table(t, "val")).unionByName(D.retrain_trigger(drift_table(t, "test")))
+    f = featured(t)
+    both = D.retrain_trigger(drift_table(f, "val")).unionByName(D.retrain_trigger(drift_table(f, "test")))
     m = D.merge_triggers(both)
     return m.select("trigger", "score", "n_culprits", F.array_join("culprits", ",").alias("culprits"))
 
@@ -127,7 +129,7 @@ def _(t):
     "(SELECT coalesce(avg(CASE WHEN seq % 3 = 0 THEN CAST(amount > 20 AS INTEGER) END), 0.5) AS belief FROM txn), (SELECT max(abs(z)) AS peak FROM dt)", "txn", "scores", extra=_FEATURES + drift_sql("test")))
 def _(t):
     memory = t.txn().select(F.when(F.col("seq") % 3 == 0, (F.col("amount") > 20).cast("int")).alias("outcome"))
-    b = D.retrain_belief(memory, drift_table(t, "test"))
+    b = D.retrain_belief(memory, drift_table(featured(t), "test"))
     return b.select(F.round("belief", 6).alias("belief"), F.round("peak_z", 4).alias("peak_z"), "recommend")
 
 

@@ -8,6 +8,7 @@ from tidewatch import config as C
 from tidewatch.functions import expr as X
 from tidewatch.operators import learned as L, metrics as M, priors, velocity as V
 from tidewatch.plans.registry import query
+from tidewatch.session import stored
 from tidewatch.sources import cards
 
 ID = "transaction_id"
@@ -21,16 +22,11 @@ def featured(t, history: bool = False):
     p = priors.fit(d.filter(F.col("split") == "train"))
     base = d.select(ID, "split", "is_fraud", "merchant_id", "merchant_category_code", *X.calendar_columns())
     out = priors.attach(base, p)
-    return priors.join_velocity(out, V.history_features(t.txn())) if history else out
+    return stored(priors.join_velocity(out, V.history_features(t.txn())) if history else out, "features")
 
 
 def fitted(t, columns, frame):
-    # Every pass of the fit reads the frame again, so it is kept for the fit.
-    train = frame.filter(F.col("split") == "train").persist()
-    try:
-        return L.train_gbt(train, columns, trees=10, depth=4)
-    finally:
-        train.unpersist()
+    return L.train_gbt(frame.filter(F.col("split") == "train"), columns, trees=10, depth=4)
 
 
 @query("ml_train_gbt")

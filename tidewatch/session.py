@@ -63,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tidewatch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """Write a frame that several passes read as a table, and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df):
     """Cut lineage through the reliable checkpoint folder (survives executor loss)."""
     spark = df.sparkSession

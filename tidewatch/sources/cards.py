@@ -108,7 +108,8 @@ def split_bounds(txn: DataFrame, train: float = 0.6, validation: float = 0.8) ->
 
 def check_bounds(bounds: DataFrame) -> DataFrame:
     ok = F.col("train_end") < F.col("validation_end")
-    return bounds.filter(F.coalesce(ok, F.raise_error(F.lit("split bounds must be strictly ordered")).cast("boolean")))
+    return bounds.filter(F.when(F.coalesce(ok, F.lit(False)), True).otherwise(
+        F.raise_error(F.lit("split bounds must be strictly ordered")).cast("boolean")))
 
 
 def with_split(txn: DataFrame, bounds: DataFrame) -> DataFrame:
