@@ -66,7 +66,7 @@ def test_threshold_policy_bands(spark):
     rows, df = scored(spark)
     hold, review, fallback = M.fit_thresholds(df, 0.8, 0.3, min_index=1)
     assert review <= hold and not fallback
-    flagged = [r for r in rows if r[1] > hold]
+    flagged = [r for r in rows if r[1] >= hold]
     p = M.threshold_policy(df, 0.999, 0.99, min_index=10 ** 6).first()
     q = np.quantile([r[1] for r in rows], [1 - 0.0005, 1 - 0.0105])
     assert flagged and p["fallback_used"]

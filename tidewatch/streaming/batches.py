@@ -6,7 +6,8 @@ batch that is replayed after a failure leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,35 +32,53 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(stream: DataFrame, name: str, path: str | None = None, timed: bool = False) -> str:
-    """Process what is there, append to parquet, stop; returns the output folder.
+@contextmanager
+def stream_settings(spark: SparkSession, timed: bool = False) -> Iterator[None]:
+    """Settings a stream takes over when it starts; the session gets its own back.
 
-    State with a processing-time expiry asks for empty batches without end, so
-    `timed` streams run with those switched off.
+    State lives in RocksDB. On a local master the state is cut into no more
+    pieces than twice the cores. State with a processing-time expiry asks for
+    empty batches without end, so `timed` streams run with those switched off.
     """
-    spark = stream.sparkSession
-    path = path or scratch_path(spark, name)
-    before = spark.conf.get(NO_DATA)
+    wanted = {PROVIDER: ROCKSDB}
+    if spark.sparkContext.master.startswith("local"):
+        wanted[PARTITIONS] = str(min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism))
     if timed:
-        spark.conf.set(NO_DATA, "false")
+        wanted[NO_DATA] = "false"
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        q = (stream.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        yield
     finally:
-        spark.conf.set(NO_DATA, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def run_available(stream: DataFrame, name: str, path: str | None = None, timed: bool = False) -> str:
+    """Process what is there, append to parquet, stop; returns the output folder."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, name)
+    with stream_settings(spark, timed):
+        (stream.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
+         .trigger(availableNow=True).start().awaitTermination())
     return path
 
 
 def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], name: str, mode: str = "append"):
     """foreachBatch over what is there; returns the finished query for its progress."""
-    path = scratch_path(stream.sparkSession, f"{name}-checkpoint")
-    q = (stream.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", path)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    spark = stream.sparkSession
+    path = scratch_path(spark, f"{name}-checkpoint")
+    with stream_settings(spark):
+        q = (stream.writeStream.outputMode(mode).foreachBatch(fn).option("checkpointLocation", path)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return q
 
 
