@@ -41,10 +41,13 @@ def carried(df: DataFrame, keys: list[str], totals: dict[str, Column],
     """Per (key, slice) of hot keys: `running` over the totals of earlier slices.
 
     `running` columns are evaluated over the earlier slices of a key, so the
-    window below sees one row per slice and not one per event.
+    window below sees one row per slice and not one per event. The hot flag is
+    tested behind the grouping: then a `df` that is already placed by (keys,
+    slice) keeps its plan, and Spark reuses its shuffle instead of making it
+    again.
     """
-    per_slice = (df.filter(F.col("_hot")).groupBy(*keys, SLICE)
-                 .agg(*[c.alias(n) for n, c in totals.items()]))
+    per_slice = (df.groupBy(*keys, SLICE).agg(F.max("_hot").alias("_hot"), *[c.alias(n) for n, c in totals.items()])
+                 .filter(F.col("_hot")))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.select(*keys, SLICE, *[c.over(before).alias(n) for n, c in running.items()])
 

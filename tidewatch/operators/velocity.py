@@ -141,29 +141,30 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
         delta[f"d_{lab}"] = (F.when(is_event, F.col(f"f_{lab}"))
                              .when(F.col("kind") == 1 + i, -F.col(f"f_{lab}")).otherwise(0)).cast("long")
     # Shuffle and sort the narrow marks first; the deltas are made behind that.
-    placed = (marks.withColumn("leaves", (F.col("kind") != EVENT).cast("byte"))
-              .repartition(*KEYS, skew.SLICE)
-              .sortWithinPartitions(*KEYS, skew.SLICE, "at", "leaves", "seq", "transaction_id"))
+    # The slice totals below read the same shuffle, so both carry the same columns.
+    shuffled = marks.withColumn("leaves", (F.col("kind") != EVENT).cast("byte")).repartition(*KEYS, skew.SLICE)
+    placed = shuffled.sortWithinPartitions(*KEYS, skew.SLICE, "at", "leaves", "seq", "transaction_id")
+    flag = ["_hot"] if hot is not None else []
     before = (Window.partitionBy(*KEYS, skew.SLICE)
               .orderBy("at", "leaves", "seq", "transaction_id")
               .rowsBetween(Window.unboundedPreceding, -1))
     swept = placed.select(
-        *KEYS, skew.SLICE, "at", "kind", "transaction_id", "amt",
+        *KEYS, skew.SLICE, *flag, "at", "kind", "transaction_id", "amt",
         *[F.coalesce(F.sum(d).over(before), F.lit(0)).alias(n) for n, d in delta.items()],
         F.last(F.when(is_event, F.col("at")), ignorenulls=True).over(before).alias("prev_at"),
         F.last(F.when(is_event, F.col("amt")), ignorenulls=True).over(before).alias("prev_amt"),
     ).filter(is_event)
 
     if hot is not None:
-        newest = F.when(is_event, F.struct("at", "seq", "transaction_id", "amt"))
+        newest = F.when(is_event, F.struct("at", "leaves", "seq", "transaction_id", "amt"))
         base_rows = skew.carried(
-            marks, KEYS,
+            shuffled, KEYS,
             {**{n: F.sum(d) for n, d in delta.items()}, "newest": F.max(newest)},
             {**{f"b_{n}": F.sum(n) for n in delta},
              "b_prev": F.last("newest", ignorenulls=True)})
         swept = swept.join(base_rows, [*KEYS, skew.SLICE], "left")
         for n in delta:
-            swept = swept.withColumn(n, F.col(n) + F.coalesce(F.col(f"b_{n}"), F.lit(0)))
+            swept = swept.withColumn(n, F.col(n) + F.when(F.col("_hot"), F.coalesce(F.col(f"b_{n}"), F.lit(0))).otherwise(0))
         swept = (swept.withColumn("prev_at", F.coalesce("prev_at", "b_prev.at"))
                  .withColumn("prev_amt", F.coalesce("prev_amt", "b_prev.amt")))
 

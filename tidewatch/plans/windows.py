@@ -83,17 +83,18 @@ def _prior_sql(base: str, form: str) -> dict[str, str]:
         n = f"count(amount) OVER {w}"
         s = f"CAST(sum(CAST(round(amount * 10000) AS BIGINT)) OVER {w} AS BIGINT) / 10000.0::DOUBLE"
         gap = f"(us - lag(us) OVER {o})"
-        prev = f"lag(amount) OVER {o}"
+        own = "CAST(round(amount * 10000) AS BIGINT)"
+        prev = f"lag({own}) OVER {o}"
         out[f"{e}_txn_count_prior"] = f"CAST({n} AS DOUBLE)"
         if form == "batch":
             out[f"{e}_amount_mean_prior"] = f"CASE WHEN {n} > 0 THEN least(greatest({s} / {n}, 0.0), 1e7) END"
             out[f"{e}_time_since_prev_log"] = f"round(CASE WHEN {gap} IS NOT NULL THEN ln(1 + greatest({gap} // 1000000, 0) + 1) END, 6)"
             out[f"{e}_prev_amount_ratio"] = (f"CASE WHEN {prev} = 0 THEN CASE WHEN amount > 0 THEN 50.0 WHEN amount < 0 THEN 0.0 END "
-                                            f"WHEN {prev} IS NOT NULL THEN least(greatest(amount / {prev}, 0.0), 50.0) END")
+                                            f"WHEN {prev} IS NOT NULL THEN least(greatest({own} / {prev}, 0.0), 50.0) END")
         else:
             out[f"{e}_amount_mean_prior"] = f"CASE WHEN {n} > 0 THEN {s} / {n} ELSE 0.0 END"
             out[f"{e}_time_since_prev_log"] = f"round(CASE WHEN {gap} IS NULL THEN 0.0 ELSE ln(1 + greatest({gap}, 0) / 1e6) END, 6)"
-            out[f"{e}_prev_amount_ratio"] = f"CASE WHEN {prev} > 0 THEN least(greatest(amount / {prev}, 0.0), 50.0) ELSE 1.0 END"
+            out[f"{e}_prev_amount_ratio"] = f"CASE WHEN {prev} > 0 THEN least(greatest({own} / {prev}, 0.0), 50.0) ELSE 1.0 END"
     return out
 
 
