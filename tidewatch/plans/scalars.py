@@ -10,7 +10,6 @@ from tidewatch.operators import priors, ranking as R, velocity as V
 from tidewatch.operators.sequences import CHANNEL_IDS, channel_id, error_id, mcc_vocabulary
 from tidewatch.plans.registry import query
 from tidewatch.plans.sqltext import sql
-from tidewatch.schemas import WEBHOOK_CONTEXT_KEYS
 from tidewatch.sources import cards, webhook
 
 ID = "transaction_id"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X
-from tidewatch.operators import asof, audit, memory as MEM, velocity as V
+from tidewatch.operators import asof, audit
 from tidewatch.operators.velocity import velocity_features
 from tidewatch.plans.joins import merchant_overrides
 from tidewatch.plans.memory import LEDGER

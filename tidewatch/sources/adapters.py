@@ -125,7 +125,3 @@ def repair_log(txn: DataFrame) -> DataFrame:
     return txn.select("seq", "transaction_id", "event_time", "merchant_id",
                       text.alias("error_text"), (F.col("amount") > 10.0).alias("success"))
 
-
-def document_failures(documents: DataFrame) -> DataFrame:
-    """Free text for the text classifiers: whole documents, never prefixes."""
-    return documents.select(F.col("doc_id"), F.col("text").alias("error_text"))
