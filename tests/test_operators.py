@@ -350,3 +350,43 @@ def test_retention(spark):
     df = spark.range(100).withColumnRenamed("id", "seq")
     assert files.keep_newest(df, "seq", above=100, keep=50).count() == 100
     assert sorted(r[0] for r in files.keep_newest(df, "seq", above=99, keep=50).collect()) == list(range(50, 100))
+
+
+def test_null_keys_are_cut_into_slices_too(spark):
+    """Half of all rows have no key: they are one hot entity, and no slice holds them all."""
+    from tidewatch.operators import positions, skew
+
+    rows = [(f"t{i}", i, None if i % 2 else f"k{i % 7}", (i * 1000,)) for i in range(2000)]
+    txn = spark.createDataFrame([(a, b, c, d[0]) for a, b, c, d in rows], "transaction_id string, seq long, k string, s long").select(
+        "transaction_id", "seq", "k", F.timestamp_seconds("s").alias("event_time"))
+    got = {r.transaction_id: r.pos for r in positions.positions(txn, "k", hot_rows=300, slice_seconds=100_000).collect()}
+    seen = {}
+    for tid, _, k, _ in rows:
+        seen[k] = seen.get(k, 0) + 1
+        assert got[tid] == seen[k]
+    at = F.unix_micros("event_time")
+    hot = skew.hot_keys(txn.select("k"), ["k"], 300)
+    sliced = skew.with_slices(txn, ["k"], at, 100_000 * 1_000_000, hot)
+    assert sliced.filter("k IS NULL").groupBy(skew.SLICE).count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_order_keeps_single_microseconds(spark):
+    """Rows of the last split one microsecond apart, numbered by time and not by seq."""
+    from tidewatch.operators import ranking
+
+    base = 2 * 4503599627370496 + 1_700_000_000_000_000
+    df = spark.createDataFrame([(base + i, 100 - i) for i in range(50)], "pos long, seq long")
+    got = ranking.numbered(df, "pos", ["seq"]).collect()
+    assert all(r.row_id == r.pos - base for r in got)
+
+
+def test_sweep_places_the_marks_once(spark):
+    """Without hot entities the sweep has one exchange of the marks by their keys."""
+    import re
+
+    from tidewatch.operators import velocity
+    from tidewatch.sources import adapters
+
+    txn = adapters.events_to_txn(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    plan = velocity.velocity_features(txn, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(eid#\d+, ent#\d+|Exchange hashpartitioning\(ent#\d+, eid#\d+", plan)) == 1

@@ -30,7 +30,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, values: l
     if hot is not None:
         before = skew.carried(s, [by], {"_newest": F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(at)))},
                               {"_b": F.last("_newest", ignorenulls=True)})
-        out = out.join(before, [by, skew.SLICE], "left").withColumn("_m", F.coalesce("_m", "_b"))
+        out = skew.join_null_safe(out, before, [by, skew.SLICE]).withColumn("_m", F.coalesce("_m", "_b"))
     return out.filter(F.col("_side") == 1).select(
         *left.columns, F.col("_m._at").alias(f"{at}_matched"), *[F.col(f"_m.{v}").alias(f"{v}_matched") for v in values])
 

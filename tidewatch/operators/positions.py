@@ -20,7 +20,7 @@ def positions(txn: DataFrame, id_col: str, hot_rows: int = C.HOT_ROWS,
     out = s.withColumn("pos", F.row_number().over(w).cast("long"))
     if hot is not None:
         before = skew.carried(s, [id_col], {"n": F.count(F.lit(1))}, {"b_n": F.sum("n")})
-        out = (out.join(before, [id_col, skew.SLICE], "left")
+        out = (skew.join_null_safe(out, before, [id_col, skew.SLICE])
                .withColumn("pos", F.col("pos") + F.coalesce("b_n", F.lit(0))).drop("b_n", "_hot"))
     return out.drop(skew.SLICE, "at")
 

@@ -19,7 +19,8 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """Keys with more than `hot_rows` rows.
 
     Counting is partial before the shuffle. The result has fewer than
-    rows / hot_rows entries, which is what makes it safe to broadcast.
+    rows / hot_rows entries; whether that is small enough to broadcast is for
+    the planner to see. A null key counts like any other.
     """
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
@@ -31,11 +32,20 @@ def with_slices(df: DataFrame, keys: list[str], at: Column, slice_units: int,
     if hot is None:
         return df.withColumn(SLICE, F.lit(0).cast("long"))
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        join_null_safe(df, hot, keys)
         .withColumn(SLICE, F.when(F.col("_hot"), F.floor(at / slice_units)).otherwise(F.lit(0)).cast("long"))
     )
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on `keys` where a null key matches the null key."""
+    named = other.select(*[F.col(k).alias(f"_on_{k}") if k in keys else F.col(k) for k in other.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(named, cond, "left").drop(*[f"_on_{k}" for k in keys])
+
+
 def carried(df: DataFrame, keys: list[str], totals: dict[str, Column],
             running: dict[str, Column]) -> DataFrame:
     """Per (key, slice) of hot keys: `running` over the totals of earlier slices.

@@ -142,10 +142,13 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
                              .when(F.col("kind") == 1 + i, -F.col(f"f_{lab}")).otherwise(0)).cast("long")
     # Shuffle and sort the narrow marks first; the deltas are made behind that.
     # The slice totals below read the same shuffle, so both carry the same columns.
-    shuffled = marks.withColumn("leaves", (F.col("kind") != EVENT).cast("byte")).repartition(*KEYS, skew.SLICE)
-    placed = shuffled.sortWithinPartitions(*KEYS, skew.SLICE, "at", "leaves", "seq", "transaction_id")
+    # Without hot keys the slice is a constant, which the optimiser takes out of the
+    # window: the keys alone then place the marks once for all that follows.
+    place = [*KEYS, skew.SLICE] if hot is not None else list(KEYS)
+    shuffled = marks.withColumn("leaves", (F.col("kind") != EVENT).cast("byte")).repartition(*place)
+    placed = shuffled.sortWithinPartitions(*place, "at", "leaves", "seq", "transaction_id")
     flag = ["_hot"] if hot is not None else []
-    before = (Window.partitionBy(*KEYS, skew.SLICE)
+    before = (Window.partitionBy(*place)
               .orderBy("at", "leaves", "seq", "transaction_id")
               .rowsBetween(Window.unboundedPreceding, -1))
     swept = placed.select(

@@ -26,7 +26,7 @@ def featured(t, history: bool = False):
 
 
 def fitted(t, columns, frame):
-    return L.train_gbt(frame.filter(F.col("split") == "train"), columns, trees=10, depth=4)
+    return L.train_gbt(frame.filter(F.col("split") == "train"), columns)
 
 
 @query("ml_train_gbt")

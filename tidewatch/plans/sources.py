@@ -265,8 +265,8 @@ def _(t):
     "SELECT transaction_id, score, split, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, us, seq, transaction_id) - 1 AS row_id FROM scores", "scores"))
 def _(t):
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
-    # Split rank and time in one number: 2^52 microseconds are 142 years.
-    d = t.scores().withColumn("pos", (rank.cast("double") * 4503599627370496 + X.micros("event_time")))
+    # Split rank and time in one whole number, which keeps every microsecond apart: 2^52 of them are 142 years.
+    d = t.scores().withColumn("pos", (rank.cast("long") * 4503599627370496 + X.micros("event_time")))
     path = scratch_path(t.spark, "ordered-scores")
     R.numbered(d, "pos", ["seq", ID]).select(ID, "score", "split", "row_id").write.parquet(path)
     return t.spark.read.parquet(path)

@@ -20,6 +20,8 @@ from tidewatch.streaming import batches as B, state as S
 ID = "transaction_id"
 NAMES = C.velocity_feature_names()
 NOON = "2024-01-15"
+#: Files of each part; a micro-batch takes as many, so parts arrive one by one and no part goes through one task.
+FILES = 8
 
 
 def staged(t, order=("early", "late"), twice: bool = False) -> str:
@@ -29,12 +31,12 @@ def staged(t, order=("early", "late"), twice: bool = False) -> str:
     early = F.col("ts") < F.lit(NOON).cast("timestamp_ntz")
     for part in order:
         for _ in range(2 if twice else 1):
-            e.filter(early if part == "early" else ~early).coalesce(1).write.mode("append").parquet(path)
+            e.filter(early if part == "early" else ~early).repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
 def stateful(t, order=("early", "late"), ttl: int | None = None):
-    stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=1), ttl_seconds=ttl)
+    stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=FILES), ttl_seconds=ttl)
     return t.spark.read.parquet(B.run_available(stream, "entity-features", timed=ttl is not None))
 
 
@@ -89,7 +91,7 @@ def _(t):
 @query("st_idempotent", sql("SELECT transaction_id, customer_id, amount FROM txn", "txn"))
 def _(t):
     """Every event arrives twice; each transaction id passes once."""
-    s = B.event_stream(t.spark, staged(t, twice=True), files_per_batch=1)
+    s = B.event_stream(t.spark, staged(t, twice=True), files_per_batch=FILES)
     once = s.withWatermark("event_time", "60 days").dropDuplicatesWithinWatermark([ID])
     return t.spark.read.parquet(B.run_available(once.select(ID, "customer_id", "amount", "event_time"), "once")).drop("event_time")
 
@@ -112,10 +114,9 @@ def _(t):
 def _(t):
     """Progress of a finished stream as a row: batches and observations."""
     out = scratch_path(t.spark, "health")
-    q = B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1).select(ID),
-                      lambda df, i: B.write_batch(df, out, i), "health")
-    progress = [(int(p["batchId"]), int(p["numInputRows"])) for p in q.recentProgress if p["numInputRows"]]
-    p = t.spark.createDataFrame(progress, "batch long, rows long")
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES).select(ID),
+                  lambda df, i: B.write_batch(df.agg(F.count(F.lit(1)).alias("rows")), out, i), "health")
+    p = t.spark.read.parquet(out).filter("rows > 0")  # one row a micro-batch, however many there were
     return p.agg((F.sum("rows") >= 0).alias("healthy"), F.sum("rows").alias("observations"), F.count(F.lit(1)).alias("batches"))
 
 
@@ -129,7 +130,7 @@ def _(t):
         B.write_batch(B.sweep_batch(old, df), out, i)
         B.write_batch(df, hist, i)
 
-    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1), step, "replay")
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES), step, "replay")
     return t.spark.read.parquet(out).select(ID, "cust_v_7d_count", "cust_v_7d_distinct_merchants", "merch_v_24h_count")
 
 
@@ -156,7 +157,7 @@ def score_stream(t) -> str:
     """Velocity state, then cold-start rules or the model, then decision rows per batch."""
     out, feats = scratch_path(t.spark, "decisions"), scratch_path(t.spark, "features")
     path = staged(t)
-    B.run_batches(S.entity_features(B.event_stream(t.spark, path, files_per_batch=1)),
+    B.run_batches(S.entity_features(B.event_stream(t.spark, path, files_per_batch=FILES)),
                   lambda df, i: B.write_batch(S.widen(df), feats, i), "features")
     features = t.spark.read.parquet(feats).drop("batch")
 
@@ -166,7 +167,7 @@ def score_stream(t) -> str:
         rows = base.select(ID, "seq", "event_time", "amount", "merchant_id", p.alias("p"), *X.calendar_columns()).join(features, ID)
         B.write_batch(B.decide(rows, 0.55, 0.25, F.col("p")), out, i)
 
-    B.run_batches(B.event_stream(t.spark, path, files_per_batch=1), step, "score")
+    B.run_batches(B.event_stream(t.spark, path, files_per_batch=FILES), step, "score")
     return out
 
 
@@ -187,7 +188,7 @@ def _(t):
 def _(t):
     """Decisions appended to the ledger batch by batch, chained across batches."""
     root = scratch_path(t.spark, "ledger")
-    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1),
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES),
                   lambda df, i: B.append_ledger(t.spark, audit.from_decisions(A.decisions(df)), root, i), "ledger")
     return t.spark.read.parquet(root).select("seq", "hash", "prev_hash")
 
@@ -216,7 +217,7 @@ def _(t):
     """The threshold table is read again for every micro-batch."""
     thresholds, out = scratch_path(t.spark, "thresholds"), scratch_path(t.spark, "final")
     merchant_overrides(t).write.parquet(thresholds)
-    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=1), lambda df, i: B.write_batch(
+    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES), lambda df, i: B.write_batch(
         B.apply_current_overrides(A.decisions(df), thresholds, 0.55, 0.25).select(ID, "threshold_source", "final_action"), out, i), "overrides")
     return t.spark.read.parquet(out).drop("batch")
 
@@ -225,7 +226,7 @@ def _(t):
 def _(t):
     """Daily windows, kept up to date batch by batch."""
     out = scratch_path(t.spark, "daily")
-    d = A.decisions(B.event_stream(t.spark, staged(t), files_per_batch=1)).withWatermark("event_time", "1 day")
+    d = A.decisions(B.event_stream(t.spark, staged(t), files_per_batch=FILES)).withWatermark("event_time", "1 day")
     daily = d.groupBy(F.window("event_time", "1 day"), "action").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
     B.run_batches(daily, lambda df, i: df.write.mode("overwrite").parquet(out), "daily", mode="complete")
     r = t.spark.read.parquet(out)

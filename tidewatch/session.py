@@ -68,12 +68,3 @@ def stored(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def checkpointed(df):
-    """Cut lineage through the reliable checkpoint folder (survives executor loss)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"{shared_folder(spark)}/tidewatch/checkpoints")
-    return df.checkpoint(eager=True)
