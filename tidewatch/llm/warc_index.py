@@ -73,7 +73,7 @@ def captures(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
 
 
 def _record(c: DataFrame) -> DataFrame:
-    """The text of each record, without its terminator."""
+    """The text of each record, without its terminator, as `value`."""
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     second = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)) + _EPOCH
     date = F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -88,16 +88,16 @@ def _record(c: DataFrame) -> DataFrame:
         _base32_of(F.col("hex")),
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(_END))
-    return c.select(F.concat(head, block).alias("value"), "page_id", "hex", "n")
+    return c.select(F.concat(head, block).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """WARC files of all pages below `path`, each of about `archive_bytes` or one larger record."""
-    made = captures(pages)
-    total = pages.agg(F.sum(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 700).alias("n")).first()["n"] or 0
-    files = max(1, -(-int(total) // archive_bytes))
-    dealt = _record(made).repartition(files, F.xxhash64("page_id", "hex", "n")).select("value")
-    dealt.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    """WARC files of all pages below `path`, of as many records as `archive_bytes` hold on average."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 700
+    seen = pages.agg(F.avg(size).alias("each")).first()["each"] or archive_bytes
+    # a task cuts what it holds into files; payloads move for the join at most, not to be dealt out again
+    _record(captures(pages)).select("value").write.option("maxRecordsPerFile", max(1, int(archive_bytes / seen))).option(
+        "lineSep", _END).option("compression", "gzip").text(path)
 
 
 def _parse(whole: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
