@@ -108,8 +108,9 @@ def separator_scan(blocks: DataFrame, end_id: int = END_OF_DOCUMENT) -> DataFram
                 [part.column("file"), part.column("block"), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
                 names=["file", "block", "size", "ends"])
 
-    found = blocks.select("file", F.col("block").cast("long").alias("block"), "tokens").mapInArrow(
-        find, f"file {file_type}, block long, size long, ends array<long>")
+    # a row of a few numbers for each block; stored, so that all that follows reads no block again
+    found = stored(blocks.select("file", F.col("block").cast("long").alias("block"), "tokens").mapInArrow(
+        find, f"file {file_type}, block long, size long, ends array<long>"), "block-ends")
     each = found.withColumns({
         "n_ends": F.size("ends").cast("long"),
         "span": F.floor(F.col("block") / BLOCKS_PER_SPAN).cast("long"),
