@@ -390,3 +390,22 @@ def test_sweep_places_the_marks_once(spark):
     txn = adapters.events_to_txn(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     plan = velocity.velocity_features(txn, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(eid#\d+, ent#\d+|Exchange hashpartitioning\(ent#\d+, eid#\d+", plan)) == 1
+
+
+def test_snapshots_read_their_source_once_and_join_no_ranges(spark):
+    rows = [(i, f"t{i}", dt.datetime(2020 + i, 6, 1), "c1" if i else None, f"k{i % 2}", "m1", 10.0, i % 2) for i in (0, 1, 2, 5)]
+    df = spark.createDataFrame(rows, "seq long, transaction_id string, event_time timestamp, customer_id string, card_id string, merchant_id string, amount double, is_fraud int")
+    nodes = G.snapshot_nodes(df)
+    assert nodes.groupBy("node_type", "node_id").count().filter("count != 4").count() == 0
+    assert nodes.count() == nodes.select("node_type", "node_id", "bucket_idx").distinct().count() == 4 * 5
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") <= 2 and plan.count("BroadcastNestedLoopJoin") <= 1  # the one row of buckets
+
+
+def test_trees_stop_when_the_validation_part_gains_no_more(spark):
+    from tidewatch.operators import learned as L
+
+    df = spark.range(600).selectExpr("cast(id % 7 AS double) AS a", "cast(hash(id) % 2 = 0 AS int) AS is_fraud", "id % 3 = 0 AS v")
+    model, weight = L.train_gbt(df.filter("NOT v"), ["a"], trees=20, depth=2, validation=df.filter("v"))
+    assert model.getNumTrees < 20 and weight > 0
+    assert L.train_gbt(df.filter("NOT v"), ["a"], trees=3, depth=2, validation=df.limit(0))[0].getNumTrees == 3

@@ -40,3 +40,68 @@ def test_ledger_is_chained_across_batches_and_replays_cleanly(spark, tmp_path):
         B.append_ledger(spark, part, root, batch)
     led = spark.read.parquet(root).drop("batch")
     assert audit.verify(led).first()["valid"] and led.count() == rec.count()
+
+
+def test_a_batch_reads_the_heads_and_not_the_ledger(spark, tmp_path):
+    from tidewatch.operators import audit
+
+    rec = spark.range(30).selectExpr("id AS seq", "cast(id AS string) AS id", "'x' AS event_type", "'{}' AS payload")
+    root = str(tmp_path / "ledger")
+    for batch in range(3):
+        B.append_ledger(spark, rec.filter(f"seq div 10 = {batch}"), root, batch)
+    B.append_ledger(spark, rec.limit(0), root, 3)
+    heads = {r["batch"]: r["seq"] for r in spark.read.parquet(f"{root}-heads").collect()}
+    assert heads == {0: 9, 1: 19, 2: 29}
+    assert audit.verify(spark.read.parquet(root).drop("batch")).first()["valid"]
+
+
+def test_links_across_groups_of_blocks(spark, monkeypatch):
+    from tidewatch.operators import audit
+
+    monkeypatch.setattr(audit, "LINK_SLICE", 3)
+    rec = spark.range(100).filter("id NOT BETWEEN 40 AND 61").selectExpr(
+        "id AS seq", "cast(id AS string) AS id", "'x' AS event_type", "'{}' AS payload")
+    chained = audit.chain(rec)
+    rows = chained.orderBy("seq").collect()
+    assert [r["prev_hash"] for r in rows] == [C.GENESIS, *[r["hash"] for r in rows[:-1]]]
+    good = audit.verify(chained).first()
+    assert (good["valid"], good["records"], good["first_broken_seq"], good["first_broken_index"]) == (True, 78, None, None)
+    bad = audit.verify(chained.withColumn("payload", F.when(F.col("seq").isin(65, 80), "{1}").otherwise(F.col("payload")))).first()
+    assert (bad["valid"], bad["first_broken_seq"], bad["first_broken_index"]) == (False, 65, 43)
+    assert audit.verify(chained.limit(0)).first()["records"] == 0
+
+
+def test_feedback_after_200_days_is_an_episode_and_the_rest_is_unmatched(spark, tmp_path):
+    dec = spark.sql("""SELECT * FROM VALUES ('a', timestamp'2024-01-01', 'allow'), ('a', timestamp'2024-01-02', 'hold'),
+                       ('b', timestamp'2024-01-01', 'hold') v(transaction_id, event_time, action)""")
+    fb = spark.sql("""SELECT * FROM VALUES ('a', timestamp'2024-07-19', 'fraud'), ('z', timestamp'2024-01-02', 'legit'),
+                      (NULL, timestamp'2024-01-02', 'legit'), ('b', timestamp'2023-12-31', 'legit') v(transaction_id, feedback_time, outcome)""")
+    good, lost = str(tmp_path / "good"), str(tmp_path / "lost")
+    for _ in range(2):  # a replay leaves the same
+        B.match_feedback(spark, fb, dec, good, lost, 0)
+    assert sorted((r["transaction_id"], r["action"], r["outcome"]) for r in spark.read.parquet(good).collect()) == [
+        ("a", "allow", "fraud"), ("b", "hold", "legit")]
+    assert sorted((r["transaction_id"] or "", r["error"]) for r in spark.read.parquet(lost).collect()) == [
+        ("", "no audited decision for transaction ''"), ("z", "no audited decision for transaction 'z'")]
+
+
+def test_rows_pass_once_however_old(spark, tmp_path):
+    rows = spark.sql("""SELECT * FROM VALUES ('a', timestamp'2024-01-01'), ('b', timestamp'2024-09-01'), ('c', NULL), (NULL, NULL)
+                        v(id, event_time)""")
+    root = str(tmp_path / "once")
+    B.append_once(spark, rows.limit(0), root, 0, "id")
+    B.append_once(spark, rows.unionByName(rows), root, 1, "id")
+    B.append_once(spark, rows, root, 2, "id")  # a late repetition
+    B.append_once(spark, rows, root, 2, "id")
+    got = [r["id"] for r in B.read_batches(spark, root, schema=rows.withColumn("day", F.to_date("event_time")).schema).collect()]
+    assert sorted(i for i in got if i) == ["a", "b", "c"] and got.count(None) == 3
+
+
+def test_health_counts_more_batches_than_progress_keeps(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(0, 130, 1, 130).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'purchase' AS event_type",
+                                           "1.0D AS value", "'{}' AS props").write.parquet(src)
+    B.run_batches(B.event_stream(spark, src, files_per_batch=1).select("transaction_id"),
+                  lambda df, i: B.write_batch(df.agg(F.count(F.lit(1)).alias("rows")), out, i), "many")
+    p = spark.read.parquet(out).filter("rows > 0")
+    assert p.count() == 130 and p.agg(F.sum("rows")).first()[0] == 130

@@ -25,46 +25,61 @@ def record_hash(record_id: Column, event_type: Column, payload_json: Column) ->
 def _previous(df: DataFrame, value: str, name: str) -> DataFrame:
     """Value of the row before in `seq` order, GENESIS for the first.
 
-    Rows are linked inside blocks of `seq`; the last value of each block (one
-    row per block) links the blocks.
+    Rows are linked inside blocks of `seq`, blocks (by their last value, one row
+    a block) inside groups of LINK_SLICE blocks, and only the groups, one row for
+    10^10 records, in one task. `_block` and `_at`, the row's place in its block
+    from 1, stay for the caller.
     """
     d = df.withColumn("_block", F.floor(F.col("seq") / LINK_SLICE))
     inner = Window.partitionBy("_block").orderBy("seq")
-    ends = d.groupBy("_block").agg(F.max_by(value, "seq").alias("_last"))
-    ends = ends.select("_block", F.lag("_last").over(Window.orderBy("_block")).alias("_carry"))
+    ends = d.groupBy("_block").agg(F.max_by(value, "seq").alias("_last")).withColumn("_group", F.floor(F.col("_block") / LINK_SLICE))
+    groups = ends.groupBy("_group").agg(F.max_by("_last", "_block").alias("_last"))
+    groups = groups.select("_group", F.lag("_last").over(Window.orderBy("_group")).alias("_from"))
+    carried = F.lag("_last").over(Window.partitionBy("_group").orderBy("_block"))
+    ends = ends.withColumn("_carry", carried).join(groups, "_group").select("_block", F.coalesce("_carry", "_from").alias("_carry"))
     return (d.withColumn("_lag", F.lag(value).over(inner))
-            .withColumn("_first", F.row_number().over(inner) == 1)
+            .withColumn("_at", F.row_number().over(inner))
             .join(ends, "_block")
-            .withColumn(name, F.coalesce(F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")),
+            .withColumn(name, F.coalesce(F.when(F.col("_at") == 1, F.col("_carry")).otherwise(F.col("_lag")),
                                          F.lit(C.GENESIS)))
-            .drop("_block", "_lag", "_first", "_carry"))
+            .drop("_lag", "_carry"))
 
 
 def chain(records: DataFrame) -> DataFrame:
     """Add `hash` and `prev_hash` to records (seq, id, event_type, payload)."""
     h = records.withColumn("hash", record_hash(F.col("id"), F.col("event_type"), F.col("payload")))
-    return _previous(h, "hash", "prev_hash")
+    return _previous(h, "hash", "prev_hash").drop("_block", "_at")
 
 
-def verify_rows(ledger: DataFrame) -> DataFrame:
-    """Per record: body_ok (hash recomputed) and link_ok (previous hash matches)."""
+def _checked(ledger: DataFrame) -> DataFrame:
     expect = record_hash(F.col("id"), F.col("event_type"), F.col("payload"))
     linked = _previous(ledger, "hash", "_expected_prev")
     return linked.withColumn("body_ok", F.col("hash") == expect).withColumn(
         "link_ok", F.col("prev_hash") == F.col("_expected_prev")).drop("_expected_prev")
 
 
+def verify_rows(ledger: DataFrame) -> DataFrame:
+    """Per record: body_ok (hash recomputed) and link_ok (previous hash matches)."""
+    return _checked(ledger).drop("_block", "_at")
+
+
 def verify(ledger: DataFrame) -> DataFrame:
-    """One row: valid, records, seq of the first broken record and its index."""
-    ok = F.col("body_ok") & F.col("link_ok")
-    rows = verify_rows(ledger)
-    first = rows.agg(F.count(F.lit(1)).alias("records"),
-                     F.min(F.when(~ok, F.col("seq"))).alias("first_broken_seq"))
-    earlier = ledger.join(F.broadcast(first), ledger["seq"] < F.col("first_broken_seq"))
-    index = earlier.agg(F.count(F.lit(1)).alias("_i"))
-    return first.join(F.broadcast(index)).select(
-        F.col("first_broken_seq").isNull().alias("valid"), "records", "first_broken_seq",
-        F.when(F.col("first_broken_seq").isNotNull(), F.col("_i")).alias("first_broken_index"))
+    """One row: valid, records, seq of the first broken record and its index.
+
+    The records are checked once; what is left is one row a block, and the index
+    of the first broken one is its place in its block behind the blocks before.
+    """
+    bad = ~(F.col("body_ok") & F.col("link_ok"))
+    blocks = _checked(ledger).groupBy("_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(bad, F.struct("seq", "_at"))).alias("broken"))
+    first = blocks.agg(F.min(F.when(F.col("broken").isNotNull(), F.struct("_block", "broken"))).alias("_bad"))
+    before = F.col("_block") < F.col("_bad._block")
+    both = blocks.join(F.broadcast(first)).agg(
+        F.sum("n").alias("records"), F.first("_bad").alias("_bad"), F.sum(F.when(before, F.col("n"))).alias("_n"))
+    return both.select(
+        F.col("_bad").isNull().alias("valid"), F.coalesce("records", F.lit(0)).alias("records"),
+        F.col("_bad.broken.seq").alias("first_broken_seq"),
+        (F.coalesce("_n", F.lit(0)) + F.col("_bad.broken._at") - 1).alias("first_broken_index"))
 
 
 def daily(ledger: DataFrame, days: int = 14) -> DataFrame:
@@ -83,8 +98,10 @@ def daily(ledger: DataFrame, days: int = 14) -> DataFrame:
 
 
 def recent(ledger: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest records first; between 1 and 200 of them."""
-    return ledger.orderBy(F.desc("seq")).limit(max(1, min(limit, 200)))
+    """Newest records first; between 1 and 200 of them can be asked for."""
+    if not 1 <= limit <= 200:
+        raise ValueError(f"limit must lie between 1 and 200, not {limit}")
+    return ledger.orderBy(F.desc("seq")).limit(limit)
 
 
 def from_decisions(dec: DataFrame) -> DataFrame:

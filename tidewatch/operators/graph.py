@@ -22,44 +22,59 @@ def bucket_fractions(bucketed: DataFrame) -> DataFrame:
     return attach_row(ranked, n).select("bucket_idx", (F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).alias("month_frac"))
 
 
-def entity_month(txn: DataFrame, id_col: str, partner: str) -> DataFrame:
+def entity_month(txn: DataFrame, id_col: str, partner: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per (entity, month): rows, amount, exact distinct partners, frauds.
 
     Partners are made distinct by grouping, so a busy entity's month is spread
-    over (entity, month, partner) before it comes together.
+    over (entity, month, partner) before it comes together. `keys` stand beside
+    the entity, such as its type.
     """
-    pair = txn.groupBy(id_col, "month_idx", partner).agg(
+    pair = txn.groupBy(*keys, id_col, "month_idx", partner).agg(
         F.count(F.lit(1)).alias("n"), F.sum(X.money_units("amount")).alias("a"), F.sum("is_fraud").alias("f"))
-    return pair.groupBy(id_col, "month_idx").agg(
+    return pair.groupBy(*keys, id_col, "month_idx").agg(
         F.sum("n").alias("n"), (F.sum("a") / F.lit(10000.0)).alias("amt"), F.count(partner).alias("extra"),
         F.sum("f").alias("fraud"))
 
 
-def history(monthly: DataFrame, id_col: str, exclusive: bool = True) -> DataFrame:
+def history(monthly: DataFrame, id_col: str, exclusive: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative month totals per entity; `exclusive` leaves out the month itself.
 
     At most one row per entity and calendar month enters the window.
     """
-    w = Window.partitionBy(id_col).orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, id_col).orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0)
     own = 1 if exclusive else 0
     return monthly.select(
-        id_col, "month_idx",
+        *keys, id_col, "month_idx",
         *[(F.sum(c).over(w) - own * F.col(c)).alias(f"hist_{c}") for c in ("n", "amt", "extra", "fraud")],
         (F.count(F.lit(1)).over(w) - own).alias("hist_months"))
 
 
-def latest_past(hist: DataFrame, id_col: str, cuts: DataFrame) -> DataFrame:
-    """Latest history row before each cut month, per entity.
+def bucket_list(bucketed: DataFrame) -> DataFrame:
+    """One row with the buckets that occur, in order: a short calendar list."""
+    return bucketed.select("bucket_idx").distinct().agg(F.sort_array(F.collect_list("bucket_idx")).alias("_buckets"))
 
-    A history row serves the cuts after its month up to the entity's next
-    month, so every (entity, cut) is produced once. `cuts` (bucket_idx, cut) is
-    a short calendar list.
+
+def serve(hist: DataFrame, ids: list[str], buckets: DataFrame, bucket_months: int, before_first: bool = False) -> DataFrame:
+    """Latest history row before the first month of each bucket, per entity.
+
+    A history row serves the buckets that begin after its month and not after
+    the entity's next month, so every (entity, bucket) is produced once, by the
+    row itself and without a join. `before_first` adds the buckets before an
+    entity's history, with nulls.
     """
-    until = F.lead("month_idx").over(Window.partitionBy(id_col).orderBy("month_idx"))
-    spans = hist.withColumn("_until", until)
-    cond = (F.col("cut") > F.col("month_idx")) & (F.col("_until").isNull() | (F.col("cut") <= F.col("_until")))
-    cols = [c for c in hist.columns if c.startswith("hist_")]
-    return spans.join(F.broadcast(cuts), cond).select(id_col, "bucket_idx", "month_idx", *cols)
+    w = Window.partitionBy(*ids).orderBy("month_idx")
+    low = F.floor(F.col("month_idx") / bucket_months) + 1
+    spans = attach_row(hist.withColumn("_until", F.lead("month_idx").over(w)).withColumn("_first", F.row_number().over(w) == 1), buckets)
+    mine = F.filter("_buckets", lambda k: ((k >= low) | (F.col("_first") & F.lit(before_first)))
+                    & (F.col("_until").isNull() | (k * bucket_months <= F.col("_until"))))
+    each = spans.withColumn("bucket_idx", F.explode(mine))
+    cols = ["month_idx", *[c for c in hist.columns if c.startswith("hist_")]]
+    return each.select(*ids, "bucket_idx", *[F.when(F.col("bucket_idx") >= low, F.col(c)).alias(c) for c in cols])
+
+
+def latest_past(hist: DataFrame, id_col: str, buckets: DataFrame, bucket_months: int = 12) -> DataFrame:
+    """Latest history row before each bucket of `bucket_list`, per entity."""
+    return serve(hist, [id_col], buckets, bucket_months)
 
 
 def _ratio(a: str, b: str, high: float | None = None) -> Column:
@@ -85,10 +100,6 @@ NODE_TYPES = {"customer": ("customer_id", "merchant_id"), "merchant": ("merchant
               "card": ("card_id", "merchant_id")}
 
 
-def cut_months(bucketed: DataFrame, bucket_months: int) -> DataFrame:
-    return bucketed.select("bucket_idx").distinct().withColumn("cut", F.col("bucket_idx") * bucket_months)
-
-
 def snapshot_nodes(txn: DataFrame, bucket_months: int = 12, exclusive: bool = False) -> DataFrame:
     """Node features per bucket for customers, merchants and cards.
 
@@ -96,16 +107,14 @@ def snapshot_nodes(txn: DataFrame, bucket_months: int = 12, exclusive: bool = Fa
     before the bucket. `exclusive=True` drops the newest past month as well.
     """
     b = with_buckets(txn, bucket_months)
-    cuts = cut_months(b, bucket_months)
-    buckets = cuts.agg(F.sort_array(F.collect_list("bucket_idx")).alias("buckets"))  # one short row
-    parts = []
-    for kind, (idc, partner) in NODE_TYPES.items():
-        hist = history(entity_month(b, idc, partner), idc, exclusive)
-        past = latest_past(hist, idc, cuts)
-        roster = attach_row(b.select(idc).distinct(), buckets).select(idc, F.explode("buckets").alias("bucket_idx"))
-        nodes = roster.join(past, [idc, "bucket_idx"], "left")
-        parts.append(node_features(nodes.withColumnRenamed(idc, "node_id").withColumn("node_type", F.lit(kind))))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    buckets = bucket_list(b)
+    ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("node_type"), F.col(idc).alias("node_id"), F.col(partner).alias("partner"))
+                               for kind, (idc, partner) in NODE_TYPES.items()])).alias("e")
+    sides = b.select("month_idx", "amount", "is_fraud", ends).select("e.*", "month_idx", "amount", "is_fraud")
+    kinds = ("node_type",)
+    hist = history(entity_month(sides, "node_id", "partner", kinds), "node_id", exclusive, kinds)
+    served = serve(hist, ["node_type", "node_id"], buckets, bucket_months, before_first=True)
+    return node_features(served)
 
 
 def edge_attributes(txn: DataFrame, bucket_months: int = 12, equality: bool = False) -> DataFrame:

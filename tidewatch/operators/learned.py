@@ -72,22 +72,30 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
 
 
-def class_weight(train: DataFrame, label: str = "is_fraud") -> float:
-    """Negatives per positive of the training rows."""
-    r = train.agg(F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p")).first()
-    return float(r["n"]) / max(r["p"], 1)
-
-
 def train_gbt(train: DataFrame, columns: list[str], label: str = "is_fraud", trees: int = 50, depth: int = 5,
-              step: float = 0.1, seed: int = 42):
-    """Class-weighted boosted trees; returns (model, weight of a positive row)."""
+              step: float = 0.1, seed: int = 42, validation: DataFrame | None = None, tolerance: float = 1e-3):
+    """Class-weighted boosted trees; returns (model, weight of a positive row).
+
+    With rows in `validation` boosting stops at the tree after which their loss no
+    longer falls by `tolerance` of itself; `trees` is the most there can be. The
+    weight, negatives per positive, is that of the training rows.
+    """
     from pyspark.ml.classification import GBTClassifier
 
-    w = class_weight(train, label)
-    data = assemble(train, columns).select(
-        "features", F.col(label).cast("double").alias("label"), F.when(F.col(label) == 1, w).otherwise(1.0).alias("weight"))
+    rows = train.withColumn("_held", F.lit(False))
+    if validation is not None:
+        rows = rows.unionByName(validation.withColumn("_held", F.lit(True)))
+    fitting = ~F.col("_held")
+    r = rows.agg(F.count_if(fitting & (F.col(label) == 0)).alias("n"), F.count_if(fitting & (F.col(label) == 1)).alias("p"),
+                 F.count_if(F.col("_held")).alias("held")).first()
+    w = float(r["n"]) / max(r["p"], 1)
+    data = assemble(rows, columns).select(
+        "features", "_held", F.col(label).cast("double").alias("label"), F.when(F.col(label) == 1, w).otherwise(1.0).alias("weight"))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
                         stepSize=step, seed=seed, subsamplingRate=0.9, checkpointInterval=10)
+    if r["held"]:
+        gbt = gbt.setValidationIndicatorCol("_held")
+        gbt = gbt.copy({gbt.validationTol: tolerance})
     return gbt.fit(data), w
 
 

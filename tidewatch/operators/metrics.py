@@ -52,6 +52,19 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "is_frau
         .alias("average_precision"))
 
 
+def ranking_report(df: DataFrame, keys: list[str], score: str = "score", label: str = "is_fraud") -> DataFrame:
+    """rows, frauds, `roc_auc` and `average_precision` per key, from one cumulative pass."""
+    g = score_groups(df, score, label, keys)
+    neg = F.col("n") - F.col("pos")
+    neg_below = (F.col("total_n") - F.col("total_pos")) - (F.col("before_n") - F.col("before_pos")) - neg
+    pairs = F.max("total_pos") * (F.max("total_n") - F.max("total_pos"))
+    precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))
+    return g.groupBy(*keys).agg(
+        F.max("total_n").alias("rows"), F.max("total_pos").alias("frauds"),
+        F.when(pairs > 0, F.sum(F.col("pos") * (neg_below + neg / 2)) / pairs).alias("roc_auc"),
+        F.sum(F.col("pos") / F.when(F.col("total_pos") > 0, F.col("total_pos")) * precision).alias("average_precision"))
+
+
 def best_f1(df: DataFrame, score: str = "score", label: str = "is_fraud") -> DataFrame:
     """The threshold of the largest F1; the lowest one when several tie."""
     c = pr_curve(df, score, label)
@@ -168,6 +181,4 @@ def standardise(df: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
 def metrics_report(df: DataFrame, score: str = "score", label: str = "is_fraud",
                    key: str = "split") -> DataFrame:
     """rows, frauds, ROC-AUC and average precision per split."""
-    auc = roc_auc(df, score, label, [key])
-    ap = average_precision(df, score, label, [key])
-    return auc.join(F.broadcast(ap), key)
+    return ranking_report(df, [key], score, label)

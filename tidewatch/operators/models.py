@@ -11,9 +11,7 @@ from tidewatch.operators import metrics as M
 
 def metrics_by_model(scored: DataFrame, model: str) -> DataFrame:
     """Validation and locked-test metrics per model, from (model, split, score, is_fraud)."""
-    auc = M.roc_auc(scored, keys=[model, "split"])
-    ap = M.average_precision(scored, keys=[model, "split"])
-    m = auc.join(ap, [model, "split"])
+    m = M.ranking_report(scored, [model, "split"])
     val, test = F.col("split") == "val", F.col("split") == "test"
     return m.groupBy(model).agg(
         F.max(F.when(val, F.col("roc_auc"))).alias("val_roc"),

@@ -117,7 +117,7 @@ hi AS (SELECT em.id, bucket_idx, sum(n)::BIGINT AS n, sum(amt) AS amt, sum(extra
 def _(t):
     b = G.with_buckets(t.lines())
     h = G.history(G.entity_month(b, "merchant_id", "customer_id"), "merchant_id", exclusive=False)
-    return G.latest_past(h, "merchant_id", G.cut_months(b, 12)).withColumn("hist_amt", F.round("hist_amt", 2))
+    return G.latest_past(h, "merchant_id", G.bucket_list(b)).withColumn("hist_amt", F.round("hist_amt", 2))
 
 
 def node_sql(idc, partner, kind):

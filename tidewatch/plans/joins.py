@@ -102,8 +102,8 @@ _HIST = """hm AS (SELECT customer_id, month_idx, count(*) AS n, sum(amount) AS a
 def _(t):
     b = G.with_buckets(t.lines())
     hist = G.history(G.entity_month(b, "customer_id", "merchant_id"), "customer_id", exclusive=False)
-    cuts = t.spark.range(1).select(F.lit(26).cast("long").alias("bucket_idx"), F.lit(312).cast("long").alias("cut"))
-    past = G.latest_past(hist, "customer_id", cuts)
+    bucket = t.spark.range(1).select(F.array(F.lit(26).cast("long")).alias("_buckets"))
+    past = G.latest_past(hist, "customer_id", bucket)
     roster = b.select("customer_id").distinct()
     return roster.join(past, "customer_id", "left").select(
         "customer_id", F.coalesce("hist_n", F.lit(0)).alias("hist_n"),

@@ -26,7 +26,8 @@ def featured(t, history: bool = False):
 
 
 def fitted(t, columns, frame):
-    return L.train_gbt(frame.filter(F.col("split") == "train"), columns)
+    part = lambda s: frame.filter(F.col("split") == s)
+    return L.train_gbt(part("train"), columns, validation=part("validation"))
 
 
 @query("ml_train_gbt")

@@ -91,9 +91,10 @@ def _(t):
 @query("st_idempotent", sql("SELECT transaction_id, customer_id, amount FROM txn", "txn"))
 def _(t):
     """Every event arrives twice; each transaction id passes once."""
-    s = B.event_stream(t.spark, staged(t, twice=True), files_per_batch=FILES)
-    once = s.withWatermark("event_time", "60 days").dropDuplicatesWithinWatermark([ID])
-    return t.spark.read.parquet(B.run_available(once.select(ID, "customer_id", "amount", "event_time"), "once")).drop("event_time")
+    s = B.event_stream(t.spark, staged(t, twice=True), files_per_batch=FILES).select(ID, "customer_id", "amount", "event_time")
+    out = scratch_path(t.spark, "once")
+    B.run_batches(s, lambda df, i: B.append_once(t.spark, df, out, i, ID), "once")
+    return t.spark.read.parquet(out).select(ID, "customer_id", "amount")
 
 
 @query("st_snapshot", sql(
@@ -195,12 +196,14 @@ def _(t):
 
 @query("st_feedback", sql("SELECT transaction_id, action, outcome, fail_type FROM epi", "epi"))
 def _(t):
+    """Outcomes arrive as a stream and meet the stored decisions."""
     path = staged(t)
-    dec = A.decisions(B.event_stream(t.spark, path)).select(ID, "event_time", "action")
-    fb = A.decisions(B.event_stream(t.spark, path)).select(
+    ledger = B.run_available(A.decisions(B.event_stream(t.spark, path)).select(ID, "event_time", "action"), "decided")
+    fb = A.decisions(B.event_stream(t.spark, path, files_per_batch=FILES)).select(
         F.col(ID), (F.col("event_time") + F.expr("INTERVAL 2 HOURS")).alias("feedback_time"), "outcome")
-    j = B.feedback_join(dec, fb).select(F.col(f"d.{ID}"), "action", "outcome", "feedback_time")
-    out = t.spark.read.parquet(B.run_available(j, "feedback"))
+    episodes, unmatched = scratch_path(t.spark, "episodes"), scratch_path(t.spark, "unmatched")
+    B.run_batches(fb, lambda df, i: B.match_feedback(t.spark, df, t.spark.read.parquet(ledger), episodes, unmatched, i), "feedback")
+    out = t.spark.read.parquet(episodes)
     return out.select(ID, "action", "outcome", X.fail_type("action", "outcome").alias("fail_type"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X, reasons
@@ -38,16 +38,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @contextmanager
-def stream_settings(spark: SparkSession, timed: bool = False) -> Iterator[None]:
+def stream_settings(spark: SparkSession, timed: bool = False, partitions: int | None = None) -> Iterator[None]:
     """Settings a stream takes over when it starts; the session gets its own back.
 
-    State lives in RocksDB. On a local master the state is cut into no more
-    pieces than twice the cores. State with a processing-time expiry asks for
-    empty batches without end, so `timed` streams run with those switched off.
+    State lives in RocksDB. Its pieces are fixed for the life of a checkpoint:
+    `partitions`, or the session's shuffle partitions up to twice its cores.
+    State with a processing-time expiry asks for empty batches without end, so
+    `timed` streams run with those switched off.
     """
-    wanted = {PROVIDER: ROCKSDB}
-    if spark.sparkContext.master.startswith("local"):
-        wanted[PARTITIONS] = str(min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism))
+    pieces = partitions or min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(pieces)}
     if timed:
         wanted[NO_DATA] = "false"
     before = {k: spark.conf.get(k) for k in wanted}
@@ -60,11 +60,12 @@ def stream_settings(spark: SparkSession, timed: bool = False) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def run_available(stream: DataFrame, name: str, path: str | None = None, timed: bool = False) -> str:
+def run_available(stream: DataFrame, name: str, path: str | None = None, timed: bool = False,
+                  partitions: int | None = None) -> str:
     """Process what is there, append to parquet, stop; returns the output folder."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
-    with stream_settings(spark, timed):
+    with stream_settings(spark, timed, partitions):
         (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{path}-checkpoint").option("path", path)
          .trigger(availableNow=True).start().awaitTermination())
@@ -86,14 +87,21 @@ def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
-def read_batches(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """All finished batches of a table, or None when there are none yet."""
-    try:
-        df = spark.read.parquet(root)
-    except Exception as exc:  # noqa: BLE001 - an empty table has no folder or no files yet
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
+def read_batches(spark: SparkSession, root: str, before: int | None = None, schema: T.StructType | None = None) -> DataFrame | None:
+    """All finished batches of a table, or None when there are none yet.
+
+    Tables whose batches may be without any file name their `schema`.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    numbers = [int(f.getPath().getName()[6:]) for f in files.listStatus(path) if f.getPath().getName().startswith("batch=")]
+    done = [n for n in numbers if before is None or n < before]
+    if not done:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    df = reader.parquet(root)
     return df if before is None else df.filter(F.col("batch") < before)
 
 
@@ -129,14 +137,44 @@ def decide(features: DataFrame, hold: float, review: float, probability) -> Data
 
 
 def append_ledger(spark: SparkSession, records: DataFrame, root: str, batch_id: int) -> None:
-    """Chain a batch of records behind the ledger's last row and append it."""
+    """Chain a batch of records behind the ledger's last row and append it.
+
+    Each batch leaves its last (seq, hash) in `<root>-heads`, one row a batch, so
+    no later batch reads the ledger itself. A replayed batch overwrites both.
+    """
+    heads = f"{root}-heads"
     chained = audit.chain(records)
-    old = read_batches(spark, root, before=batch_id)
+    old = read_batches(spark, heads, before=batch_id)
+    if old is None:  # a ledger from before there were heads
+        old = read_batches(spark, root, before=batch_id)
     if old is not None:
         last = old.agg(F.max_by("hash", "seq").alias("_last"))
         chained = chained.join(F.broadcast(last)).withColumn("prev_hash", F.when(
             F.col("prev_hash") == C.GENESIS, F.coalesce("_last", F.lit(C.GENESIS))).otherwise(F.col("prev_hash"))).drop("_last")
     write_batch(chained, root, batch_id)
+    written = spark.read.schema("seq long, hash string").parquet(f"{root}/batch={batch_id}")
+    write_batch(written.agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash")).filter("seq IS NOT NULL"),
+                heads, batch_id)
+
+
+def append_once(spark: SparkSession, rows: DataFrame, root: str, batch_id: int, key: str, at: str = "event_time") -> None:
+    """Append the rows whose `key` no earlier batch has stored; nothing expires.
+
+    Rows are stored by the day of `at`, and a batch reads the keys of its own days
+    only: a repeated delivery has the time of the first. Rows without a key cannot
+    be recognised and all stay; rows without a time share one folder.
+    """
+    day = rows.withColumn("day", F.to_date(at))
+    new = day.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    old = read_batches(spark, root, before=batch_id, schema=day.schema)
+    if old is not None:
+        span = day.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count_if(F.col("day").isNull()).alias("none")).first()
+        seen = F.lit(span["none"] > 0) & F.col("day").isNull()
+        if span["lo"] is not None:
+            seen |= F.col("day").between(F.lit(span["lo"]), F.lit(span["hi"]))  # literals prune the folders
+        new = new.join(old.filter(seen).select(key), key, "left_anti").select(day.columns)
+    kept = new.unionByName(day.filter(F.col(key).isNull()))
+    kept.write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch={batch_id}")
 
 
 def apply_current_overrides(decisions: DataFrame, thresholds_path: str, hold: float, review: float) -> DataFrame:
@@ -147,10 +185,22 @@ def apply_current_overrides(decisions: DataFrame, thresholds_path: str, hold: fl
     return MEM.apply_overrides(decisions, merchant, glob, hold, review)
 
 
-def feedback_join(decisions: DataFrame, feedback: DataFrame, wait: str = "30 days", lateness: str = "1 day") -> DataFrame:
-    """Outcomes meet their decisions within `wait`; both sides are bounded by watermarks."""
-    d = decisions.withWatermark("event_time", lateness).alias("d")
-    f = feedback.withWatermark("feedback_time", lateness).alias("f")
-    return d.join(f, F.expr(
-        "d.transaction_id = f.transaction_id AND f.feedback_time >= d.event_time "
-        f"AND f.feedback_time <= d.event_time + INTERVAL {wait}"))
+def match_feedback(spark: SparkSession, feedback: DataFrame, decisions: DataFrame, episodes: str, unmatched: str,
+                   batch_id: int, order: str = "event_time") -> None:
+    """Outcomes of a micro-batch meet the stored decisions, however late they come.
+
+    `feedback` has (transaction_id, outcome, ...), `decisions` is the stored table of
+    audited decisions; of several for one id the first by `order` counts. What meets a
+    decision goes to the `episodes` table, everything else, outcomes without an id
+    included, to `unmatched` with its reason; no outcome is lost. A batch of outcomes
+    is small beside the decisions, so the planner broadcasts it or shuffles, as its
+    size asks for.
+    """
+    asked = feedback.select("transaction_id").distinct()
+    d = decisions.join(asked, "transaction_id", "left_semi").groupBy(F.col("transaction_id").alias("_id")).agg(F.min_by(
+        F.struct(*[c for c in decisions.columns if c != "transaction_id"]), F.struct(F.isnull(order), order)).alias("_d"))
+    met = feedback.join(d, F.col("transaction_id") == F.col("_id"), "left")
+    taken = [c for c in decisions.columns if c != "transaction_id" and c not in feedback.columns]
+    write_batch(met.filter(F.col("_id").isNotNull()).select(*feedback.columns, *[f"_d.{c}" for c in taken]), episodes, batch_id)
+    error = F.concat(F.lit("no audited decision for transaction '"), F.coalesce("transaction_id", F.lit("")), F.lit("'"))
+    write_batch(met.filter(F.col("_id").isNull()).select(*feedback.columns, error.alias("error")), unmatched, batch_id)
