@@ -237,8 +237,12 @@ def adwin_flags(values, delta: float = 0.01, max_bucket: int = 64, min_cut: int
     return flags
 
 
-def adwin(series: DataFrame, keys: list[str], delta: float = 0.01) -> DataFrame:
-    """(keys, i, x, fired) from one row per key with array column `s` of (at, x)."""
+def adwin(series: DataFrame, keys: list[str], delta: float = 0.01, max_bucket: int = 64, min_cut: int = 3) -> DataFrame:
+    """(keys, i, x, fired) from one row per key with array column `s` of (at, x).
+
+    `max_bucket` and `min_cut` are those of `adwin_flags`: the window's length is
+    part of the method.
+    """
     import pandas as pd
 
     types = dict(series.dtypes)
@@ -249,7 +253,7 @@ def adwin(series: DataFrame, keys: list[str], delta: float = 0.01) -> DataFrame:
             out = []
             for _, row in pdf.iterrows():
                 xs = [p["x"] for p in row["s"]]
-                for i, (x, f) in enumerate(zip(xs, adwin_flags(xs, delta))):
+                for i, (x, f) in enumerate(zip(xs, adwin_flags(xs, delta, max_bucket, min_cut))):
                     out.append([*[row[k] for k in keys], i, x, bool(f)])
             yield pd.DataFrame(out, columns=[*keys, "i", "x", "fired"])
 

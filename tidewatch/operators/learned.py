@@ -36,7 +36,7 @@ def perturbation_grid(rows: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def scorer(load):
-    """An Arrow scorer over an array-of-features column.
+    """An Arrow scorer over feature columns, given one after the other.
 
     `load()` returns a function (rows, features) -> probabilities; it is called
     once per worker task, so a model is read once and not per batch.
@@ -46,13 +46,13 @@ def scorer(load):
     import numpy as np
     import pandas as pd
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         model = load()
-        for s in batches:
-            x = np.array([[np.nan if v is None else v for v in row] for row in s], dtype=np.float64)
+        for columns in batches:
+            x = np.stack([c.to_numpy(np.float64, na_value=np.nan) for c in columns], axis=1)
             yield pd.Series(model(x) if len(x) else np.empty(0))
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")
 
 

@@ -87,10 +87,3 @@ def interval_bin(log_gap: Column, bins: int = 64, longest: float = 3e7) -> Colum
     """Bin 0..bins-1 of a log1p gap; gaps of about a year and more share the last bin."""
     frac = F.least(F.greatest(log_gap / math.log1p(longest), F.lit(0.0)), F.lit(0.9999))
     return F.floor(frac * bins)
-
-
-def feature_frame(txn: DataFrame, history: DataFrame, p: dict[str, DataFrame]) -> DataFrame:
-    """The full feature row per transaction: calendar, history, encodings, label."""
-    base = txn.select("transaction_id", "event_time", "is_fraud", "merchant_id", "merchant_category_code",
-                      *X.calendar_columns())
-    return attach(join_velocity(base, history), p)

@@ -97,7 +97,7 @@ def _(t):
         return 1.0 / (1.0 + np.exp(-(0.8 * x[:, 0] + 0.5 * x[:, 1] - 3.0)))
 
     score = L.scorer(lambda: logistic)
-    return t.txn().select(ID, F.round(score(F.array(X.amount_log1p("amount"), F.col("is_fraud").cast("double"))), 6).alias("p"))
+    return t.txn().select(ID, F.round(score(X.amount_log1p("amount"), F.col("is_fraud").cast("double")), 6).alias("p"))
 
 
 @query("udaf_series_fold", sql(

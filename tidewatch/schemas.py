@@ -42,23 +42,6 @@ TXN_SCHEMA = T.StructType([
     T.StructField("is_fraud", T.ByteType()),
 ])
 
-ONLINE_EVENT_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.StringType()),
-    T.StructField("event_time", T.TimestampType()),
-    T.StructField("customer_id", T.StringType()),
-    T.StructField("card_id", T.StringType()),
-    T.StructField("merchant_id", T.StringType()),
-    T.StructField("merchant_category_code", T.StringType()),
-    T.StructField("amount", T.DecimalType(12, 2)),
-    T.StructField("currency", T.StringType()),
-    T.StructField("merchant_city", T.StringType()),
-    T.StructField("merchant_state", T.StringType()),
-    T.StructField("merchant_country", T.StringType()),
-    T.StructField("device_id", T.StringType()),
-    T.StructField("ip_hash", T.StringType()),
-    T.StructField("payment_channel", T.StringType()),
-])
-
 EPISODE_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
     T.StructField("model_version", T.StringType()),
@@ -72,16 +55,6 @@ EPISODE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
-AUDIT_SCHEMA = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("id", T.StringType()),
-    T.StructField("event_type", T.StringType()),
-    T.StructField("payload", T.StringType()),
-    T.StructField("prev_hash", T.StringType()),
-    T.StructField("hash", T.StringType()),
-    T.StructField("audited_at", T.DoubleType()),
-])
-
 MODEL_CONFIG_SCHEMA = T.StructType([
     T.StructField("model_name", T.StringType()),
     T.StructField("backend", T.StringType()),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidewatch import config as C
 from tidewatch.schemas import EPISODE_SCHEMA, MODEL_CONFIG_SCHEMA
 
 
@@ -38,7 +39,7 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
-def keep_newest(df: DataFrame, seq: str, above: int, keep: int) -> DataFrame:
+def keep_newest(df: DataFrame, seq: str, above: int = C.MEMORY_MAX_EPISODES, keep: int = C.MEMORY_KEEP_EPISODES) -> DataFrame:
     """Retention: with more than `above` rows only the newest `keep` stay."""
     newest = df.orderBy(F.desc(seq)).limit(above + 1)
     crowded = newest.agg((F.count(F.lit(1)) > above).alias("_crowded"))
