@@ -22,7 +22,7 @@ rows share a component; an empty table gives no rows; other columns are kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -229,8 +229,13 @@ def contract(edges: DataFrame) -> DataFrame:
 
 def components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """`prints`, a stored table of (doc_id, fp), with root (a fingerprint) and component_id."""
+    return with_components(prints, lambda distinct: links(distinct, bits))
+
+
+def with_components(prints: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`prints` with the components of the edges that `edges` finds among its distinct fp."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = contract(links(distinct, bits))
+    roots = contract(edges(distinct))
     grown = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grown.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
@@ -250,11 +255,21 @@ def dedup(docs: DataFrame, bits: int = BITS) -> DataFrame:
     Of rows with that id, the one whose text has the smallest hash stays; a component without
     ids keeps one row likewise.
     """
+    prints = stored(fingerprints(docs, [row_keys()[1].alias("text_key")]), "simhashes")
+    return keep_one(docs, components(prints, bits))
+
+
+def row_keys() -> tuple[Column, Column]:
+    """What tells rows of documents apart: the id, and a hash of the text."""
+    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
+            F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of `docs` for each component of `found` (doc_id, text_key, root, component_id)."""
     columns = docs.columns
-    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    row_text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    prints = stored(fingerprints(docs, [row_text.alias("text_key")]), "simhashes")
-    found = components(prints, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    row_id, row_text = row_keys()
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(
         F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_keep_id"), F.col("k.text_key").alias("_keep_text"))
     rows = docs.withColumns({"_row_id": row_id, "_row_text": row_text}).join(
