@@ -1,4 +1,4 @@
-"""Operators for large text corpora: ten operators, one query each.
+"""Operators for large text corpora: one query for each operator.
 
 Nothing else in the package imports this subpackage. Every module holds one
 operator and its query; `queries()` and `oracle_sql()` gather them.
@@ -9,7 +9,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("separator_scan", "column_packing", "warc_index", "weighted_minhash", "url_cascade",
-           "pii_crf", "jump_shards", "decontaminate", "toxicity_cnn", "simhash_pivots")
+           "pii_crf", "jump_shards", "decontaminate", "toxicity_cnn", "simhash_pivots",
+           "source_schedule")
 
 
 def queries() -> dict:
