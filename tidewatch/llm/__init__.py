@@ -10,7 +10,7 @@ from importlib import import_module
 
 MODULES = ("separator_scan", "column_packing", "warc_index", "weighted_minhash", "url_cascade",
            "pii_crf", "jump_shards", "decontaminate", "toxicity_cnn", "simhash_pivots",
-           "source_schedule", "mask_search")
+           "source_schedule", "mask_search", "cross_alignment")
 
 
 def queries() -> dict:
