@@ -36,7 +36,7 @@ def test_stages(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == []
+    assert "pipeline" in names and [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == []
 
 
 def test_empty_documents(spark):

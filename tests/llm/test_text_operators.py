@@ -301,14 +301,33 @@ def test_op8_against_plain(spark, empty):
                     hit.update(range(at, at + len(gram)))
                     items |= names
         want[i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)] += 1
-    got = decontaminate.report(d.drop("_text").withColumn("at", F.lit(1)), b).collect()
+    # names that the operator uses itself
+    d = d.withColumns({c: F.lit(c) for c in ("_id", "_t", "_hit", "_items", "_size", "hash", "bytes", "at", "hit", "items", "id", "row", "w", "n")})
+    got = decontaminate.report(d, b).collect()
     assert Counter(tuple(r) for r in got) == want
-    kept = {r.doc_id for r in decontaminate.clean(d.drop("_text"), b).collect()}
-    assert kept == {2, 4, 5, 7}
-    cut = {r.doc_id: r.text for r in decontaminate.clean(d.drop("_text"), b, remove="span").collect()}
+    cleaned = decontaminate.clean(d, b)
+    assert {r.doc_id for r in cleaned.collect()} == {2, 4, 5, 7} and cleaned.exceptAll(d).isEmpty() and cleaned.schema == d.schema
+    spans = decontaminate.clean(d, b, remove="span")
+    assert spans.columns == d.columns and spans.drop("text").exceptAll(d.drop("text")).isEmpty()
+    cut = {r.doc_id: r.text for r in spans.collect()}
     assert cut[1] == "x, y" and cut[None] == "and " and cut[2] == "alpha beta gamma" and cut[4] is None
     assert decontaminate.report(empty, b).count() == 0
-    assert decontaminate.report(d.drop("_text"), b.where("false")).where("contaminated").count() == 0
+    assert decontaminate.report(d, b.where("false")).where("contaminated").count() == 0
+
+
+def test_op8_without_a_broadcast_finds_the_same_in_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = [f"v{n}" for n in range(40)]
+    passage = [" ".join(rng.choice(words, 30)) for _ in range(20)]
+    texts = [" ".join(np.concatenate([rng.choice(words, 20_000), passage[n].split()])) for n in range(3)]
+    texts += [f"{' '.join(rng.choice(words, 50))} {passage[n % 20][10:120]} tail" for n in range(60)] + [texts[0], "v1", ""]
+    d = spark.createDataFrame([(n if n % 7 else None, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(n, p) for n, p in enumerate([*passage, "v1", "v2 v3"])], "item_id long, text string")
+    grams = common.stored(decontaminate.windows(b), "test-windows")
+    one = decontaminate.hits(d, grams).withColumn("items", F.array_sort("items"))
+    two = decontaminate.hits(d, grams, broadcast_bytes=0).withColumn("items", F.array_sort("items"))
+    assert "BroadcastExchange" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.distinct().count() > 100 and one.distinct().exceptAll(two.distinct()).isEmpty() and two.distinct().exceptAll(one.distinct()).isEmpty()
 
 
 def test_op9_learns_held_out_rows(spark):
@@ -325,12 +344,14 @@ def test_op9_learns_held_out_rows(spark):
     docs = spark.createDataFrame(rows + [(None, None, None, None), (900, "", "de", "s"), (900, LONG, None, "s")], "doc_id long, text string, lang string, score string")
     marks = spark.createDataFrame(labels + [(None, 1, 1), (5000, 0, 1)], "doc_id long, quality int, toxic int")
     model = toxicity_cnn.fitted(docs, marks)
-    got = toxicity_cnn.scored(docs.drop("score"), model).collect()
-    held = [r for r in got if r.doc_id is not None and r.doc_id < 700 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(held) > 100 and np.mean([(r.score >= 0.5) == (r.doc_id % 3 == 0) for r in held]) > 0.95
+    docs = docs.withColumns({"threshold": F.lit("t"), "rejected": F.lit("r"), "row": F.lit(1)})  # names that the operator uses itself
+    got = toxicity_cnn.scored(docs, model).collect()
+    held = [r for r in got if r.row.doc_id is not None and r.row.doc_id < 700 and zlib.crc32(str(r.row.doc_id).encode()) % 5 == 0]
+    assert len(held) > 100 and np.mean([(r.score >= 0.5) == (r.row.doc_id % 3 == 0) for r in held]) > 0.95
+    assert toxicity_cnn.clean(docs, marks).exceptAll(docs).isEmpty()
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 703
-    assert len(toxicity_cnn.clean(docs, marks).columns) == 4
-    assert {r.score for r in toxicity_cnn.scored(docs.drop("score"), toxicity_cnn.fitted(docs, marks.where("false"))).collect()} == {0.0}
+    assert toxicity_cnn.clean(docs, marks).columns == docs.columns
+    assert {r.score for r in toxicity_cnn.scored(docs, toxicity_cnn.fitted(docs, marks.where("false"))).collect()} == {0.0}
     assert toxicity_cnn.clean(docs.where("false"), marks).count() == 0
 
 

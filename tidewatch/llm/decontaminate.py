@@ -2,15 +2,17 @@
 
 Benchmark texts and documents are lower-cased (A-Z) and cut into words the same way. Every
 window of `width` consecutive benchmark words goes into a set, keyed by its hash (an item
-of fewer words is one window by itself); the set is broadcast while its size is proven
-small, else joined by a shuffle. Documents are scanned window by window: the hash of a
-window's first two words is looked up first, that of the whole window only then, and a hit
-is verified word for word. All of it is DataFrame functions.
+of fewer words is one window by itself); the set is broadcast while its bytes are proven
+few, else joined by shuffles that carry hashes and places, no texts. Documents are cut into
+words once: the hash of two words in a row is looked up among the beginnings of all windows,
+that of the whole window only then, and a hit is verified word for word. All of it is
+DataFrame functions.
 
 Defined cases: a null or empty text, or one without words, has no words, no hits and is
 clean; a benchmark item without words has no window; a null item id counts as the empty
 id; repeated items or repeated windows count once; repeated documents are judged one by
-one; an empty benchmark leaves all documents clean; an empty document table gives no rows.
+one; an empty benchmark leaves all documents clean; an empty document table gives no rows;
+all columns of the caller stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored, table
 
 WIDTH = 10
-#: Windows (about 150 bytes each) up to which the set is broadcast.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows, items and hashes up to which the set is broadcast.
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of lower-cased text, and of text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,70 +54,75 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return one.withColumn("hash", F.xxhash64("window", "size"))
 
 
-def _key() -> list[Column]:
+_KEYS = ("id", "hash", "bytes")
+
+
+def _keys(text: str = "text", id_: str = "doc_id") -> list[Column]:
     """A document row, or rows that are the same: its id and its text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return [F.col("doc_id"), F.xxhash64(text).alias("_text"), F.octet_length(text).alias("_size")]
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.col(id_).alias("id"), F.xxhash64(text).alias("hash"), F.octet_length(text).alias("bytes")]
+
 
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    """Documents without id have hits too, so nulls match."""
+    return left["id"].eqNullSafe(right["id"]) & (left["hash"] == right["hash"]) & (left["bytes"] == right["bytes"])
 
-def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Where windows of `grams` (stored, from `windows`) occur: key columns, at (from 0), size, items."""
-    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # at most `width` numbers
-    small = grams.count() <= BROADCAST_WINDOWS
+
+def hits(docs: DataFrame, grams: DataFrame, broadcast_bytes: int | None = None) -> DataFrame | None:
+    """Where windows of `grams` (stored, from `windows`) occur: id, hash, bytes, at (from 0), size, items; None without windows."""
+    size = grams.agg(F.sum(F.octet_length("window") + F.octet_length(F.array_join("items", ",")) + 64).alias("bytes"),
+                     F.min("size").alias("least")).first()
+    if size["bytes"] is None:
+        return None
+    small = size["bytes"] <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes)
     hint = F.broadcast if small else (lambda d: d)
-    found = None
-    for size in sorted(sizes):
-        own = grams.where(F.col("size") == size)
-        spread = docs.select(*_key(), words(F.col("text")).alias("w")).where(F.size("w") >= size)
-        spread = spread.select("doc_id", "_text", "_size", "w", F.posexplode("w").alias("at", "word"))
-        spread = spread.where(F.col("at") <= F.size("w") - size)
-        second = F.get("w", F.col("at") + 1) if size > 1 else F.lit(None).cast("string")
-        heads = hint(own.select(F.col("head").alias("_head")).distinct())
-        near = spread.withColumn("_h2", F.xxhash64("word", second)).join(heads, F.col("_h2") == F.col("_head"), "left_semi")
-        near = near.select("doc_id", "_text", "_size", "at",
-                           F.array_join(F.slice("w", F.col("at") + 1, size), " ").alias("_window"))
-        near = near.withColumn("_hash", F.xxhash64("_window", F.lit(size)))
-        part = near.join(hint(own.select("hash", "window", "size", "items")),
-                         (F.col("_hash") == F.col("hash")) & (F.col("_window") == F.col("window"))).select(
-            "doc_id", "_text", "_size", "at", "size", "items")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """`docs` and, per distinct document with hits, its hit word numbers and items."""
-    grams = stored(windows(benchmark, width), "benchmark-windows")
-    all_hits = hits(docs, grams)
-    if all_hits is None:
-        return docs, None
-    per_doc = all_hits.groupBy("doc_id", "_text", "_size").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"))
-    return docs, per_doc.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.col("_size").alias("_s"), "_hit", "_items")
-
-
-def _with_hits(keyed: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """`keyed`: has doc_id, _text, _size. Documents without id have hits too, so nulls match."""
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & (F.col("_size") == F.col("_s"))
-    return keyed.join(per_doc, on, "left")
+    texts = docs.select(*_keys(), words(F.col("text")).alias("w"))
+    second = F.get("w", F.col("at") + 1)
+    spots = texts.select("*", F.posexplode("w").alias("at", "word")).withColumn("n", F.size("w"))
+    if size["least"] == 1:  # windows of one word have no second one
+        spots = spots.withColumn("two", F.explode(F.array(F.xxhash64("word", second), F.xxhash64("word", F.lit(None).cast("string")))))
+    else:
+        spots = spots.withColumn("two", F.xxhash64("word", second))
+    heads = hint(grams.groupBy("head").agg(F.collect_set("size").alias("sizes")))
+    carried = [*_KEYS, "at", "n", *(["w"] if small else [])]
+    near = spots.select(*carried, "two").join(heads, F.col("two") == F.col("head")).select(*carried, F.explode("sizes").alias("size"))
+    near = near.where(F.col("at") + F.col("size") <= F.col("n"))
+    if not small:  # the words come back to the places that are left, once a document
+        places = near.groupBy(*_KEYS).agg(F.collect_set(F.struct("at", "size")).alias("places"))
+        # rows that are the same share their places
+        back = texts.dropDuplicates(list(_KEYS))
+        near = places.join(back, _same(places, back)).select(*[places[k] for k in _KEYS], "w", F.explode("places").alias("p")).select(*_KEYS, "w", "p.*")
+    near = near.select(*_KEYS, "at", "size", F.array_join(F.slice("w", F.col("at") + 1, F.col("size")), " ").alias("spot"))
+    known = hint(grams.select(F.col("hash").alias("gram"), "window", F.col("size").alias("of"), "items"))
+    found = near.join(known, (F.xxhash64("spot", "size") == F.col("gram")) & (F.col("spot") == F.col("window")) & (F.col("size") == F.col("of")))
+    return found.select(*_KEYS, "at", "size", "items")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame | None:
+    """Per distinct document with hits: its keys, hit word numbers and items."""
+    found = hits(docs, stored(windows(benchmark, width), "benchmark-windows"))
+    if found is None:
+        return None
+    return found.groupBy(*_KEYS).agg(
+        F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("size") - 1)))).alias("hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document: words, hit words, items found in it, and whether it is contaminated."""
-    docs, per_doc = _judged(docs, benchmark, width)
     n_words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long")
-    keyed = docs.select(*_key(), n_words.alias("n_words"))
-    if per_doc is None:
-        none = F.array().cast("array<string>")
-        keyed = keyed.withColumns({"_hit": none, "_items": none})
+    all_ = docs.select(*_keys(), n_words.alias("n_words"))
+    judged = _judged(docs, benchmark, width)
+    none = F.array().cast("array<string>")
+    if judged is None:
+        all_ = all_.withColumns({"hit": none, "items": none})
     else:
-        keyed = _with_hits(keyed, per_doc)
-    n_hit = F.coalesce(F.size("_hit"), F.lit(0))
-    return keyed.select(
-        "doc_id", "n_words", F.when(F.col("_hit").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
-        F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256"),
-        (F.col("_hit").isNotNull() & (n_hit > 0)).alias("contaminated"))
+        all_ = all_.join(judged, _same(all_, judged), "left").select(all_["id"], "n_words", "hit", "items")
+    n_hit = F.when(F.col("hit").isNull(), 0).otherwise(F.size("hit"))
+    return all_.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.cast("long").alias("n_hit"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, remove: str = "document") -> DataFrame:
@@ -125,20 +132,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, remove: str
     """
     if remove not in ("document", "span"):
         raise ValueError("remove is 'document' or 'span'")
-    docs, per_doc = _judged(docs, benchmark, width)
-    if per_doc is None:
+    judged = _judged(docs, benchmark, width)
+    if judged is None:
         return docs
-    columns = docs.columns
-    keyed = docs.withColumns({"_text": _key()[1], "_size": _key()[2]})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys())
     if remove == "document":
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")) & (F.col("_size") == F.col("_s"))
-        return keyed.join(per_doc.select("_id", "_t", "_s"), on, "left_anti").select(*columns)
-    joined = _with_hits(keyed, per_doc)
-    lead = F.regexp_extract("text", f"^{_GAP_ANY_CASE}", 0)
-    parts = F.regexp_extract_all("text", F.lit(f"{_WORD_ANY_CASE}(?:{_GAP_ANY_CASE})?"), F.lit(0))
-    kept = F.filter(parts, lambda part, n: ~F.array_contains(F.col("_hit"), n))
-    left = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return joined.withColumn("text", left).select(*columns)
+        return rows.join(judged, _same(rows, judged), "left_anti").select("row.*")
+    joined = rows.join(judged, _same(rows, judged), "left").select("row", "hit")
+    text = F.col("row.text")
+    lead = F.regexp_extract(text, f"^{_GAP_ANY_CASE}", 0)
+    parts = F.regexp_extract_all(text, F.lit(f"{_WORD_ANY_CASE}(?:{_GAP_ANY_CASE})?"), F.lit(0))
+    kept = F.filter(parts, lambda part, n: ~F.array_contains(F.col("hit"), n))
+    left = F.when(F.col("hit").isNull(), text).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return joined.withColumn("row", F.col("row").withField("text", left)).select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,15 +266,14 @@ def row_keys() -> tuple[Column, Column]:
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row of `docs` for each component of `found` (doc_id, text_key, root, component_id)."""
-    columns = docs.columns
+    """One row of `docs` for each component of `found` (doc_id, text_key, root, component_id); rows stay as they are."""
     row_id, row_text = row_keys()
     found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select(
-        F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("_keep_id"), F.col("k.text_key").alias("_keep_text"))
-    rows = docs.withColumns({"_row_id": row_id, "_row_text": row_text}).join(
-        kept.distinct(), (F.col("_row_id") == F.col("_keep_id")) & (F.col("_row_text") == F.col("_keep_text")))
-    return rows.dropDuplicates(["_row_id", "_row_text"]).select(*columns)
+        F.coalesce("k.doc_id", F.lit(-(1 << 63))).alias("keep_id"), F.col("k.text_key").alias("keep_text"))
+    rows = docs.select(F.struct("*").alias("row"), row_id.alias("row_id"), row_text.alias("row_text")).join(
+        kept.distinct(), (F.col("row_id") == F.col("keep_id")) & (F.col("row_text") == F.col("keep_text")))
+    return rows.dropDuplicates(["row_id", "row_text"]).select("row.*")
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
