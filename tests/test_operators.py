@@ -245,8 +245,8 @@ def test_asof_with_and_without_slices(spark):
     right = [(rnd.choice("ab"), rnd.randint(0, 200), float(i)) for i in range(40)]
     ldf = spark.createDataFrame(left, "id string, k string, at long")
     rdf = spark.createDataFrame(right, "k string, at long, v double")
-    for hot_rows, units in ((10 ** 9, 10), (5, 10)):
-        got = {r["id"]: (r["at_matched"], r["v_matched"]) for r in asof.asof_backward(ldf, rdf, "k", "at", ["v"], hot_rows, units).collect()}
+    for hot_rows in (10 ** 9, 5):
+        got = {r["id"]: (r["at_matched"], r["v_matched"]) for r in asof.asof_backward(ldf, rdf, "k", "at", ["v"], hot_rows).collect()}
         for i, k, at in left:
             best = max(((a, v) for kk, a, v in right if kk == k and a <= at), default=(None, None))
             assert got[i] == best
@@ -359,15 +359,15 @@ def test_null_keys_are_cut_into_slices_too(spark):
     rows = [(f"t{i}", i, None if i % 2 else f"k{i % 7}", (i * 1000,)) for i in range(2000)]
     txn = spark.createDataFrame([(a, b, c, d[0]) for a, b, c, d in rows], "transaction_id string, seq long, k string, s long").select(
         "transaction_id", "seq", "k", F.timestamp_seconds("s").alias("event_time"))
-    got = {r.transaction_id: r.pos for r in positions.positions(txn, "k", hot_rows=300, slice_seconds=100_000).collect()}
+    got = {r.transaction_id: r.pos for r in positions.positions(txn, "k", hot_rows=300).collect()}
     seen = {}
     for tid, _, k, _ in rows:
         seen[k] = seen.get(k, 0) + 1
         assert got[tid] == seen[k]
     at = F.unix_micros("event_time")
-    hot = skew.hot_keys(txn.select("k"), ["k"], 300)
-    sliced = skew.with_slices(txn, ["k"], at, 100_000 * 1_000_000, hot)
-    assert sliced.filter("k IS NULL").groupBy(skew.SLICE).count().agg(F.max("count")).first()[0] <= 100
+    hot = skew.find_hot(txn.select("k"), ["k"], 300)
+    sliced = skew.with_slices(txn, ["k"], skew.slice_plan(txn, ["k"], hot, 300, at), at)
+    assert 100 < sliced.filter("k IS NULL").groupBy(skew.SLICE).count().agg(F.max("count")).first()[0] <= 300
 
 
 def test_order_keeps_single_microseconds(spark):
@@ -402,10 +402,119 @@ def test_snapshots_read_their_source_once_and_join_no_ranges(spark):
     assert plan.count("Scan ") <= 2 and plan.count("BroadcastNestedLoopJoin") <= 1  # the one row of buckets
 
 
-def test_trees_stop_when_the_validation_part_gains_no_more(spark):
+def test_trees_are_cut_where_the_validation_part_gains_no_more(spark):
     from tidewatch.operators import learned as L
 
-    df = spark.range(600).selectExpr("cast(id % 7 AS double) AS a", "cast(hash(id) % 2 = 0 AS int) AS is_fraud", "id % 3 = 0 AS v")
-    model, weight = L.train_gbt(df.filter("NOT v"), ["a"], trees=20, depth=2, validation=df.filter("v"))
-    assert model.getNumTrees < 20 and weight > 0
-    assert L.train_gbt(df.filter("NOT v"), ["a"], trees=3, depth=2, validation=df.limit(0))[0].getNumTrees == 3
+    assert L.best_prefix([5.0, 4.0, 4.5, 4.4, 3.0], 3) == 5 and L.best_prefix([5.0, 4.0, 4.5, 4.4, 3.0], 2) == 2 and L.best_prefix([1.0], 5) == 1
+    noise = spark.range(600).selectExpr("cast(id % 7 AS double) AS a", "cast(hash(id) % 2 = 0 AS int) AS is_fraud", "id % 3 = 0 AS v")
+    model, weight = L.train_gbt(noise.filter("NOT v"), ["a"], trees=12, depth=2, validation=noise.filter("v"), patience=4)
+    assert model.getNumTrees < 12 and weight > 0
+    assert L.train_gbt(noise.filter("NOT v"), ["a"], trees=3, depth=2, validation=noise.limit(0))[0].getNumTrees == 3
+    planted = spark.range(1200).selectExpr("cast(id % 23 AS double) AS a", "cast(id % 7 AS double) AS b",
+                                           "cast((id % 23) * 3 + (id % 7) * 5 + hash(id) % 9 > 45 AS int) AS is_fraud", "id % 3 = 0 AS v")
+    kept, _ = L.train_gbt(planted.filter("NOT v"), ["a", "b"], trees=12, depth=2, validation=planted.filter("v"), patience=4)
+    assert kept.getNumTrees > 1
+    whole, _ = L.train_gbt(planted.filter("NOT v"), ["a", "b"], trees=12, depth=2)
+    assert kept.treeWeights == whole.treeWeights[:kept.getNumTrees]
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees] == [t.toDebugString.split("\n", 1)[1] for t in whole.trees[:kept.getNumTrees]]
+
+
+def busy(spark, n=3000):
+    """Half of all rows in one instant of one key, a tenth with neither key nor time order."""
+    rows = [(f"t{i}", (i * 7919) % n, "hot" if i % 10 else None, 1_000_000 if i % 2 else i * 977, f"m{i % 5}") for i in range(n)]
+    return spark.createDataFrame(rows, "transaction_id string, seq long, k string, s long, merchant_id string").select(
+        "transaction_id", "seq", "k", F.timestamp_seconds("s").alias("event_time"), "merchant_id", F.lit(1.0).alias("amount"))
+
+
+def test_no_slice_is_larger_than_its_bound(spark):
+    from tidewatch.operators import positions, skew
+
+    txn, at = busy(spark), F.unix_micros("event_time")
+    hot = skew.find_hot(txn.select("k"), ["k"], 200)
+    plan = skew.slice_plan(txn, ["k"], hot, 200, at, seq=F.col("seq"))
+    sliced = skew.with_slices(txn, ["k"], plan, at, seq=F.col("seq"))
+    sizes = [r["count"] for r in sliced.groupBy("k", skew.SLICE).count().collect()]
+    assert max(sizes) <= 200 and len(sizes) < 3 * 3000 / 100
+    rows = sliced.select("k", skew.SLICE, at.alias("at"), "seq").collect()
+    by_key = {}
+    for r in sorted(rows, key=lambda r: (r.k or "", r.at, r.seq)):
+        assert by_key.setdefault(r.k, 0) <= r[skew.SLICE]
+        by_key[r.k] = r[skew.SLICE]
+    order = {k: [r["transaction_id"] for r in sorted((r for r in txn.collect() if r.k == k), key=lambda r: (r.event_time, r.seq))] for k in ("hot", None)}
+    seq = {r["transaction_id"]: r["seq"] for r in txn.collect()}
+    ties = {r.transaction_id: (r.tie_rank, r.tie_size) for r in positions.tie_ranks(txn, "k", hot_rows=200).collect()}
+    for r in positions.running(txn, "k", "seq", hot_rows=200).collect():
+        own = order[r.k]
+        assert own[r.pos - 1] == r.transaction_id and r.cum_sum == sum(seq[x] for x in own[:r.pos])
+        assert (r.before, r.after) == (seq[own[r.pos - 2]] if r.pos > 1 else None, seq[own[r.pos]] if r.pos < len(own) else None)
+    when = {r["transaction_id"]: r["event_time"] for r in txn.collect()}
+    for own in order.values():
+        for i, x in enumerate(own):
+            same = [y for y in own if when[y] == when[x]]
+            assert ties[x] == (same.index(x), len(same))
+
+
+def test_asof_with_a_busy_instant(spark):
+    from tidewatch.operators import asof
+
+    left = busy(spark).select("transaction_id", "k", F.unix_micros("event_time").alias("at"))
+    right = spark.createDataFrame([("hot", x * 1_000_000, v) for v, x in enumerate((0, 500_000, 999_999, 1_000_000, 1_000_001, 2_000_000))], "k string, at long, v long")
+    show = lambda d: sorted((r.transaction_id, r.at_matched, r.v_matched) for r in d.filter("k IS NOT NULL").collect())
+    assert show(asof.asof_backward(left, right, "k", "at", ["v"], hot_rows=150)) == show(asof.asof_backward(left, right, "k", "at", ["v"]))
+
+
+def test_sweep_with_half_of_all_rows_in_one_instant(spark):
+    from tidewatch import config as C
+    from tidewatch.operators import velocity
+
+    txn = busy(spark, 900).withColumnsRenamed({"k": "customer_id"}).withColumns({"card_id": F.lit("one"), "device_id": F.lit(None).cast("string")})
+    one = velocity.velocity_features(txn, hot_rows=None).orderBy("transaction_id").collect()
+    assert velocity.velocity_features(txn, hot_rows=60).orderBy("transaction_id").collect() == one
+    assert velocity.history_features(txn, hot_rows=60).exceptAll(velocity.history_features(txn, hot_rows=None)).isEmpty()
+    assert len(one[0]) > len(C.prior_feature_names())
+
+
+def test_global_order_cuts_a_busy_instant(spark):
+    from tidewatch.operators import ranking
+
+    txn = busy(spark).withColumn("at", F.unix_micros("event_time"))
+    laid = ranking.ordered(txn, ["at", "seq", "transaction_id"], 30)
+    assert laid.groupBy("_slice").count().agg(F.max("count")).first()[0] < 400  # of 1,500 in the instant
+    got = [r.transaction_id for r in ranking.numbered(txn, "at", ["seq", "transaction_id"], 30).orderBy("row_id").collect()]
+    assert got == [r.transaction_id for r in sorted(txn.collect(), key=lambda r: (r.at, r.seq, r.transaction_id))]
+
+
+def test_bound_of_a_rank_leaves_few_rows(spark):
+    from tidewatch.operators import ranking
+
+    df = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 0.5 WHEN id % 50 = 1 THEN NULL ELSE 1e6 / (1 + id) END AS v", "id * id AS w").repartition(40)
+    values = sorted((r.v for r in df.collect() if r.v is not None), reverse=True)
+    for k in (1, 17, 900, 9_000, 19_000):
+        left = ranking.highest(df, F.col("v"), k)
+        assert sorted((r.v for r in left.filter("v IS NOT NULL").collect()), reverse=True)[:k] == values[:k]
+        ties = sum(x == values[k - 1] for x in values)
+        assert left.count() <= 2 * k + ranking.BINS + ties
+    assert ranking.highest(df, F.col("v"), 10**6).count() == 20_000
+    assert ranking.rank_bound(df, -F.col("w"), 5) is not None and ranking.rank_bound(df.limit(0), F.col("w"), 5) is None
+    got = ranking.highest(df, -F.col("w"), 5).count()
+    assert 5 <= got <= 5 + ranking.BINS
+
+
+def test_sketches_stay_within_their_bounds(spark):
+    df = spark.range(40_000).selectExpr("id", "id % 12 AS month", "pow(id % 977, 2) / 3 AS x")
+    sketches = D.quantile_sketches(df, "x", ["month"], k=200)
+    probs = [0.01, 0.1, 0.5, 0.9, 0.99]
+    got = D.merged_quantiles(sketches, probs, k=200).first()
+    xs = np.sort([r.x for r in df.collect()])
+    assert got["n"] == 40_000
+    for p, q in zip(probs, got["q"]):
+        lo, hi = np.searchsorted(xs, q, "left") / len(xs), np.searchsorted(xs, q, "right") / len(xs)
+        assert lo - 0.0265 <= p <= hi + 0.0265  # twice the rank error at k = 200
+    rows = spark.range(60_000).selectExpr("cast(id % 3 AS string) AS c", "cast(id / 12000 AS int) AS month_idx", "cast(hash(id) % 4000 AS string) AS m", "1.0D AS amount", "0 AS is_fraud")
+    s = G.entity_month_sketches(rows, "c", "m")
+    exact = {}
+    for r in rows.collect():
+        exact.setdefault((r.c, r.month_idx), set()).add(r.m)
+    for r in G.partners_until(s, "c").collect():
+        want = len(set().union(*(exact[r.c, x] for x in range(r.month_idx + 1))))
+        assert abs(r.partners_until - want) <= 5 * 0.0163 * want

@@ -97,11 +97,93 @@ def test_rows_pass_once_however_old(spark, tmp_path):
     assert sorted(i for i in got if i) == ["a", "b", "c"] and got.count(None) == 3
 
 
-def test_health_counts_more_batches_than_progress_keeps(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.range(0, 130, 1, 130).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'purchase' AS event_type",
-                                           "1.0D AS value", "'{}' AS props").write.parquet(src)
-    B.run_batches(B.event_stream(spark, src, files_per_batch=1).select("transaction_id"),
-                  lambda df, i: B.write_batch(df.agg(F.count(F.lit(1)).alias("rows")), out, i), "many")
-    p = spark.read.parquet(out).filter("rows > 0")
-    assert p.count() == 130 and p.agg(F.sum("rows")).first()[0] == 130
+def arrivals(spark, path, batches):
+    """One file a batch of (id, minute-fraction us, user, value, merchant number)."""
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(i, us, user, value, f'{{"k":{m}}}') for i, us, user, value, m in rows], "i long, us long, u long, v double, p string").selectExpr(
+            "i AS event_id", "cast(timestamp_micros(us) AS timestamp_ntz) AS ts", "u AS user_id", "'purchase' AS event_type", "v AS value", "p AS props").coalesce(1).write.parquet(f"{path}/part{n:03d}")
+    return f"{path}/*"
+
+
+def plain_windows(batches, ident):
+    """Per event: count, sum and distinct merchants of each window, by a loop over what arrived before."""
+    past, out = {}, {}
+    for rows in batches:
+        new = sorted((r for r in rows if ident(r) is not None), key=lambda r: (r[1], r[0]))
+        for r in new:
+            seen = past.setdefault(ident(r), [])
+            for label, span in (("1h", 3600), ("24h", 86400), ("7d", 604800)):
+                inside = [x for x in seen if r[1] - span * 1_000_000 <= x[1] <= r[1]]
+                out[str(r[0]), label] = len(inside), round(sum(x[3] for x in inside), 4), len({x[4] for x in inside})
+            seen.append(r)
+    return out
+
+
+def test_no_state_value_grows_with_its_entity(spark, tmp_path):
+    """One customer has nine rows of ten over many batches, late ones among them."""
+    import random
+
+    rnd, t0, batches, i = random.Random(3), 1_704_067_200_000_000, [], 0
+    for b in range(12):
+        rows = []
+        for _ in range(60):
+            i += 1
+            late = rnd.random() < 0.05 and b > 2
+            us = t0 + b * 20_000_000_000 + rnd.randrange(0, 90_000_000) - (rnd.randrange(1, 40_000_000_000) if late else 0)
+            rows.append((i, us, 7 if rnd.random() < 0.9 else rnd.randrange(20, 24), float(rnd.randrange(1, 50)), rnd.randrange(0, 12)))
+        batches.append(rows)
+    src = arrivals(spark, str(tmp_path / "in"), batches)
+    out = B.run_available(S.entity_features(B.event_stream(spark, src, files_per_batch=1), rows=8), "hot", str(tmp_path / "out"))
+    got = {r.transaction_id: r for r in spark.read.parquet(out).filter("ent = 'cust'").collect()}
+    want = plain_windows(batches, lambda r: r[2])
+    distinct = {w.label for w in C.CATALOGUE[0].windows if w.distinct}
+    for (tid, label), (n, a, d) in want.items():
+        r = got[tid]
+        assert (r[f"n_{label}"], r[f"a_{label}"] / C.MONEY_SCALE, r[f"d_{label}"]) == (n, a, d if label in distinct else 0), (tid, label)
+
+    def variable(name):
+        return spark.read.format("statestore").option("path", f"{out}-checkpoint").option("stateVarName", name).load()
+
+    assert variable("head").agg(F.max(F.size("value.at"))).first()[0] <= 8
+    chunks = variable("chunks").filter("key.ent = 'cust' AND key.eid = '7'")
+    assert chunks.count() > 50 and chunks.agg(F.max(F.size("user_map_value.at"))).first()[0] <= 8
+    known, events = S.read_state(spark, f"{out}-checkpoint")
+    assert known.filter("ent = 'cust'").agg(F.sum("n")).first()[0] == 720
+    assert events.filter("ent = 'cust' AND eid = '7'").count() == sum(r[2] == 7 for rows in batches for r in rows)
+
+
+def test_old_minutes_go_and_timers_empty_silent_entities(spark, tmp_path):
+    day, t0 = 86_400_000_000, 1_704_067_200_000_000
+    batches = [[(n * 100 + i, t0 + n * day + i * 1_000_000, 1 if n < 3 else 2, 1.0, i % 3) for i in range(20)] for n in range(20)]
+    src = arrivals(spark, str(tmp_path / "in"), batches)
+    for lateness, left in ((None, 60), ("1 hour", 0)):
+        path = str(tmp_path / f"out-{left}")
+        out = B.run_available(S.entity_features(B.event_stream(spark, src, files_per_batch=1), rows=8, lateness=lateness), "idle", path)
+        known, events = S.read_state(spark, f"{out}-checkpoint")
+        held = {r.eid: r["count"] for r in events.filter("ent = 'cust'").groupBy("eid").count().collect()}
+        assert held.get("1", 0) == left  # silent since the third day
+        assert 140 <= held["2"] <= 160  # eight of its seventeen days
+        assert {r.eid: r.n for r in known.filter("ent = 'cust'").collect()} == {"1": 60, "2": 340}
+
+
+def test_history_is_read_by_day(spark, tmp_path):
+    rows = spark.range(40).selectExpr("cast(id AS string) AS transaction_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id AS int)) AS event_time", "id AS seq",
+                                      "'c' AS customer_id", "'k' AS card_id", "'m' AS merchant_id", "cast(NULL AS string) AS device_id", "1.0D AS amount")
+    root = str(tmp_path / "hist")
+    B.append_history(rows.filter("seq < 30"), root, 0)
+    new = rows.filter("seq >= 30")
+    seen = B.recent_history(B.read_batches(spark, root, before=1), new)
+    assert seen.count() == 7 and "day" in seen._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:300]
+    assert B.sweep_batch(B.read_batches(spark, root, before=1), new).filter("transaction_id = '30'").first()["cust_v_7d_count"] == 7.0
+
+
+def test_progress_has_a_row_for_every_batch_across_a_restart(spark, tmp_path):
+    src, root, out = str(tmp_path / "in"), str(tmp_path / "progress"), str(tmp_path / "out")
+    make = lambda lo, hi: spark.range(lo, hi, 1, hi - lo).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id AS user_id", "'purchase' AS event_type",
+                                                                     "1.0D AS value", "'{}' AS props").write.mode("append").parquet(src)
+    for lo, hi in ((0, 110), (110, 150)):  # stopped in between; more batches than a query's own progress keeps
+        make(lo, hi)
+        B.run_observed(B.event_stream(spark, src, files_per_batch=1).select("transaction_id"), "seen", root, [F.count(F.lit(1)).alias("rows")], path=out)
+    p = spark.read.parquet(root).filter("rows > 0")
+    assert p.count() == 150 and p.agg(F.sum("rows"), F.count_distinct("run")).first()[:] == (150, 2)
+    assert spark.read.parquet(out).count() == 150

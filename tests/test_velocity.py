@@ -75,7 +75,7 @@ def test_sweep_equals_brute_force(spark):
 
 def test_hot_entities_cut_into_slices_give_the_same(spark):
     rows, df = make(spark)
-    check(V.velocity_features(df, hot_rows=40, slice_seconds=6 * 3600), rows)
+    check(V.velocity_features(df, hot_rows=40), rows)
 
 
 def test_input_order_does_not_matter(spark):
@@ -104,13 +104,13 @@ def test_first_row_of_every_entity_has_no_past(spark):
 def test_history_with_slices_equals_without(spark):
     _, df = make(spark)
     a = V.history_features(df, hot_rows=None)
-    b = V.history_features(df, hot_rows=30, slice_seconds=3600)
+    b = V.history_features(df, hot_rows=30)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_positions_with_slices(spark):
     rows, df = make(spark)
-    a = {r["transaction_id"]: r["pos"] for r in P.positions(df, "customer_id", hot_rows=20, slice_seconds=3600).collect()}
+    a = {r["transaction_id"]: r["pos"] for r in P.positions(df, "customer_id", hot_rows=20).collect()}
     for c in {r[3] for r in rows}:
         mine = sorted((r for r in rows if r[3] == c), key=lambda r: (r[2], r[0]))
         assert [a[r[1]] for r in mine] == list(range(1, len(mine) + 1))

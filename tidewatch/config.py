@@ -112,4 +112,3 @@ GENESIS = "GENESIS"
 
 # Skew handling: an entity with more rows than this is cut into time slices.
 HOT_ROWS = 2_000_000
-SLICE_SECONDS = 86_400

@@ -10,7 +10,7 @@ from tidewatch.operators import skew
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str],
-                  hot_rows: int = C.HOT_ROWS, slice_units: int = C.SLICE_SECONDS * 1_000_000) -> DataFrame:
+                  hot_rows: int = C.HOT_ROWS) -> DataFrame:
     """Left rows with the latest right row of the same key at or before them.
 
     Both sides are laid on one timeline and the last right row is carried
@@ -22,12 +22,14 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, values: l
     r = rt.select(by, at, carry.alias("_r"), F.lit(0).alias("_side"))
     both = left.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_side", F.lit(1)).unionByName(
         r, allowMissingColumns=True)
-    hot = skew.hot_keys(both.select(by), [by], hot_rows)
-    hot = None if hot.isEmpty() else hot
-    s = skew.with_slices(both, [by], F.col(at), slice_units, hot)
+    hot = skew.find_hot(both.select(by), [by], hot_rows)
+    # rows of one side and one instant may stand in any order, so a hash may part them
+    order = {"at": F.col(at), "side": F.col("_side"), "seq": F.xxhash64(*left.columns)}
+    plan = skew.slice_plan(both, [by], hot, hot_rows, **order)
+    s = skew.with_slices(both, [by], plan, **order)
     w = Window.partitionBy(by, skew.SLICE).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = s.withColumn("_m", F.last("_r", ignorenulls=True).over(w))
-    if hot is not None:
+    if plan is not None:
         before = skew.carried(s, [by], {"_newest": F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(at)))},
                               {"_b": F.last("_newest", ignorenulls=True)})
         out = skew.join_null_safe(out, before, [by, skew.SLICE]).withColumn("_m", F.coalesce("_m", "_b"))

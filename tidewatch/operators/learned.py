@@ -72,31 +72,44 @@ def assemble(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(filled).drop(*names)
 
 
+def best_prefix(losses: list[float], patience: int) -> int:
+    """How many trees to keep: those up to the least loss that is met before `patience` trees in a row bring none."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def train_gbt(train: DataFrame, columns: list[str], label: str = "is_fraud", trees: int = 50, depth: int = 5,
-              step: float = 0.1, seed: int = 42, validation: DataFrame | None = None, tolerance: float = 1e-3):
+              step: float = 0.1, seed: int = 42, validation: DataFrame | None = None, patience: int = 20):
     """Class-weighted boosted trees; returns (model, weight of a positive row).
 
-    With rows in `validation` boosting stops at the tree after which their loss no
-    longer falls by `tolerance` of itself; `trees` is the most there can be. The
-    weight, negatives per positive, is that of the training rows.
+    With rows in `validation` the first trees with the least weighted loss on them
+    are kept: all `trees` are fitted, the loss after each is measured, and the model is
+    fitted again with as many as `best_prefix` says (the same trees, as the seed is the
+    same). The weight, negatives per positive, is that of the training rows.
     """
     from pyspark.ml.classification import GBTClassifier
 
-    rows = train.withColumn("_held", F.lit(False))
-    if validation is not None:
-        rows = rows.unionByName(validation.withColumn("_held", F.lit(True)))
-    fitting = ~F.col("_held")
-    r = rows.agg(F.count_if(fitting & (F.col(label) == 0)).alias("n"), F.count_if(fitting & (F.col(label) == 1)).alias("p"),
-                 F.count_if(F.col("_held")).alias("held")).first()
+    counts = F.count_if(F.col(label) == 0).alias("n"), F.count_if(F.col(label) == 1).alias("p")
+    r = train.agg(*counts).first()
     w = float(r["n"]) / max(r["p"], 1)
-    data = assemble(rows, columns).select(
-        "features", "_held", F.col(label).cast("double").alias("label"), F.when(F.col(label) == 1, w).otherwise(1.0).alias("weight"))
+
+    def vectors(df):
+        return assemble(df, columns).select("features", F.col(label).cast("double").alias("label"),
+                                            F.when(F.col(label) == 1, w).otherwise(1.0).alias("weight"))
+
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
                         stepSize=step, seed=seed, subsamplingRate=0.9, checkpointInterval=10)
-    if r["held"]:
-        gbt = gbt.setValidationIndicatorCol("_held")
-        gbt = gbt.copy({gbt.validationTol: tolerance})
-    return gbt.fit(data), w
+    data = vectors(train)
+    model = gbt.fit(data)
+    if validation is None or validation.isEmpty():
+        return model, w
+    keep = best_prefix(model.evaluateEachIteration(vectors(validation)), patience)
+    return (model if keep == trees else gbt.copy({gbt.maxIter: keep}).fit(data)), w
 
 
 def raw_probability(model, df: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,7 +3,9 @@
 Equal values are merged first. The distinct values are cut into slices of
 similar row count (edges from approxQuantile, a bounded list), summed per slice
 and accumulated over the slices; inside a slice a window finishes the work.
-The edges only balance the slices, so the results are exact.
+The edges only balance the slices, so the results are exact. Row numbers come
+from ranges of whole (value, ties) tuples, so a busy instant is cut like
+anything else; the k highest rows come from a bound found in histograms.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.session import stored
+
 SLICES = 32            # at least this many slices
 MAX_SLICES = 4096      # for one order over all rows
 MAX_KEYED_SLICES = 256  # for one order per feature, model or split
@@ -112,14 +116,60 @@ def nearest_rank(df: DataFrame, value: str, probs: list[float], slices: int | No
         for i, p in enumerate(probs)])
 
 
+def ordered(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
+    """`df` in (order) order as a stored table, with `_slice` and the row's place `_own` in it from 0.
+
+    Spark samples tuples of all columns of `order` for the ranges, so rows of one
+    value are parted by the columns after it. The table is written once: ranges
+    are drawn anew in each run of a plan, and both readers need the same ones.
+    """
+    n = slices or slice_count(df, MAX_SLICES)
+    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return stored(laid.select("*", F.spark_partition_id().alias("_slice"), own.alias("_own")), "ordered")
+
+
 def numbered(df: DataFrame, at: str, ties: list[str], slices: int | None = None,
              name: str = "row_id") -> DataFrame:
     """Contiguous 0-based row numbers in (at, ties) order, without one big sort task."""
-    sliced = _slice_column(df, at, [], slices)
-    w = Window.partitionBy("_slice").orderBy(at, *ties)
+    laid = ordered(df, [at, *ties], slices)
     over = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = (sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))  # one row per slice
+    base = (laid.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))  # one row per slice
             .select("_slice", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base")))
-    return (sliced.withColumn("_rn", F.row_number().over(w) - 1)
-            .join(F.broadcast(base), "_slice")
-            .withColumn(name, F.col("_rn") + F.col("_base")).drop("_slice", "_rn", "_base"))
+    return (laid.join(F.broadcast(base), "_slice")
+            .withColumn(name, F.col("_own") + F.col("_base")).drop("_slice", "_own", "_base"))
+
+
+BINS = 1024  # of one histogram level
+
+
+def rank_bound(df: DataFrame, value: Column, k: int, bins: int = BINS):
+    """A value that at least k rows reach (all, if there are fewer: None), and not many more than k.
+
+    Histograms level by level: the bin that holds rank k is cut again, until it has
+    at most k rows or one value. Nulls are below everything. A level sends one row a
+    bin to the driver, and its bounds are values of the data, so nothing is rounded.
+    """
+    rows = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, above = span["lo"], span["hi"], 0
+    if span["n"] <= k:
+        return None
+    while lo < hi:
+        bin_ = F.least(F.floor((F.col("v") - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * bins), F.lit(bins - 1))
+        found = (rows.filter(F.col("v").between(F.lit(lo), F.lit(hi))).groupBy(bin_.alias("b"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for r in sorted(found, key=lambda r: -r["b"]):
+            if above + r["n"] >= k:
+                break
+            above += r["n"]
+        if r["n"] <= max(k, bins) or (r["lo"], r["hi"]) == (lo, hi):
+            return r["lo"]
+        lo, hi = r["lo"], r["hi"]
+    return lo
+
+
+def highest(df: DataFrame, value: Column, k: int) -> DataFrame:
+    """The rows of `df` among which the k highest by `value` are, and few others; order and cut them."""
+    bound = rank_bound(df, value, k)
+    return df if bound is None else df.filter(value >= F.lit(bound))

@@ -42,14 +42,13 @@ def _base(txn: DataFrame, entities) -> DataFrame:
         *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in (*ids, *extra)])
 
 
-def _with_first_seen(base: DataFrame, entity, code: int, hot: DataFrame | None,
-                     slice_units: int) -> DataFrame:
+def _with_first_seen(base: DataFrame, entity, code: int, hot: DataFrame | None, rows: int | None) -> DataFrame:
     """Neighbour times of the same (entity, merchant), for distinct counts."""
-    h = None
+    plan = None
     if hot is not None:
-        h = hot.filter(F.col("ent") == code).select(F.col("eid").alias(entity.id_col), "_hot")
-    out = skew.neighbours(base, [entity.id_col, "merchant_id"], "at", ["seq", "transaction_id"],
-                          slice_units, h, [entity.id_col])
+        own = hot.filter(F.col("ent") == code).select(F.col("eid").alias(entity.id_col), "_hot")
+        plan = skew.slice_plan(base, [entity.id_col], own, rows, F.col("at"), seq=F.col("seq"))
+    out = skew.neighbours(base, [entity.id_col, "merchant_id"], "at", ["seq", "transaction_id"], plan, [entity.id_col])
     keep = [c for c in out.columns if c not in ("prev_at", "next_at", "_hot")]
     known = F.col("merchant_id").isNotNull()
     flags = []
@@ -63,7 +62,8 @@ def _with_first_seen(base: DataFrame, entity, code: int, hot: DataFrame | None,
     return out.select(*keep, *flags)
 
 
-def _marks(base: DataFrame, entities, labels: list[str], distinct: list[str]) -> DataFrame:
+def _marks(base: DataFrame, entities, labels: list[str], distinct: list[str], cut: bool) -> DataFrame:
+    """All marks; with `cut` each keeps its event's seq, for an instant of leaving marks may have to be cut too."""
     zero = F.lit(0)
 
     def mark(e, kind: int, at, flags):
@@ -86,7 +86,7 @@ def _marks(base: DataFrame, entities, labels: list[str], distinct: list[str]) ->
     exploded = base.select("transaction_id", "seq", "amt", F.explode(F.array(*marks)).alias("m"))
     is_event = F.col("m.kind") == EVENT
     return exploded.filter(F.col("m.eid").isNotNull()).select(
-        "m.*", "amt", F.when(is_event, F.col("seq")).alias("seq"),
+        "m.*", "amt", (F.col("seq") if cut else F.when(is_event, F.col("seq"))).alias("seq"),
         F.when(is_event, F.col("transaction_id")).alias("transaction_id"))
 
 
@@ -104,31 +104,30 @@ def find_hot(base: DataFrame, entities, hot_rows: int | None) -> DataFrame | Non
     The counting pass reads the id columns only and is partial before its
     shuffle; when no entity is hot the sweep needs no slices at all.
     """
-    if hot_rows is None:
-        return None
-    hot = skew.hot_keys(entity_rows(base, entities), KEYS, hot_rows)
-    return None if hot.isEmpty() else hot
+    return None if hot_rows is None else skew.find_hot(entity_rows(base, entities), KEYS, hot_rows)
 
 
 def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOGUE,
-                      hot_rows: int | None = C.HOT_ROWS,
-                      slice_seconds: int = C.SLICE_SECONDS) -> DataFrame:
+                      hot_rows: int | None = C.HOT_ROWS) -> DataFrame:
     """One row per transaction: velocity and prior features, strictly past.
 
     Needs `transaction_id, seq, event_time, amount` and the id columns. An
     event without an id for an entity gets null for that entity's features.
     First event of an entity: count 0, mean 0, gap 0, ratio 1.
-    `hot_rows=None` skips the search for hot entities.
+    An entity with more than `hot_rows` events is cut into slices of at most as
+    many marks; `hot_rows=None` skips the search for hot entities.
     """
     labels, distinct = _labels(entities), _distinct_labels(entities)
-    slice_units = slice_seconds * 1_000_000
     base = _base(txn, entities)
     hot = find_hot(base, entities, hot_rows)
     for i, e in enumerate(entities):
         if any(w.distinct for w in e.windows):
-            base = _with_first_seen(base, e, i, hot, slice_units)
+            base = _with_first_seen(base, e, i, hot, hot_rows)
 
-    marks = skew.with_slices(_marks(base, entities, labels, distinct), KEYS, F.col("at"), slice_units, hot)
+    marks = _marks(base, entities, labels, distinct, hot is not None).withColumn("leaves", (F.col("kind") != EVENT).cast("byte"))
+    order = F.col("at"), F.col("leaves"), F.col("seq")
+    plan = skew.slice_plan(marks, KEYS, hot, hot_rows, *order)
+    marks = skew.with_slices(marks, KEYS, plan, *order)
     is_event = F.col("kind") == EVENT
     delta = {"n_all": is_event.cast("long"), "a_all": F.when(is_event, F.col("amt")).otherwise(F.lit(0))}
     for i, lab in enumerate(labels):
@@ -145,7 +144,7 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
     # Without hot keys the slice is a constant, which the optimiser takes out of the
     # window: the keys alone then place the marks once for all that follows.
     place = [*KEYS, skew.SLICE] if hot is not None else list(KEYS)
-    shuffled = marks.withColumn("leaves", (F.col("kind") != EVENT).cast("byte")).repartition(*place)
+    shuffled = marks.repartition(*place)
     placed = shuffled.sortWithinPartitions(*place, "at", "leaves", "seq", "transaction_id")
     flag = ["_hot"] if hot is not None else []
     before = (Window.partitionBy(*place)
@@ -199,8 +198,7 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
             .agg(*[values[n].alias(n) for n in names]))
 
 
-def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS,
-                     slice_seconds: int = C.SLICE_SECONDS) -> DataFrame:
+def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS) -> DataFrame:
     """Batch form of the priors: unknown is null, gaps are log1p(gap + 1).
 
     Per entity: null gap and mean on the first row, mean clipped to [0, 1e7],
@@ -208,7 +206,7 @@ def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS,
     follows zero).
     """
     entities = tuple(C.Entity(e.name, e.id_col, (), e.priors) for e in C.CATALOGUE if e.priors)
-    raw = raw_priors(txn, entities, hot_rows, slice_seconds)
+    raw = raw_priors(txn, entities, hot_rows)
     out = ["transaction_id"]
     for e in entities:
         n, a, pa, pt = (F.col(f"{e.name}_{c}") for c in ("n", "a", "prev_amt", "prev_at"))
@@ -226,16 +224,16 @@ def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS,
     return raw.select(*out)
 
 
-def raw_priors(txn: DataFrame, entities, hot_rows: int | None, slice_seconds: int) -> DataFrame:
+def raw_priors(txn: DataFrame, entities, hot_rows: int | None) -> DataFrame:
     """Per transaction and entity: earlier count, earlier sum, previous amount and time."""
-    slice_units = slice_seconds * 1_000_000
     base = _base(txn, entities)
     hot = find_hot(base, entities, hot_rows)
     long = base.select("transaction_id", "seq", "at", "amt", F.explode(F.array(*[
         F.struct(F.col(e.id_col).alias("eid"), F.lit(i).cast("byte").alias("ent"))
         for i, e in enumerate(entities)])).alias("k"))
     long = long.select("k.*", "transaction_id", "seq", "at", "amt").filter(F.col("eid").isNotNull())
-    s = skew.with_slices(long, KEYS, F.col("at"), slice_units, hot)
+    plan = skew.slice_plan(long, KEYS, hot, hot_rows, F.col("at"), seq=F.col("seq"))
+    s = skew.with_slices(long, KEYS, plan, F.col("at"), seq=F.col("seq"))
     before = (Window.partitionBy(*KEYS, skew.SLICE).orderBy("at", "seq", "transaction_id")
               .rowsBetween(Window.unboundedPreceding, -1))
     r = s.select(*KEYS, skew.SLICE, "transaction_id", "at", "amt",

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X, reasons
-from tidewatch.operators import impact as IM, metrics as M, models as MD, priors, ranking as R, velocity as V
+from tidewatch.functions.frame import attach_row
+from tidewatch.operators import drift as D, impact as IM, metrics as M, models as MD, priors, ranking as R, velocity as V
 from tidewatch.operators.asof import parity_report
 from tidewatch.plans.registry import query
 from tidewatch.plans.sources import AUC_SQL, BOUNDS_SQL, model_table, write_registry
 from tidewatch.plans.scalars import CLASS_SQL
 from tidewatch.plans.sqltext import sql
+from tidewatch.session import stored
 from tidewatch.sources import cards, files
 
 ID = "transaction_id"
@@ -49,6 +51,18 @@ def _(t):
     return cards.check_bounds(cards.split_bounds(t.txn()))
 
 
+@query("agg_quantile_bounds_sketch", sql(
+    "SELECT q[1] AS train_end, q[2] AS validation_end, true AS near, (SELECT count(*) FROM txn) AS n FROM b", "txn", extra=BOUNDS_SQL))
+def _(t):
+    """The bounds from daily sketches, merged; near: at most 1 % of the rows lie between an estimate and the exact bound."""
+    us = t.txn().select(X.micros("event_time").alias("us"), F.to_date("event_time").alias("day"))
+    daily = stored(D.quantile_sketches(us, "us", ["day"]), "time-sketches")
+    both = attach_row(cards.split_bounds(t.txn()), D.merged_quantiles(daily, [0.6, 0.8]))
+    off = [F.count_if(F.col("us").between(F.least(c, F.col("q")[i]), F.greatest(c, F.col("q")[i]))) for i, c in enumerate(("train_end", "validation_end"))]
+    return (attach_row(us, both).groupBy("train_end", "validation_end", "n").agg(F.greatest(*off).alias("off"))
+            .select("train_end", "validation_end", (F.col("off") <= 0.01 * F.col("n") + 1).alias("near"), "n"))
+
+
 @query("agg_quantile_linear", sql(
     "SELECT count(*) AS n, round(quantile_cont(score, 0.1), 8) AS p10, round(quantile_cont(score, 0.5), 8) AS p50, round(quantile_cont(score, 0.9), 8) AS p90, round(quantile_cont(score, 0.9895), 8) AS p9895, round(quantile_cont(score, 0.9995), 8) AS p9995 FROM scores", "scores"))
 def _(t):

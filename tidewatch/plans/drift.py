@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X
+from tidewatch.functions.frame import attach_row
 from tidewatch.operators import drift as D, models as MD, priors
 from tidewatch.plans.aggregates import RANK
 from tidewatch.plans.registry import query
@@ -54,6 +55,21 @@ def _(t):
     return D.psi(D.histogram(ref, "score", edges, []), D.histogram(obs, "score", edges, []), []).select(F.round("psi", 6).alias("psi"))
 
 
+@query("agg_psi_sketch", sql("SELECT round(psi, 6) AS exact, true AS near FROM ps", "scores", extra=psi_sql(
+    "SELECT score AS x FROM scores WHERE split = 'train'", "SELECT score AS x FROM scores WHERE split = 'test'")))
+def _(t):
+    """PSI with edges from monthly sketches, beside the exact one; near: they differ by less than 0.02."""
+    s = t.scores()
+    ref, obs = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test").select("score")
+    monthly = stored(D.quantile_sketches(ref.withColumn("month", X.month_label("event_time")), "score", ["month"]), "score-sketches")
+
+    def of(edges):
+        return D.psi(D.histogram(ref.select("score"), "score", edges, []), D.histogram(obs, "score", edges, []), [])
+
+    both = attach_row(of(D.bin_edges(ref.select("score"), "score")), of(D.sketched_edges(monthly)).withColumnRenamed("psi", "sketched"))
+    return both.select(F.round("psi", 6).alias("exact"), (F.abs(F.col("psi") - F.col("sketched")) < 0.02).alias("near"))
+
+
 @query("agg_mean_shift_z", sql(
     "SELECT round((avg(score) FILTER (split = 'test') - avg(score) FILTER (split = 'train')) / (stddev_pop(score) FILTER (split = 'train') / sqrt(count(*) FILTER (split = 'test'))), 6) AS z FROM scores", "scores"))
 def _(t):
@@ -214,13 +230,23 @@ def _(t):
     return s.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["at"]).alias("month"), f.alias("fired"))).alias("f")).select("f.month", "f.fired")
 
 
-@query("win_adwin")
+_ADWIN = """ml AS (SELECT merchant_category_code AS k, strftime(event_time, '%Y-%m') AS month, avg(score) * 8 AS x FROM scores GROUP BY 1, 2),
+mi AS (SELECT k, x, CAST(row_number() OVER (PARTITION BY k ORDER BY month) AS INTEGER) AS j, sum(x) OVER (PARTITION BY k ORDER BY month ROWS UNBOUNDED PRECEDING) AS upto FROM ml),
+tt AS (SELECT k, list_prepend(0.0::DOUBLE, list(upto ORDER BY j)) AS t FROM mi GROUP BY k),
+aw AS (SELECT k, 0 AS j, 0 AS low, false AS fired, t FROM tt
+  UNION ALL SELECT k, j, CAST(low + coalesce(cut, 0) AS INTEGER), cut IS NOT NULL, t FROM (
+    SELECT k, j, low, t, list_min(list_filter(range(3, j - low), lambda c: abs((t[low + c + 1] - t[low + 1]) / c - (t[j + 1] - t[low + c + 1]) / (j - low - c))
+      > sqrt(2.0 * ln(2.0 / 0.01) * (1.0::DOUBLE / c + 1.0::DOUBLE / (j - low - c))))) AS cut
+    FROM (SELECT k, j + 1 AS j, greatest(low, j + 1 - 128) AS low, t FROM aw WHERE j + 1 < len(t))))"""
+
+
+@query("win_adwin", sql("SELECT k AS merchant_category_code, aw.j - 1 AS i, round(x, 6) AS x, fired FROM aw JOIN mi USING (k, j)", "scores", recursive=True, extra=_ADWIN))
 def _(t):
     """Adaptive windows over the monthly level of every category code."""
     m = t.scores().groupBy("merchant_category_code", X.month_label("event_time").alias("month")).agg(
         (F.avg("score") * 8).alias("level"))
     s = D.ordered_series(m, "month", "level", ["merchant_category_code"])
-    return D.adwin(s, ["merchant_category_code"])
+    return D.adwin(s, ["merchant_category_code"]).withColumn("x", F.round("x", 6))
 
 
 @query("win_auto_switch", sql(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
+from tidewatch import config as C
 from tidewatch.functions import expr as X
-from tidewatch.operators import learned as L
+from tidewatch.operators import learned as L, positions as P, velocity as V
 from tidewatch.plans.registry import query
 from tidewatch.plans.sqltext import sql
 
@@ -80,12 +81,15 @@ def _(t):
     "SELECT transaction_id, count(*) OVER w AS cum_n, CAST(sum(seq) OVER w AS BIGINT) AS cum_s, lag(seq) OVER w AS before, lead(seq) OVER w AS after, row_number() OVER w AS pos, "
     "count(*) OVER (PARTITION BY customer_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS rolling FROM txn WINDOW w AS (PARTITION BY customer_id ORDER BY us, seq)", "txn"))
 def _(t):
-    d = t.txn().withColumn("us", X.micros("event_time"))
-    w = Window.partitionBy("customer_id").orderBy("us", "seq")
-    r = Window.partitionBy("customer_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
-    rows = w.rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(ID, F.count(F.lit(1)).over(rows).alias("cum_n"), F.sum("seq").over(rows).alias("cum_s"), F.lag("seq").over(w).alias("before"),
-                    F.lead("seq").over(w).alias("after"), F.row_number().over(w).cast("long").alias("pos"), F.count(F.lit(1)).over(r).alias("rolling"))
+    """Running and neighbour values, and a closed rolling count, with hot customers in slices."""
+    d = t.txn()
+    run = P.running(d, "customer_id", "seq")
+    cust = C.Entity("cust", "customer_id", tuple(w for w in C.CATALOGUE[0].windows if w.label == "24h"), ())
+    day = V.velocity_features(d, (cust,)).select(ID, "cust_v_24h_count")
+    tie = P.tie_ranks(d, "customer_id").select(ID, (F.col("tie_size") - F.col("tie_rank")).alias("left"))
+    # what lies before the row in its window, the row itself and the later rows of its instant
+    rolling = (F.col("cust_v_24h_count") + F.col("left")).cast("long")
+    return run.join(day, ID).join(tie, ID).select(ID, F.col("pos").alias("cum_n"), F.col("cum_sum").alias("cum_s"), "before", "after", "pos", rolling.alias("rolling"))
 
 
 @query("udf_scorer", sql("SELECT transaction_id, round(1.0 / (1.0 + exp(-(0.8 * ln(1 + amount) + 0.5 * is_fraud - 3.0))), 6) AS p FROM txn", "txn"))
@@ -118,7 +122,6 @@ def _(t):
             ("cust", "customer_id", ("1h", "24h", "7d")), ("card", "card_id", ("1h", "24h", "7d")), ("merch", "merchant_id", ("24h", "7d")), ("device", "device_id", ("24h", "7d"))) for w in ws)
     + ") GROUP BY 1, 2", "txn"))
 def _(t):
-    from tidewatch import config as C
     rows = F.explode(F.array(*[F.struct(F.lit(e.name).alias("entity"), F.col(e.id_col).alias("id"), F.lit(w.label).alias("win"))
                                for e in C.CATALOGUE for w in e.windows]))
     x = t.txn().select(rows.alias("r")).select("r.*").filter(F.col("id").isNotNull())

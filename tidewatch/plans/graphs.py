@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidewatch.operators import graph as G, memory as MEM
 from tidewatch.plans.registry import query
 from tidewatch.plans.sqltext import sql
+from tidewatch.session import stored
 
 MN = "mn AS (SELECT merchant_id, min_by(merchant_category_code, (us, seq)) AS mcc, avg(is_fraud) AS fraud_rate FROM txn GROUP BY 1)"
 
@@ -92,6 +93,24 @@ def _(t):
     return G.entity_month(G.with_buckets(t.lines()), "customer_id", "merchant_id")
 
 
+@query("agg_entity_month_sketch", sql(
+    "SELECT id AS customer_id, month_idx, n, amt, fraud, extra, CAST(sum(coalesce(fresh, 0)) OVER (PARTITION BY id ORDER BY month_idx) AS BIGINT) AS until, true AS near FROM em LEFT JOIN "
+    "(SELECT customer_id AS id, month_idx, count(*) AS fresh FROM (SELECT customer_id, merchant_id, min((year(event_time) - 1970) * 12 + month(event_time) - 1) AS month_idx FROM lines GROUP BY 1, 2) GROUP BY 1, 2) USING (id, month_idx)",
+    "lines", extra=month_sql("lines", "customer_id", "merchant_id")))
+def _(t):
+    """Monthly partners as mergeable sketches, beside exact numbers; near: month and whole past are within five standard errors."""
+    b = G.with_buckets(t.lines())
+    sketched = stored(G.entity_month_sketches(b, "customer_id", "merchant_id"), "partner-sketches")
+    month = sketched.select("customer_id", "month_idx", F.hll_sketch_estimate("partners").alias("m"))
+    first = b.groupBy("customer_id", "merchant_id").agg(F.min("month_idx").alias("month_idx")).groupBy("customer_id", "month_idx").agg(F.count("merchant_id").alias("new"))
+    past = Window.partitionBy("customer_id").orderBy("month_idx").rowsBetween(Window.unboundedPreceding, 0)  # a row a month
+    exact = G.entity_month(b, "customer_id", "merchant_id").join(first, ["customer_id", "month_idx"], "left").withColumn(
+        "until", F.sum(F.coalesce("new", F.lit(0))).over(past))
+    both = exact.join(month, ["customer_id", "month_idx"]).join(G.partners_until(sketched, "customer_id"), ["customer_id", "month_idx"])
+    off = lambda a, e: F.abs(F.col(a) - F.col(e)) <= 1 + 5 * 0.0163 * F.col(e)
+    return both.select("customer_id", "month_idx", "n", "amt", "fraud", "extra", "until", (off("m", "extra") & off("partners_until", "until")).alias("near"))
+
+
 _CUM = ", ".join(f"sum({c}) OVER w - {c} AS hist_{c}" for c in ("n", "extra", "fraud"))
 
 

@@ -25,9 +25,9 @@ def featured(t, history: bool = False):
     return stored(priors.join_velocity(out, V.history_features(t.txn())) if history else out, "features")
 
 
-def fitted(t, columns, frame, stop: bool = True):
+def fitted(t, columns, frame):
     part = lambda s: frame.filter(F.col("split") == s)
-    return L.train_gbt(part("train"), columns, validation=part("validation") if stop else None)
+    return L.train_gbt(part("train"), columns, validation=part("validation"))
 
 
 @query("ml_train_gbt")
@@ -72,10 +72,9 @@ def _(t):
 
 @query("ml_what_if")
 def _(t):
-    """The search on fully boosted trees: labels of the supplied tables follow no feature, so stopping
-    on the validation part leaves a single tree, which no change of a feature makes safe."""
+    """The smallest changes that make rows safe, by the model of `ml_score`."""
     f = featured(t)
-    model, weight = fitted(t, ONLINE, f, stop=False)
+    model, weight = fitted(t, ONLINE, f)
     scored = L.score(model, weight, f, ONLINE, 0.05, 0.02)
     return L.what_if(model, weight, scored.filter(F.col("action") != "allow"), ONLINE, [ID]).select(
         ID, "rank", "feature", "from_value", "to_value", "proba", "proba_after", "distance", "statement")

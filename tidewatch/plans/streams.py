@@ -35,9 +35,14 @@ def staged(t, order=("early", "late"), twice: bool = False) -> str:
     return path
 
 
+def stateful_path(t, order=("early", "late"), **how) -> str:
+    """Where the features of a finished stream are; its state is in `<path>-checkpoint`."""
+    stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=FILES), **how)
+    return B.run_available(stream, "entity-features", timed=bool(how.get("ttl_seconds")))
+
+
 def stateful(t, order=("early", "late"), ttl: int | None = None):
-    stream = S.entity_features(B.event_stream(t.spark, staged(t, order), files_per_batch=FILES), ttl_seconds=ttl)
-    return t.spark.read.parquet(B.run_available(stream, "entity-features", timed=ttl is not None))
+    return t.spark.read.parquet(stateful_path(t, order, ttl_seconds=ttl))
 
 
 @query("st_velocity", sql(velocity_sql("txn"), "txn"))
@@ -101,23 +106,43 @@ def _(t):
     "SELECT customer_id, count(*) FILTER (us > mx - 3600000000) AS n_1h, count(*) FILTER (us >= mx - 604800000000) AS n_7d, round(coalesce(sum(amount) FILTER (us >= mx - 604800000000), 0), 2) AS a_7d, "
     "count(*) AS prior_count, max(us) AS prior_at FROM (SELECT *, max(us) OVER () AS mx FROM txn) GROUP BY 1", "txn"))
 def _(t):
-    """Every customer's windows and priors at the time of the newest event."""
-    d = t.txn().withColumn("us", X.micros("event_time"))
-    newest = d.agg(F.max("us").alias("mx"))
-    inside = lambda s: F.col("us") >= F.col("mx") - s * 1_000_000
-    return d.join(F.broadcast(newest)).groupBy("customer_id").agg(
-        F.count_if(inside(3600)).alias("n_1h"), F.count_if(inside(604800)).alias("n_7d"),
-        F.round(F.coalesce(F.sum(F.when(inside(604800), F.col("amount"))), F.lit(0.0)), 2).alias("a_7d"),
-        F.count(F.lit(1)).alias("prior_count"), F.max("us").alias("prior_at"))
+    """Every customer's windows and priors at the time of the newest event, read from the state the stream left."""
+    known, events = S.read_state(t.spark, f"{stateful_path(t)}-checkpoint")
+    known, events = (d.filter(F.col("ent") == "cust").select(F.col("eid").alias("customer_id"), *d.columns[2:]) for d in (known, events))
+    newest = known.agg(F.max("prev_at").alias("mx"))
+    within = events.join(F.broadcast(newest))
+    inside = lambda s: F.col("at") >= F.col("mx") - s * 1_000_000
+    recent = within.groupBy("customer_id").agg(
+        F.count_if(F.col("at") > F.col("mx") - 3_600_000_000).alias("n_1h"), F.count_if(inside(604800)).alias("n_7d"),
+        F.round(F.coalesce(F.sum(F.when(inside(604800), F.col("amt"))), F.lit(0)) / F.lit(float(C.MONEY_SCALE)), 2).alias("a_7d"))
+    return known.join(recent, "customer_id", "left").select(
+        "customer_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_1h", "n_7d", "a_7d")], F.col("n").alias("prior_count"), F.col("prev_at").alias("prior_at"))
+
+
+_LATENESS_US = 3_600_000_000
+
+
+@query("st_idle_expiry", sql(
+    "SELECT ent, eid, count(*) FILTER (us >= horizon) AS kept, 0::BIGINT AS stale, count(*) AS prior_count FROM (" + " UNION ALL ".join(
+        f"SELECT '{e.name}' AS ent, {e.id_col} AS eid, us, (max(us) OVER () // 1000) * 1000 - {_LATENESS_US} - 604800000000 AS horizon FROM txn" for e in C.CATALOGUE)
+    + ") WHERE eid IS NOT NULL GROUP BY 1, 2", "txn"))
+def _(t):
+    """Entities that fell silent are emptied by event-time timers: what the state holds at the last watermark, priors included."""
+    known, events = S.read_state(t.spark, f"{stateful_path(t, lateness='1 hour')}-checkpoint")
+    newest = known.agg(((F.floor(F.max("prev_at") / 1000) * 1000) - _LATENESS_US - max(C.WINDOW_SECONDS.values()) * 1_000_000).alias("horizon"))
+    held = events.join(F.broadcast(newest)).groupBy("ent", "eid").agg(
+        F.count_if(F.col("at") >= F.col("horizon")).alias("kept"), F.count_if(F.col("at") < F.col("horizon") - 60_000_000).alias("stale"))
+    return known.join(held, ["ent", "eid"], "left").select(
+        "ent", "eid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "stale")], F.col("n").alias("prior_count"))
 
 
 @query("st_health", sql("SELECT true AS healthy, count(*) AS observations, 2::BIGINT AS batches FROM txn", "txn"))
 def _(t):
-    """Progress of a finished stream as a row: batches and observations."""
-    out = scratch_path(t.spark, "health")
-    B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES).select(ID),
-                  lambda df, i: B.write_batch(df.agg(F.count(F.lit(1)).alias("rows")), out, i), "health")
-    p = t.spark.read.parquet(out).filter("rows > 0")  # one row a micro-batch, however many there were
+    """Progress of a finished stream: rows observed inside it, one stored row a micro-batch."""
+    progress = scratch_path(t.spark, "health")
+    stream = B.event_stream(t.spark, staged(t), files_per_batch=FILES).select(ID)
+    B.run_observed(stream, "health", progress, [F.count(F.lit(1)).alias("rows")])
+    p = t.spark.read.parquet(progress).filter("rows > 0")
     return p.agg((F.sum("rows") >= 0).alias("healthy"), F.sum("rows").alias("observations"), F.count(F.lit(1)).alias("batches"))
 
 
@@ -129,7 +154,7 @@ def _(t):
     def step(df, i):
         old = B.read_batches(t.spark, hist, before=i)
         B.write_batch(B.sweep_batch(old, df), out, i)
-        B.write_batch(df, hist, i)
+        B.append_history(df, hist, i)
 
     B.run_batches(B.event_stream(t.spark, staged(t), files_per_batch=FILES), step, "replay")
     return t.spark.read.parquet(out).select(ID, "cust_v_7d_count", "cust_v_7d_distinct_merchants", "merch_v_24h_count")
@@ -231,9 +256,10 @@ def _(t):
     out = scratch_path(t.spark, "daily")
     d = A.decisions(B.event_stream(t.spark, staged(t), files_per_batch=FILES)).withWatermark("event_time", "1 day")
     daily = d.groupBy(F.window("event_time", "1 day"), "action").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    B.run_batches(daily, lambda df, i: df.write.mode("overwrite").parquet(out), "daily", mode="complete")
-    r = t.spark.read.parquet(out)
-    return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "n", F.round("amount", 2).alias("amount"))
+    # the rows that a batch changed, in its own folder; the newest batch of a window counts
+    B.run_batches(daily, lambda df, i: B.write_batch(df, out, i), "daily", mode="update")
+    r = t.spark.read.parquet(out).groupBy("window", "action").agg(F.max_by(F.struct("n", "amount"), "batch").alias("v"))
+    return r.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "action", "v.n", F.round("v.amount", 2).alias("amount"))
 
 
 @query("st_sliding", sql("SELECT transaction_id, card_v_1h_count, card_v_24h_amount, card_v_7d_count FROM (" + velocity_sql("txn", (C.CATALOGUE[1],)) + ")", "txn"))

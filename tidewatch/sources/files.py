@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewatch import config as C
+from tidewatch.operators import ranking as R
 from tidewatch.schemas import EPISODE_SCHEMA, MODEL_CONFIG_SCHEMA
 
 
@@ -35,18 +36,22 @@ def row_range(df: DataFrame, row_id: str, lo: int, hi: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of n rows that is the same on every run: the n smallest hashes."""
-    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))), id_col).limit(n)
+    """A uniform sample of n rows that is the same on every run: the n smallest hashes.
+
+    A bound on the hash comes first, so about n rows reach the final sort, not n of every partition.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    lead = -F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return R.highest(df, lead, n).orderBy(digest, id_col).limit(n)
 
 
 def keep_newest(df: DataFrame, seq: str, above: int = C.MEMORY_MAX_EPISODES, keep: int = C.MEMORY_KEEP_EPISODES) -> DataFrame:
     """Retention: with more than `above` rows only the newest `keep` stay."""
-    newest = df.orderBy(F.desc(seq)).limit(above + 1)
-    crowded = newest.agg((F.count(F.lit(1)) > above).alias("_crowded"))
-    bound = df.orderBy(F.desc(seq)).limit(keep).agg(F.min(seq).alias("_from"))
-    limits = crowded.join(F.broadcast(bound))
-    return (df.join(F.broadcast(limits))
-            .filter(~F.col("_crowded") | (F.col(seq) >= F.col("_from"))).drop("_crowded", "_from"))
+    if df.count() <= above:
+        return df
+    near = R.highest(df, F.col(seq), keep)
+    bound = near.orderBy(F.desc(seq)).limit(keep).agg(F.min(seq)).first()[0]
+    return df.filter(F.col(seq) >= F.lit(bound))
 
 
 def append_new(existing: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:

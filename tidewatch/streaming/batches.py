@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X, reasons
@@ -83,6 +84,49 @@ def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], name: s
     return q
 
 
+class BatchProgress(StreamingQueryListener):
+    """One stored row a finished micro-batch: its number, its input rows and what the stream observed in it.
+
+    The figures are those of `DataFrame.observe`, so they come with the batch and need
+    no second pass. A batch that runs again after a restart overwrites its row. Rows are
+    told by the name of the observation, so one listener serves one stream.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, root: str) -> None:
+        self.spark, self.name, self.root = spark, name, root
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        seen = p.observedMetrics.get(self.name)
+        if seen is None:
+            return
+        figures = {k: F.lit(v) for k, v in seen.asDict().items()}
+        row = self.spark.range(1).select(F.lit(str(p.runId)).alias("run"), F.lit(p.timestamp).alias("at"),
+                                         F.lit(int(p.numInputRows)).cast("long").alias("input_rows"), *[v.alias(k) for k, v in figures.items()])
+        write_batch(row, self.root, p.batchId)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def run_observed(stream: DataFrame, name: str, progress: str, figures: list[Column], path: str | None = None) -> str:
+    """`run_available` with `figures` observed batch by batch; their rows are in `progress` when it returns."""
+    spark = stream.sparkSession
+    listener = BatchProgress(spark, name, progress)
+    spark.streams.addListener(listener)
+    try:
+        return run_available(stream.observe(name, *figures), name, path)
+    finally:
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()  # progress is told asynchronously
+        spark.streams.removeListener(listener)
+
+
 def write_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
@@ -105,19 +149,31 @@ def read_batches(spark: SparkSession, root: str, before: int | None = None, sche
     return df if before is None else df.filter(F.col("batch") < before)
 
 
+def append_history(df: DataFrame, root: str, batch_id: int, at: str = "event_time") -> None:
+    """Store a batch of events by batch and by day, so that later batches list the days they need and no more."""
+    df.withColumn("day", F.to_date(at)).write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch={batch_id}")
+
+
 def recent_history(history: DataFrame, batch: DataFrame, entities=C.CATALOGUE) -> DataFrame:
-    """History rows a batch can still see: inside the longest window before its first event."""
+    """History rows a batch can still see: inside the longest window before its first event, and not after its last.
+
+    With a `day` column, as `append_history` leaves it, the bounds are literals on folders.
+    """
     span = max(C.WINDOW_SECONDS[w.label] for e in entities for w in e.windows)
-    first = batch.agg(F.min(X.micros("event_time"))).first()[0]  # a literal reaches the scan of the history
+    us = X.micros("event_time")
+    first, last = batch.agg(F.min(us), F.max(us)).first()
     if first is None:
         return history.limit(0)
-    return history.filter(F.col("event_time") >= F.timestamp_micros(F.lit(first - span * 1_000_000)))
+    low, high = (F.timestamp_micros(F.lit(x)) for x in (first - span * 1_000_000, last))
+    if "day" in history.columns:
+        history = history.filter(F.col("day").between(F.to_date(low), F.to_date(high)))
+    return history.filter(F.col("event_time").between(low, high))
 
 
 def sweep_batch(history: DataFrame | None, batch: DataFrame, entities=C.CATALOGUE) -> DataFrame:
     """Window features of a batch by the batch sweep over recent history and the batch.
 
-    Hot entities are cut into time slices there, so no task holds one entity.
+    Hot entities are cut into slices there, so no task holds one entity.
     """
     windows = tuple(C.Entity(e.name, e.id_col, e.windows, ()) for e in entities)
     rows = batch if history is None else batch.unionByName(recent_history(history, batch, windows).select(batch.columns))

@@ -1,42 +1,58 @@
 """Per-entity streaming state: sliding windows and priors, read before commit.
 
 Every event becomes one row per entity it names, so a single stateful stage
-serves customers, cards, merchants and devices. The state of an entity is the
-columns of its events of the longest window, plus running priors. A micro-batch
-of an entity is answered with array operations, not row by row.
+serves customers, cards, merchants and devices. No state value grows with its
+entity:
+
+* `head`, one value: running priors and the newest events, at most `rows` of them.
+  An entity with few events has nothing else.
+* `minutes`, a map by minute: number, sum and parts of the events that left the
+  head, and how many merchants were seen last in that minute.
+* `chunks`, a map by minute and part: those events, at most `rows` each.
+* `seen`, a map by merchant, for entities with distinct windows: when it was last
+  among the events that left the head.
+
+A window is the sum of the whole minutes inside it and of the events of the two
+minutes at its edges, so it is exact, and a batch reads what lies at its edges and
+not the window. A minute goes when the next event shows that no window reaches it;
+with `lateness` an event-time timer also empties entities that fall silent.
 
 Order: rows of one micro-batch in (event time, seq); earlier micro-batches come
-first. A late event reads only what is not newer than itself, and is never
-dropped. For entities whose window holds more events than one state value
-should, use `tidewatch.streaming.batches`, which sweeps hot entities in slices.
+first. A late event reads only what is not newer than itself, and without
+`lateness` it is never dropped.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch import config as C
 from tidewatch.functions import expr as X
 
 MICRO = 1_000_000
-STATE_SCHEMA = ("n long, a long, prev_at long, prev_amt long, "
-                "at array<long>, amt array<long>, merch array<string>")
+MINUTE = 60 * MICRO
+#: Events that one state value may hold.
+ROWS = 256
+_EVENTS = "at array<long>, amt array<long>, merch array<string>"
+HEAD_SCHEMA = f"n long, a long, prev_at long, prev_amt long, spilled boolean, due long, {_EVENTS}"
+MINUTE_SCHEMA = "n long, a long, last_seen long, parts int"
 
 
 def entity_rows(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOGUE) -> DataFrame:
     """One row per event and entity it names; events without an id leave none."""
     kinds = F.array(*[F.struct(F.lit(e.name).alias("ent"), F.col(e.id_col).alias("eid")) for e in entities])
     rows = txn.select(
-        "transaction_id", "seq", X.micros("event_time").alias("at"),
+        "transaction_id", "seq", "event_time", X.micros("event_time").alias("at"),
         X.money_units(F.coalesce(F.col("amount").cast("double"), F.lit(0.0))).alias("amt"),
         F.coalesce("merchant_id", F.lit("")).alias("merch"), F.explode(kinds).alias("k"))
-    return (rows.select("k.*", "transaction_id", "seq", "at", "amt", "merch")
+    return (rows.select("k.*", "transaction_id", "seq", "event_time", "at", "amt", "merch")
             .filter(F.coalesce("eid", F.lit("")) != ""))
 
 
@@ -46,109 +62,322 @@ def output_schema(labels: list[str]) -> str:
             + ", n_all long, a_all long, gap_us long, prev_amt long, amt long, kept int")
 
 
-def distinct_before(at: np.ndarray, merch: list, first: int, span: int) -> np.ndarray:
-    """Distinct merchants among earlier rows within `span`, for rows from `first` on.
+class Events:
+    """Events in time order, as columns."""
+
+    def __init__(self, at=(), amt=(), merch=()) -> None:
+        self.at, self.amt, self.merch = np.asarray(at, np.int64), np.asarray(amt, np.int64), list(merch)
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def merged(self, other: Events) -> tuple[Events, np.ndarray]:
+        """Both in time order, own rows first among equals; and where the other's rows are."""
+        at = np.concatenate([self.at, other.at])
+        order = np.argsort(at, kind="stable")
+        merch = self.merch + other.merch
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return Events(at[order], np.concatenate([self.amt, other.amt])[order], [merch[i] for i in order]), place[len(self):]
+
+    def cut(self, first: int, last: int | None = None) -> Events:
+        return Events(self.at[first:last], self.amt[first:last], self.merch[first:last])
+
+    def before(self, points: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number and sum of the events before each point (`side` left), or up to it (right)."""
+        n = np.searchsorted(self.at, points, side)
+        return n, np.concatenate([[0], np.cumsum(self.amt)])[n]
+
+
+class Spilled:
+    """The events of one entity that left its head, by minute, over the state maps."""
+
+    def __init__(self, minutes, chunks, seen, rows: int) -> None:
+        self.minutes, self.chunks, self.seen, self.rows = minutes, chunks, seen, rows
+        #: minute -> [number, sum, merchants seen last in it, parts]; a window has a bounded number of minutes.
+        self.known: dict[int, list[int]] = {}
+        self.changed: set[int] = set()
+        self.loaded: dict[int, Events] = {}
+
+    def read(self) -> None:
+        self.known = {k[0]: list(v) for k, v in self.minutes.iterator()}
+
+    def events(self, minute: int) -> Events:
+        """All events of a minute, part by part."""
+        if minute not in self.loaded:
+            parts = [self.chunks.getValue((minute, n)) for n in range(self.known[minute][3])]
+            at, amt = ([x for p in parts for x in p[i]] for i in (0, 1))
+            found = Events()
+            if at:
+                found, _ = found.merged(Events(at, amt, [x for p in parts for x in p[2]]))
+            self.loaded[minute] = found
+        return self.loaded[minute]
+
+    def _totals(self, which: int) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(self.known)
+        return np.array(order, np.int64), np.concatenate([[0], np.cumsum([self.known[m][which] for m in order])]).astype(np.int64)
+
+    def before(self, points: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+        order, n = self._totals(0)
+        _, a = self._totals(1)
+        minute = points // MINUTE
+        at = np.searchsorted(order, minute, "left")
+        count, total = n[at], a[at]
+        for m in np.unique(minute[np.isin(minute, order)]).tolist():
+            own = minute == m
+            some, money = self.events(m).before(points[own], side)
+            count[own] += some
+            total[own] += money
+        return count, total
+
+    def newest(self) -> int | None:
+        if not self.known:
+            return None
+        return int(self.events(max(self.known)).at[-1])
 
-    Rows are in time order; two pointers and a counter visit each row twice.
+    def seen_since(self, points: np.ndarray) -> np.ndarray:
+        """Merchants whose newest event here is at each point or later."""
+        order, d = self._totals(2)
+        minute = points // MINUTE
+        count = d[-1] - d[np.searchsorted(order, minute, "right")]
+        for m in np.unique(minute[np.isin(minute, order)]).tolist():
+            own, got = minute == m, self.events(m)
+            last = dict(zip(got.merch, got.at.tolist(), strict=True))  # in time order, so the last one stays
+            here = np.sort([x for k, x in last.items() if k and self.last_seen(k) == x])
+            count[own] += len(here) - np.searchsorted(here, points[own], "left")
+        return count
+
+    def last_seen(self, merchant: str) -> int | None:
+        got = self.seen.getValue((merchant,)) if self.seen.containsKey((merchant,)) else None
+        return got[0] if got else None
+
+    def merchants_between(self, first: int, last: int) -> set[str]:
+        out: set[str] = set()
+        for m in [m for m in self.known if first // MINUTE <= m <= last // MINUTE]:
+            got = self.events(m)
+            out.update(got.merch[np.searchsorted(got.at, first, "left"):np.searchsorted(got.at, last, "right")])
+            self.loaded.pop(m)  # one minute at a time
+        return out
+
+    def add(self, rows: Events, distinct: bool) -> None:
+        """Append rows to their minutes, filling the last part before a new one begins."""
+        minute = rows.at // MINUTE
+        for m in np.unique(minute).tolist():
+            own = rows.cut(int(np.searchsorted(minute, m, "left")), int(np.searchsorted(minute, m, "right")))
+            entry = self.known.setdefault(m, [0, 0, 0, 0])
+            at, amt, merch = own.at.tolist(), own.amt.tolist(), own.merch
+            if entry[0] % self.rows:
+                last = self.chunks.getValue((m, entry[3] - 1))
+                entry[3] -= 1
+                at, amt, merch = list(last[0]) + at, list(last[1]) + amt, list(last[2]) + merch
+            for i in range(0, len(at), self.rows):
+                to = i + self.rows
+                self.chunks.updateValue((m, entry[3]), (at[i:to], amt[i:to], merch[i:to]))
+                entry[3] += 1
+            entry[0] += len(own)
+            entry[1] += int(own.amt.sum())
+            self.changed.add(m)
+            self.loaded.pop(m, None)
+        if distinct:
+            newest = {k: int(x) for k, x in zip(rows.merch, rows.at.tolist(), strict=True) if k}
+            for k, x in newest.items():
+                old = self.last_seen(k)
+                if old is None or x > old:
+                    if old is not None and old // MINUTE in self.known:
+                        self.known[old // MINUTE][2] -= 1
+                        self.changed.add(old // MINUTE)
+                    self.known[x // MINUTE][2] += 1
+                    self.seen.updateValue((k,), (x,))
+
+    def drop_before(self, horizon: int, distinct: bool) -> None:
+        """Remove the minutes that end before `horizon`."""
+        for m in [m for m in self.known if (m + 1) * MINUTE <= horizon]:
+            if distinct:
+                for k in {*self.events(m).merch} - {""}:
+                    if (last := self.last_seen(k)) is not None and last // MINUTE == m:
+                        self.seen.removeKey((k,))
+            for n in range(self.known[m][3]):
+                self.chunks.removeKey((m, n))
+            self.minutes.removeKey((m,))
+            self.loaded.pop(m, None)
+            self.changed.discard(m)
+            del self.known[m]
+
+    def write(self) -> None:
+        for m in self.changed:
+            self.minutes.updateValue((m,), tuple(int(x) for x in self.known[m]))
+
+
+def distinct_before(rows: Events, places: np.ndarray, span: int, old: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in `rows`: distinct merchants before it within `span`, and how many of them `old` has in the span too.
+
+    `old` is when a merchant was seen last outside of `rows`. Two pointers visit each
+    row twice; window starts only move on, so a merchant leaves by age once.
     """
-    out = np.zeros(len(at) - first, dtype=np.int64)
+    out, both = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
     inside: Counter = Counter()
-    lo = 0
-    for i in range(len(at)):
-        while at[lo] < at[i] - span and lo < i:
-            m = merch[lo]
+    shared: set[str] = set()
+    ages: list[tuple[int, str]] = []
+    lo, wanted = 0, {int(p): n for n, p in enumerate(places)}
+    for i in range(int(places.max()) + 1):
+        start = int(rows.at[i]) - span
+        while lo < i and rows.at[lo] < start:
+            m = rows.merch[lo]
             if m:
                 inside[m] -= 1
                 if not inside[m]:
                     del inside[m]
+                    shared.discard(m)
             lo += 1
-        if i >= first:
-            out[i - first] = len(inside)
-        if merch[i]:
-            inside[merch[i]] += 1
-    return out
+        while ages and ages[0][0] < start:
+            shared.discard(heapq.heappop(ages)[1])
+        if i in wanted:
+            out[wanted[i]], both[wanted[i]] = len(inside), len(shared)
+        if m := rows.merch[i]:
+            if not inside[m] and old.get(m, start - 1) >= start:
+                shared.add(m)
+                heapq.heappush(ages, (old[m], m))
+            inside[m] += 1
+    return out, both
 
 
 class EntityWindows(StatefulProcessor):
     """Windows and priors of one entity."""
 
-    def __init__(self, entities: tuple[C.Entity, ...] = C.CATALOGUE, ttl_seconds: int | None = None) -> None:
+    def __init__(self, entities: tuple[C.Entity, ...] = C.CATALOGUE, ttl_seconds: int | None = None,
+                 rows: int = ROWS, timed: bool = False) -> None:
         self.labels = list(dict.fromkeys(w.label for e in entities for w in e.windows))
         self.spans = {w: C.WINDOW_SECONDS[w] * MICRO for w in self.labels}
         self.longest = max(self.spans.values())
         self.distinct = {e.name: [w.label for w in e.windows if w.distinct] for e in entities}
         self.ttl_ms = ttl_seconds * 1000 if ttl_seconds else None
+        self.rows, self.timed = rows, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entity", STATE_SCHEMA, self.ttl_ms)
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD_SCHEMA, self.ttl_ms)
+        self.maps = (handle.getMapState("minutes", "minute long", MINUTE_SCHEMA, self.ttl_ms),
+                     handle.getMapState("chunks", "minute long, part int", _EVENTS, self.ttl_ms),
+                     handle.getMapState("seen", "merchant string", "at long", self.ttl_ms))
+
+    def _state(self) -> tuple:
+        """Priors, whether there are minutes, the timer, the head's events, and the spilled ones."""
+        n, a, prev_at, prev_amt, has, due, at, amt, merch = self.head.get() if self.head.exists() else (0, 0, None, None, False, None, [], [], [])
+        spilled = Spilled(*self.maps, self.rows)
+        if has:
+            spilled.read()
+        return (n, a, prev_at, prev_amt), due, Events(at, amt, merch), spilled
+
+    def _commit(self, ent: str, priors: tuple, due: int | None, events: Events, spilled: Spilled, horizon: int) -> int:
+        """Drop what no window reaches, move what the head cannot hold, and say how many events are left."""
+        distinct = bool(self.distinct.get(ent))
+        events = events.cut(int(np.searchsorted(events.at, horizon, "left")))
+        spilled.drop_before(horizon, distinct)
+        if len(events) > self.rows:
+            spilled.add(events.cut(0, len(events) - self.rows // 2), distinct)
+            events = events.cut(len(events) - self.rows // 2)
+        spilled.write()
+        kept = len(events)
+        if spilled.known:
+            kept += sum(v[0] for v in spilled.known.values()) - int(spilled.before(np.array([horizon]), "left")[0][0])
+        if self.timed:
+            oldest = min([int(x) // MINUTE for x in events.at[:1]] + list(spilled.known), default=None)
+            wanted = None if oldest is None else ((oldest + 1) * MINUTE + self.longest) // 1000 + 1
+            if wanted is not None and due is None:
+                self.handle.registerTimer(wanted)
+                due = wanted
+        self.head.update((*priors, bool(spilled.known), due, events.at.tolist(), events.amt.tolist(), events.merch))
+        return kept
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         ent, eid = key[0], key[1]
         new = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq", "transaction_id"], kind="stable")
-        if self.state.exists():
-            n0, a0, prev_at, prev_amt, s_at, s_amt, s_m = self.state.get()
-            s_at, s_amt = np.asarray(s_at, dtype=np.int64), np.asarray(s_amt, dtype=np.int64)
-            s_m = list(s_m)
-        else:
-            n0, a0, prev_at, prev_amt = 0, 0, None, None
-            s_at, s_amt, s_m = np.empty(0, np.int64), np.empty(0, np.int64), []
+        (n0, a0, prev_at, prev_amt), due, head, spilled = self._state()
         t, amt = new["at"].to_numpy(np.int64), new["amt"].to_numpy(np.int64)
-        merch = new["merch"].tolist()
-        k = len(t)
-        s_sum, t_sum = np.concatenate([[0], np.cumsum(s_amt)]), np.concatenate([[0], np.cumsum(amt)])
-        order = np.arange(k)
+        events, place = head.merged(Events(t, amt, new["merch"].tolist()))
+        k, order = len(t), np.arange(len(t))
         out = pd.DataFrame({"ent": ent, "eid": eid, "transaction_id": new["transaction_id"].to_numpy()})
-        in_order = not len(s_at) or s_at[-1] <= t[0]
-        up = np.searchsorted(s_at, t, "right")
+        sums = np.concatenate([[0], np.cumsum(events.amt)])
+        newest = spilled.newest()
+        late = np.zeros(k, bool) if newest is None else t < newest
+        old = {}
+        if newest is not None and self.distinct.get(ent):
+            old = {m: x for m in {*events.merch} - {""} if (x := spilled.last_seen(m)) is not None}
+        if newest is not None:
+            n_to, a_to = spilled.before(t, "right")
         for w in self.labels:
-            lo_s = np.searchsorted(s_at, t - self.spans[w], "left")
-            lo_t = np.searchsorted(t, t - self.spans[w], "left")
-            out[f"n_{w}"] = np.maximum(up - lo_s, 0) + order - lo_t
-            out[f"a_{w}"] = np.where(up > lo_s, s_sum[up] - s_sum[np.minimum(lo_s, up)], 0) + t_sum[order] - t_sum[lo_t]
-            d = np.zeros(k, dtype=np.int64)
+            start = t - self.spans[w]
+            lo = np.searchsorted(events.at, start, "left")
+            out[f"n_{w}"], out[f"a_{w}"] = place - lo, sums[place] - sums[lo]
+            d = np.zeros(k, np.int64)
             if w in self.distinct.get(ent, []):
-                if in_order:
-                    d = distinct_before(np.concatenate([s_at, t]), s_m + merch, len(s_at), self.spans[w])
-                else:
-                    for i in range(k):  # late rows of this entity only
-                        seen = set(s_m[lo_s[i]:up[i]]) | set(merch[lo_t[i]:i])
+                d, both = distinct_before(events, place, self.spans[w], old)
+                if newest is not None:
+                    d += spilled.seen_since(start) - both
+                    for i in np.flatnonzero(late):  # rows older than what was spilled look at the events themselves
+                        seen = spilled.merchants_between(int(start[i]), int(t[i])) | set(events.merch[lo[i]:place[i]])
                         d[i] = len(seen - {""})
+            if newest is not None:
+                n_from, a_from = spilled.before(start, "left")
+                out[f"n_{w}"] += n_to - n_from
+                out[f"a_{w}"] += a_to - a_from
             out[f"d_{w}"] = d
         before_at = np.concatenate([[prev_at if prev_at is not None else -1], t[:-1]])
         known = np.ones(k, dtype=bool)
         known[0] = prev_at is not None
-        out["n_all"], out["a_all"] = n0 + order, a0 + t_sum[:-1]
+        money = np.concatenate([[0], np.cumsum(amt)])
+        out["n_all"], out["a_all"] = n0 + order, a0 + money[:-1]
         out["gap_us"] = pd.array(np.maximum(t - before_at, 0), dtype="Int64")
         out.loc[~known, "gap_us"] = pd.NA
         out["prev_amt"] = pd.array(np.concatenate([[prev_amt if prev_amt is not None else 0], amt[:-1]]), dtype="Int64")
         out.loc[~known, "prev_amt"] = pd.NA
         out["amt"] = amt
-        all_at, all_amt, all_m = np.concatenate([s_at, t]), np.concatenate([s_amt, amt]), s_m + merch
-        if not in_order:
-            rank = np.argsort(all_at, kind="stable")
-            all_at, all_amt, all_m = all_at[rank], all_amt[rank], [all_m[i] for i in rank]
-        # Commit: nothing older than the longest window of the newest event is needed again.
-        first = int(np.searchsorted(all_at, t[-1] - self.longest, "left"))
-        all_at, all_amt, all_m = all_at[first:], all_amt[first:], all_m[first:]
-        out["kept"] = len(all_at)
-        self.state.update((int(n0 + k), int(a0 + t_sum[-1]), int(t[-1]), int(amt[-1]),
-                           all_at.tolist(), all_amt.tolist(), all_m))
+        # Nothing older than the longest window of the newest event is needed again.
+        priors = int(n0 + k), int(a0 + money[-1]), int(t[-1]), int(amt[-1])
+        out["kept"] = self._commit(ent, priors, due, events, spilled, int(t[-1]) - self.longest)
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The watermark has passed the entity's oldest minute and the longest window: drop what no event can reach."""
+        priors, _, head, spilled = self._state()
+        horizon = timerValues.getCurrentWatermarkInMs() * 1000 - self.longest
+        self._commit(key[0], priors, None, head, spilled, horizon)
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
 def entity_features(txn_stream: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOGUE,
-                    ttl_seconds: int | None = None) -> DataFrame:
+                    ttl_seconds: int | None = None, rows: int = ROWS, lateness: str | None = None) -> DataFrame:
     """Stateful stage: one output row per event and entity, append mode.
 
     `ttl_seconds` (for example the longest window plus an hour) lets idle
-    entities expire; then their cumulative priors restart.
+    entities expire; then their cumulative priors restart. `lateness` (such as
+    "2 days") sets a watermark on the event time: events later than that are
+    dropped, and timers empty the windows of entities that fall silent, while
+    their priors stay. `rows` bounds the events in a state value.
     """
-    proc = EntityWindows(entities, ttl_seconds)
-    return entity_rows(txn_stream, entities).groupBy("ent", "eid").transformWithStateInPandas(
-        proc, output_schema(proc.labels), "append", "processingTime" if ttl_seconds else "none")
+    if ttl_seconds and lateness:
+        raise ValueError("expiry goes by processing time or by event time, not both")
+    proc = EntityWindows(entities, ttl_seconds, rows, lateness is not None)
+    source = txn_stream.withWatermark("event_time", lateness) if lateness else txn_stream
+    mode = "processingTime" if ttl_seconds else "eventTime" if lateness else "none"
+    return entity_rows(source, entities).groupBy("ent", "eid").transformWithStateInPandas(
+        proc, output_schema(proc.labels), "append", mode)
+
+
+def read_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """The state a finished stream left behind: (ent, eid, n, prev_at) of every entity, and (ent, eid, at, amt) of its events."""
+
+    def variable(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+
+    head = variable("head").select("key.*", "value.*")
+    chunks = variable("chunks").select("key.*", F.col("user_map_value").alias("v")).select("ent", "eid", "v.*")
+    both = head.select("ent", "eid", "at", "amt", "merch").unionByName(chunks)
+    each = both.select("ent", "eid", F.explode(F.arrays_zip("at", "amt")).alias("e")).select("ent", "eid", "e.*")
+    return head.select("ent", "eid", "n", "prev_at"), each
 
 
 def widen(long: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOGUE) -> DataFrame:
