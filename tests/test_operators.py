@@ -518,3 +518,70 @@ def test_sketches_stay_within_their_bounds(spark):
     for r in G.partners_until(s, "c").collect():
         want = len(set().union(*(exact[r.c, x] for x in range(r.month_idx + 1))))
         assert abs(r.partners_until - want) <= 5 * 0.0163 * want
+
+
+def test_stacker_is_the_likelihood_optimum(spark):
+    """At the optimum the residuals are orthogonal to every signal; Newton's method in numpy finds the same weights."""
+    from pyspark.ml.functions import vector_to_array
+
+    from tidewatch.operators import learned as L
+
+    rnd = np.random.default_rng(12)
+    y = (rnd.random(3000) < 0.2).astype(float)
+    good, noise, ae = np.clip(rnd.normal(0.3 + 0.2 * y, 0.1), 0.01, 0.99), rnd.random(3000), rnd.normal(y, 1.0)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(good, noise, ae, y)], "good double, noise double, ae double, label double")
+    model = L.stack(df, ["good", "noise", "ae"], raw_signals=("ae",), label="label")
+    x = np.column_stack([np.log(good / (1 - good)), np.log(np.clip(noise, 1e-6, 1 - 1e-6) / (1 - np.clip(noise, 1e-6, 1 - 1e-6))), ae, np.ones(3000)])
+    w = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (p - y))
+    fitted = model.stages[-1]
+    assert np.allclose([*fitted.coefficients.toArray(), fitted.intercept], w, atol=2e-3)
+    got = [r.p for r in model.transform(df).select(vector_to_array("probability")[1].alias("p")).collect()]
+    assert np.abs(x.T @ (np.array(got) - y)).max() < 0.5
+
+
+def test_anomaly_is_the_residual_of_numpys_components(spark):
+    from tidewatch.operators import learned as L
+
+    rnd = np.random.default_rng(13)
+    x = rnd.normal(size=(400, 6)) @ rnd.normal(size=(6, 6)) + 3
+    x[:, 5] = 7.0  # a constant column
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{c} double" for c in cols))
+    got = {r.id: r.anomaly_score for r in L.anomaly(df.filter("id < 300"), df, cols, ["id"], k=3).collect()}
+    std = x[:300].std(axis=0)
+    z = (x - x[:300].mean(axis=0)) / np.where(std < 1e-6, 1.0, std)
+    _, vectors = np.linalg.eigh(np.cov(z[:300].T))
+    top = vectors[:, ::-1][:, :3]
+    want = ((z - z @ top @ top.T) ** 2).mean(axis=1)
+    assert np.allclose([got[i] for i in range(400)], want, atol=1e-8)
+
+
+def test_what_if_takes_the_smallest_step_that_is_safe(spark):
+    from tidewatch.operators import learned as L
+
+    rows = [(i, 1.0 + i % 7, 0.3, 0.2) for i in range(40)]
+    df = spark.createDataFrame(rows, "transaction_id int, amount_log1p double, hour_sin double, hour_cos double")
+    train = spark.range(2000).selectExpr("cast(id % 100 AS double) / 12 AS amount_log1p", "cast(id % 11 AS double) / 11 AS hour_sin", "cast(id % 5 AS double) / 5 AS hour_cos",
+                                         "cast(id % 100 > 50 AS int) AS is_fraud")
+    cols = ["amount_log1p", "hour_sin", "hour_cos"]
+    model, w = L.train_gbt(train, cols, trees=40, depth=3, step=0.4)
+    old, L.SAFE_PROBABILITY = L.SAFE_PROBABILITY, 0.05
+    try:
+        scored = L.score(model, w, df, cols, 0.5, 0.1)
+        found = L.what_if(model, w, scored, cols, ["transaction_id"]).collect()
+        first = {}
+        for r in L.perturbation_grid(df, ["transaction_id"]).collect():
+            first.setdefault((r.transaction_id, r.feature, r.step), (r.from_value, r.to_value))
+        grid = spark.createDataFrame([(t, f, s, *[v[1] if f == c else rows[t][1 + cols.index(c)] for c in cols]) for (t, f, s), v in first.items()],
+                                     "transaction_id int, feature string, step int, " + ", ".join(f"{c} double" for c in cols))
+        safe = {}
+        for r in L.score(model, w, grid, cols, 0.5, 0.1).filter("fraud_probability <= 0.05").collect():
+            safe[r.transaction_id, r.feature] = min(r.step, safe.get((r.transaction_id, r.feature), 99))
+    finally:
+        L.SAFE_PROBABILITY = old
+    unsafe = {r.transaction_id for r in scored.filter("fraud_probability > 0.05").collect()}
+    want = {k: v for k, v in safe.items() if k[0] in unsafe}
+    assert found and {(r.transaction_id, r.feature): round(r.distance / L.STEP) for r in found} == want

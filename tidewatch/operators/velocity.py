@@ -62,32 +62,42 @@ def _with_first_seen(base: DataFrame, entity, code: int, hot: DataFrame | None,
     return out.select(*keep, *flags)
 
 
-def _marks(base: DataFrame, entities, labels: list[str], distinct: list[str], cut: bool) -> DataFrame:
-    """All marks; with `cut` each keeps its event's seq, for an instant of leaving marks may have to be cut too."""
-    zero = F.lit(0)
+def _events(base: DataFrame, entities, distinct: list[str]) -> DataFrame:
+    """One row per event and entity it names, with the distinct flags of that entity's windows."""
 
-    def mark(e, kind: int, at, flags):
-        return F.struct(
-            F.col(e.id_col).alias("eid"), F.lit(entities.index(e)).cast("byte").alias("ent"),
-            at.alias("at"), F.lit(kind).cast("byte").alias("kind"),
-            *[f.cast("byte").alias(f"f_{lab}") for lab, f in zip(distinct, flags)])
+    def event(i, e):
+        own = {w.label for w in e.windows if w.distinct}
+        flags = [(F.col(f"{e.name}_{way}_{lab}") if lab in own else F.lit(0)).cast("byte").alias(f"{way}_{lab}")
+                 for lab in distinct for way in ("in", "out")]
+        return F.struct(F.col(e.id_col).alias("eid"), F.lit(i).cast("byte").alias("ent"), *flags)
 
-    marks = []
-    for e in entities:
-        by_label = {w.label: w for w in e.windows}
-        flags = [F.col(f"{e.name}_in_{lab}") if lab in by_label and by_label[lab].distinct else zero
-                 for lab in distinct]
-        marks.append(mark(e, EVENT, F.col("at"), flags))
-        for w in e.windows:
-            flags = [F.col(f"{e.name}_out_{lab}") if lab == w.label and w.distinct else zero
-                     for lab in distinct]
-            marks.append(mark(e, 1 + labels.index(w.label),
-                              F.col("at") + C.WINDOW_SECONDS[w.label] * 1_000_000, flags))
-    exploded = base.select("transaction_id", "seq", "amt", F.explode(F.array(*marks)).alias("m"))
+    named = F.explode(F.array(*[event(i, e) for i, e in enumerate(entities)])).alias("e")
+    return base.select("transaction_id", "seq", "at", "amt", named).select("e.*", "at", "seq", "transaction_id", "amt").filter(F.col("eid").isNotNull())
+
+
+def _marks(events: DataFrame, entities, labels: list[str], distinct: list[str], cut: bool) -> DataFrame:
+    """The marks of `_events`; with `cut` each keeps its event's seq, for an instant of leaving marks may have to be cut too.
+
+    Marks are made row by row, so the placing of the events holds for them as well.
+    """
+    zero = F.lit(0).cast("byte")
+
+    def mark(kind, at, flags):
+        return F.struct(F.lit(kind).cast("byte").alias("kind"), at.alias("at"),
+                        *[flags.get(lab, zero).alias(f"f_{lab}") for lab in distinct])
+
+    entering = mark(EVENT, F.col("at"), {lab: F.col(f"in_{lab}") for lab in distinct})
+    of_entity = None
+    for i, e in enumerate(entities):
+        own = F.array(entering, *[
+            mark(1 + labels.index(w.label), F.col("at") + C.WINDOW_SECONDS[w.label] * 1_000_000,
+                 {w.label: F.col(f"out_{w.label}")} if w.distinct else {}) for w in e.windows])
+        of_entity = F.when(F.col("ent") == i, own) if of_entity is None else of_entity.when(F.col("ent") == i, own)
+    made = events.withColumn("m", F.explode(of_entity))
     is_event = F.col("m.kind") == EVENT
-    return exploded.filter(F.col("m.eid").isNotNull()).select(
-        "m.*", "amt", (F.col("seq") if cut else F.when(is_event, F.col("seq"))).alias("seq"),
-        F.when(is_event, F.col("transaction_id")).alias("transaction_id"))
+    return made.select(
+        *KEYS, "m.*", "amt", (F.col("seq") if cut else F.when(is_event, F.col("seq"))).alias("seq"),
+        F.when(is_event, F.col("transaction_id")).alias("transaction_id"), (F.col("m.kind") != EVENT).cast("byte").alias("leaves"))
 
 
 def entity_rows(base: DataFrame, entities) -> DataFrame:
@@ -124,10 +134,15 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
         if any(w.distinct for w in e.windows):
             base = _with_first_seen(base, e, i, hot, hot_rows)
 
-    marks = _marks(base, entities, labels, distinct, hot is not None).withColumn("leaves", (F.col("kind") != EVENT).cast("byte"))
+    events = _events(base, entities, distinct)
     order = F.col("at"), F.col("leaves"), F.col("seq")
-    plan = skew.slice_plan(marks, KEYS, hot, hot_rows, *order)
-    marks = skew.with_slices(marks, KEYS, plan, *order)
+    if hot is None:
+        # Only events are shuffled; the marks they leave stay where the event is.
+        shuffled = _marks(events.repartition(*KEYS), entities, labels, distinct, False).withColumn(skew.SLICE, F.lit(0).cast("long"))
+    else:
+        marks = _marks(events, entities, labels, distinct, True)
+        plan = skew.slice_plan(marks, KEYS, hot, hot_rows, *order)
+        shuffled = skew.with_slices(marks, KEYS, plan, *order).repartition(*KEYS, skew.SLICE)
     is_event = F.col("kind") == EVENT
     delta = {"n_all": is_event.cast("long"), "a_all": F.when(is_event, F.col("amt")).otherwise(F.lit(0))}
     for i, lab in enumerate(labels):
@@ -139,12 +154,10 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
         i = labels.index(lab)
         delta[f"d_{lab}"] = (F.when(is_event, F.col(f"f_{lab}"))
                              .when(F.col("kind") == 1 + i, -F.col(f"f_{lab}")).otherwise(0)).cast("long")
-    # Shuffle and sort the narrow marks first; the deltas are made behind that.
-    # The slice totals below read the same shuffle, so both carry the same columns.
-    # Without hot keys the slice is a constant, which the optimiser takes out of the
-    # window: the keys alone then place the marks once for all that follows.
+    # The narrow marks are sorted first; the deltas are made behind that. The slice totals
+    # below read the same shuffle, so both carry the same columns. Without hot keys the slice
+    # is a constant, which the optimiser takes out of the window: the keys alone place all.
     place = [*KEYS, skew.SLICE] if hot is not None else list(KEYS)
-    shuffled = marks.repartition(*place)
     placed = shuffled.sortWithinPartitions(*place, "at", "leaves", "seq", "transaction_id")
     flag = ["_hot"] if hot is not None else []
     before = (Window.partitionBy(*place)
@@ -194,8 +207,9 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
         for p in e.priors:
             values[f"{e.name}_{p}"] = F.max(F.when(own, prior[p]))
     names = C.velocity_feature_names(entities) + C.prior_feature_names(entities)
-    return (swept.groupBy("transaction_id")
-            .agg(*[values[n].alias(n) for n in names]))
+    # rows of an event meet by its id before they are widened: narrow rows travel, wide ones do not
+    narrow = swept.select("transaction_id", "ent", "amt", "prev_at", "prev_amt", "at", *delta).repartition("transaction_id")
+    return narrow.groupBy("transaction_id").agg(*[values[n].alias(n) for n in names])
 
 
 def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS) -> DataFrame:

@@ -8,6 +8,8 @@ from tidewatch import config as C
 from tidewatch.functions import expr as X
 from tidewatch.operators import learned as L, metrics as M, priors, velocity as V
 from tidewatch.plans.registry import query
+from tidewatch.plans.sources import BOUNDS_SQL
+from tidewatch.plans.sqltext import sql
 from tidewatch.session import stored
 from tidewatch.sources import cards
 
@@ -48,6 +50,20 @@ def _(t):
     return L.score(model, weight, f, ONLINE, 0.05, 0.02).select(ID, "split", "fraud_probability", "action")
 
 
+@query("ml_checks", sql(
+    "SELECT split, count(*) AS rows, count(*) AS banded, count(*) AS probable, "
+    "(SELECT count(*) FILTER (is_fraud = 0) / greatest(count(*) FILTER (is_fraud = 1), 1) FROM sp WHERE split = 'train')::DOUBLE AS weight FROM sp GROUP BY 1", "txn", extra=BOUNDS_SQL))
+def _(t):
+    """What must hold of the scores whatever the trees: each row once, bands by the thresholds, probabilities, the weight."""
+    f = featured(t)
+    model, weight = fitted(t, ONLINE, f)
+    s = L.score(model, weight, f, ONLINE, 0.05, 0.02)
+    p = F.col("fraud_probability")
+    band = F.when(p >= 0.05, "hold").when(p >= 0.02, "review").otherwise("allow")
+    return s.groupBy("split").agg(F.count_distinct(ID).alias("rows"), F.count_if(F.col("action") == band).alias("banded"),
+                                  F.count_if(p.between(0, 1)).alias("probable")).withColumn("weight", F.lit(weight))
+
+
 @query("ml_stack")
 def _(t):
     """Stacked signals: validation and test metrics of the stacker."""
