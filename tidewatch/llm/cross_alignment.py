@@ -104,7 +104,7 @@ class Aligner:
 
     def ids(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and B of each text, with the space before it."""
-        of_a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        of_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         of_b = self.b.encode(texts, num_threads=1)
         return [(x.ids, y) for x, y in zip(of_a, of_b, strict=True)]
 
@@ -151,6 +151,17 @@ class Aligner:
         self._letters += len(text)
         return True
 
+    def prepare(self, texts: list[str | None]) -> None:
+        """Align the new parts of many texts in one go; texts that cannot be cut are left to `document`."""
+        if not self.cuts:
+            return
+        some = [t for t in texts if t and SPACE not in t and len(t) <= STRETCH]
+        if len(self._number) > CACHE_PARTS or self._letters > CACHE_LETTERS:
+            self._clear()
+        new = list({p for t in some for p in cut(t)} - self._number.keys())
+        for n in range(0, len(new), AT_ONCE):
+            self._learn(new[n:n + AT_ONCE])
+
     def document(self, text: str | None) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]:
         """(tokens of A, of B, groups, links), digest, distinct pairs and how often each is linked."""
         none = (0, 0, 0, 0), "", np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -255,7 +266,9 @@ def linked(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = aligner(at)
         for part in parts:
-            rows = [it.document(text) for text in part.column("text").to_pylist()]
+            texts = part.column("text").to_pylist()
+            it.prepare(texts)
+            rows = [it.document(text) for text in texts]
             sums = np.array([r[0] for r in rows], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), *[pa.array(sums[:, n]) for n in range(4)], pa.array([r[1] for r in rows], pa.string()),
