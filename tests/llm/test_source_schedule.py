@@ -63,7 +63,7 @@ def test_pieces_are_the_words_in_equal_blocks(docs):
 def test_slots_follow_the_weights_and_use_each_block_once(spark, monkeypatch):
     monkeypatch.setattr(mixing, "STRETCH", 256)
     monkeypatch.setattr(mixing, "CELLS", 64)
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "SOURCES", 3)
     quotas = [50_000, 1, 20_000, 0, 7_777, 310, 12]
     sources = spark.createDataFrame(list(enumerate(quotas)), "number long, quota long")
     rows = sorted(mixing.schedule(sources, 10).collect())
@@ -86,7 +86,6 @@ def test_bits_in_reverse(spark):
 
 
 def test_a_third_of_all_rows_equal(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 40)
     monkeypatch.setattr(mixing, "COPIES", 16)
     rows = [(i, f"word{i} and more", "hot" if i % 2 else "b") for i in range(200)] + [(None, "same again here", "hot")] * 100
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

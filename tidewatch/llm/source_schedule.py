@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BUCKET_ROWS, stored, table
+from tidewatch.llm.common import stored, table
 
 #: Weights of the sources in order, repeating: fixed values.
 WEIGHTS = (5, 2, 1)
@@ -40,6 +40,8 @@ SHARE, EPOCHS = 1.5, 2
 BLOCK = 2048
 #: Slots that one window ranks, cells of the grid through which points find their source.
 STRETCH, CELLS = 1 << 16, 1 << 12
+#: Sources that one window sums up.
+SOURCES = 100_000
 #: Copies of one row that are told apart at once.
 COPIES = 10_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -128,8 +130,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _running(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     """`blocks` with `first`: the blocks of all sources before; groups of sources are summed, then added up."""
-    grouped = blocks.withColumn("group", F.floor(F.col("source_no") / BUCKET_ROWS))
-    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for BUCKET_ROWS sources
+    grouped = blocks.withColumn("group", F.floor(F.col("source_no") / SOURCES))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row for SOURCES sources
     starts = grouped.groupBy("group").agg(F.sum("blocks").alias("n")).select(
         F.col("group").alias("_group"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = Window.partitionBy("group").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,7 +142,7 @@ def _running(spark: SparkSession, blocks: DataFrame) -> DataFrame:
 def placed(documents: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     """Every document with words, and `start`: the words of its source before it in the shuffled order."""
     equal = documents.where("size > 0").groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("copies"))
-    buckets = max(1, math.ceil(rows / BUCKET_ROWS))
+    buckets = max(1, math.ceil(math.sqrt(rows)))  # as many as each has rows, so neither grows as the rows do
     # leading digits of the hash, so buckets follow each other as their hashes do
     dealt = equal.join(sources.select(F.col("source").alias("_source"), F.col("number").alias("source_no"), "source_size", "quota"),
                        F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
