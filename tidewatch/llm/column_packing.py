@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import batches, gapless, stored, table
+from tidewatch.llm.common import batches, gapless, stored, table, told_apart
 from tidewatch.llm.tokens import default_path, token_ids
 
 CAPACITY = 4096
@@ -166,7 +166,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, step: int = STEP, gap: float
             slot += mix[size]
         sequence += times
     deal = spark.createDataFrame(runs, "_c int, _lo long, _hi long, _first long, _each long, _slot long")
-    ranked = gapless(cut, ["_class"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "_rank", n_rows=sum(histogram.values()))
+    ranked = gapless(cut, ["_class"], ["row_no"], "_rank", n_rows=sum(histogram.values()))
     # `deal` has a few rows a pattern, and there are at most twice as many patterns as classes
     dealt = ranked.join(F.broadcast(deal), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     turn = F.col("_rank") - F.col("_lo")
@@ -180,7 +180,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, step: int = STEP, gap: float
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(stored(pieces(docs), "token-pieces"))
+    return pack(stored(told_apart(pieces(docs)), "token-pieces"))
 
 
 def op2_column_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,6 @@ from tidewatch.session import stored
 
 #: Rows of an Arrow batch: documents are long, so batches are small.
 BATCH_ROWS = 256
-#: Rows that one window of `gapless` may hold.
-BUCKET_ROWS = 100_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,6 +43,11 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def told_apart(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """`df` with a number that no other row has; it holds once the table is stored."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def same_key(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
@@ -52,13 +55,14 @@ def same_key(left: Column, right: Column) -> Column:
 def gapless(df: DataFrame, by: list[str], order: list[str], name: str, first: int = 0, n_rows: int | None = None) -> DataFrame:
     """Number the rows of each group of `by` without gaps, however large a group is.
 
-    Rows are dealt into hash buckets of about BUCKET_ROWS; a bucket is numbered by
-    itself and starts where the buckets before it end. The order is by bucket, then
-    by `order`, which also decides the bucket; rows equal in all of it are alike.
-    `df` is read twice, so pass a stored table or a cheap plan.
+    Rows are dealt into as many hash buckets as a bucket has rows; a bucket is numbered
+    by itself and starts where the buckets before it end. So neither a bucket nor the list
+    of buckets has more than about the square root of all rows. The order is by bucket, then
+    by `order`, which also decides the bucket: end it with a stored number that tells equal
+    rows apart (`told_apart`). `df` is read twice, so pass a stored table.
     """
     n = df.count() if n_rows is None else n_rows
-    buckets = max(1, math.ceil(n / BUCKET_ROWS))
+    buckets = max(1, math.ceil(math.sqrt(n)))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("gapless")), F.lit(buckets)).cast("int"))
     own = Window.partitionBy(*by, "_bucket").orderBy(*order)
     ranked = dealt.withColumn("_own", F.row_number().over(own).cast("long") - 1)
@@ -75,4 +79,4 @@ def gapless(df: DataFrame, by: list[str], order: list[str], name: str, first: in
             .drop("_bucket", "_own", "_b", "_start", *[f"_by_{c}" for c in by]))
 
 
-__all__ = ["BATCH_ROWS", "BUCKET_ROWS", "batches", "gapless", "prepare", "same_key", "stored", "table"]
+__all__ = ["BATCH_ROWS", "batches", "gapless", "prepare", "same_key", "stored", "table", "told_apart"]

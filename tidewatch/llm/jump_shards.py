@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import gapless, stored, table
+from tidewatch.llm.common import gapless, stored, table, told_apart
 
 SHARDS = 16
 
@@ -56,9 +56,9 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
-    placed = stored(slim.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("doc_id"), shards),
-                                      "grown_shard": shard_of(F.col("doc_id"), shards + 1)}), "shards")
-    return gapless(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select(
+    placed = stored(told_apart(slim.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("doc_id"), shards),
+                                                 "grown_shard": shard_of(F.col("doc_id"), shards + 1)})), "shards")
+    return gapless(placed, ["shard"], ["doc_id", "row_no"], "slot").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -9,7 +9,7 @@ range merges its runs with a loser tree, so captures come out in global order: r
 turn, rows in turn within a range.
 
 Defined cases: a null html is the empty payload; a null URL has the empty URL and key; null
-page ids have records of their own under the id -1; repeated rows are captured one by one,
+page ids have records of their own and stay null; repeated rows are captured one by one,
 and of equal ids with equal payloads each is a response; line ends in a URL become spaces; an empty
 table gives no rows; other columns are not read.
 """
