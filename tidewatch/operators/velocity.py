@@ -207,9 +207,7 @@ def velocity_features(txn: DataFrame, entities: tuple[C.Entity, ...] = C.CATALOG
         for p in e.priors:
             values[f"{e.name}_{p}"] = F.max(F.when(own, prior[p]))
     names = C.velocity_feature_names(entities) + C.prior_feature_names(entities)
-    # rows of an event meet by its id before they are widened: narrow rows travel, wide ones do not
-    narrow = swept.select("transaction_id", "ent", "amt", "prev_at", "prev_amt", "at", *delta).repartition("transaction_id")
-    return narrow.groupBy("transaction_id").agg(*[values[n].alias(n) for n in names])
+    return swept.groupBy("transaction_id").agg(*[values[n].alias(n) for n in names])
 
 
 def history_features(txn: DataFrame, hot_rows: int | None = C.HOT_ROWS) -> DataFrame:
