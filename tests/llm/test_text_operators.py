@@ -231,6 +231,10 @@ def test_op6_viterbi_is_the_best_of_all_sequences(crf):
         best = max(map(total, itertools.product(range(5), repeat=len(said))))
         got = crf.labels(said)
         assert total([0] * len(said) if got is None else got.tolist()) == pytest.approx(best, abs=1e-3)
+    for _ in range(20):  # long texts: no piece put aside
+        said = list(rng.choice(words, 400))
+        got, whole = crf.labels(said), crf.viterbi(crf.scores(said)[None], True, True)[0]
+        assert np.array_equal(np.zeros(400) if got is None else got, whole)
 
 
 def test_op6_scores_are_sums_over_features(crf):

@@ -8,9 +8,9 @@ sequence. It is trained on the small labelled table of `pii_lines`, by gradient
 likelihood. What it finds is added where it is whole (`whole`) and touches no span of the
 rules: addresses and numbers written in other ways.
 
-Decoding is exact but reads little: a piece whose score for "nothing" leads by more than any
-two transitions can make up has that label in the best sequence, which therefore falls
-apart into short runs of the other pieces; runs of a length are decoded together.
+Decoding is exact but reads little: `open` bounds what any run of kinds can gain, the pieces
+in no run that can gain are "nothing" in the best sequence, and the text falls apart into
+short runs of the others; runs of a length are decoded together.
 
 Defined cases: a null or empty text has no spans; a null id is kept; repeated rows are
 judged one by one; an empty table gives no rows; very long texts are read whole, in linear
@@ -233,14 +233,10 @@ class Crf:
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= 0.1 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
-        gain = self.steps[:, 1:, None] + self.steps[None, 1:, :] - self.steps[:, :1, None] - self.steps[None, :1, :]
-        one = np.maximum(self.steps[:, 1:] - self.steps[:, :1], 0).max() + np.maximum(self.steps[1:, :] - self.steps[:1, :], 0).max()
-        #: What two transitions can make up at most, at the ends of a text too.
-        self.lead = float(max(gain.max(), one)) + 1e-6
         self._forget()
 
     def __getstate__(self) -> dict:
-        return {"index": self.index, "weights": self.weights, "near": self.near, "steps": self.steps, "lead": self.lead}
+        return {"index": self.index, "weights": self.weights, "near": self.near, "steps": self.steps}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ |= state
@@ -316,12 +312,31 @@ class Crf:
             emit += _near(cues) @ self.near.astype(np.float32)
         return emit
 
+    def open(self, emit: np.ndarray) -> np.ndarray:
+        """Pieces that may have a kind in the best sequence; all others surely have none.
+
+        A run of kinds gains over "nothing" at most the sum of what each of its pieces can
+        gain: its score's lead, half a transition to a kind beside it or a whole one to
+        nothing. In the best sequence no run loses, so its pieces lie in a stretch whose
+        gains sum to zero or more.
+        """
+        over = self.steps - self.steps[0, 0]
+        into = np.maximum(over[0, 1:], over[1:, 1:].max(axis=0) / 2)
+        out = np.maximum(over[1:, 0], over[1:, 1:].max(axis=1) / 2)
+        lead = emit[:, 1:].astype(np.float64) - emit[:, :1]
+        gain = (lead + (into + out)).max(axis=1)
+        gain[0] = (lead[0] + np.maximum(into, 0) + np.maximum(out, 0)).max()
+        gain[-1] = max(gain[-1], (lead[-1] + np.maximum(into, 0) + np.maximum(out, 0)).max())
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        least, most = np.minimum.accumulate(sums[:-1]), np.maximum.accumulate(sums[:0:-1])[::-1]
+        return np.flatnonzero(most - least >= -1e-3)
+
     def labels(self, words: list[str]) -> np.ndarray | None:
         """Best label of each piece, None where all are "nothing"."""
         if not words:
             return None
         emit = self.scores(words)
-        open_ = np.flatnonzero(emit[:, 0] - emit[:, 1:].max(axis=1) <= self.lead)
+        open_ = self.open(emit)
         if not len(open_):
             return None
         out = np.zeros(len(words), np.int64)
