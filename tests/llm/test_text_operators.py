@@ -86,6 +86,23 @@ def test_op1_flat_files(spark, tmp_path):
     assert not [r for r in got if r.file.endswith("c.bin")]
 
 
+def test_op1_flat_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(separator_scan, "TASK_BYTES", 4000)
+    ids = np.random.default_rng(4).integers(0, 9, 20_001).astype("<u2")
+    for name in ("one file é.bin", "two.bin"):
+        (tmp_path / name).write_bytes(ids.tobytes())
+    blocks = separator_scan.read_flat_files(spark, str(tmp_path), block_ids=100)
+    got = blocks.withColumn("task", F.spark_partition_id()).collect()
+    per_task = Counter(r.task for r in got)
+    assert len(per_task) > 8 and max(per_task.values()) < 200  # of 402 blocks: no task has a whole file
+    for name in {r.file for r in got}:
+        mine = sorted((r for r in got if r.file == name), key=lambda r: r.block)
+        assert [r.block for r in mine] == list(range(201)) and b"".join(r.tokens for r in mine) == ids.tobytes()
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="half an id"):
+        separator_scan.read_flat_files(spark, str(tmp_path)).collect()
+
+
 def check_packing(rows, want):
     """Every id in one piece, sequences gapless and not too long."""
     by_doc, by_sequence = {}, {}

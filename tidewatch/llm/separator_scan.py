@@ -18,9 +18,11 @@ repeated rows are counted one by one; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from tidewatch.llm.tokens import default_path, token_ids
 END_OF_DOCUMENT = 49407
 #: Ids of a block: half a megabyte.
 BLOCK_IDS = 1 << 18
+#: Bytes of flat files that a task reads, about.
+TASK_BYTES = 64 << 20
 #: Blocks that one window of the prefix scan may hold.
 BLOCKS_PER_SPAN = 1024
 
@@ -75,18 +79,40 @@ def write_streams(docs: DataFrame, tokenizer: str | None = None, block_ids: int
 
 
 def read_flat_files(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of flat files of little-endian 16-bit ids below `path`; a file must fit a task's memory."""
+    """Blocks of flat files of little-endian 16-bit ids below `path`, of any size.
+
+    Spark lists the files and deals byte ranges as rows; a task reads one range at a time by
+    seeking, so no file is held whole. Tasks open files with `pyarrow.fs`, which must know the
+    path's scheme. An empty file has no blocks, one of an odd number of bytes is an error.
+    """
+    step = 2 * block_ids
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for name, content in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
-                whole = content.as_py()
-                step = 2 * block_ids
-                rows = ((name, n, whole[at:at + step]) for n, at in enumerate(range(0, len(whole), step)))
-                yield from batches({"file": pa.string(), "block": pa.int64(), "tokens": pa.binary()}, rows, at_once=16)
-
-    files = prepare(spark).read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, block long, tokens binary")
+        def rows() -> Iterator[tuple]:
+            name, opened = None, None
+            for part in parts:
+                for path, block, length in zip(*(part.column(c).to_pylist() for c in ("path", "block", "length")), strict=True):
+                    if length % 2:
+                        raise ValueError(f"{path}: half an id at the end")
+                    if path != name:
+                        system, where = pa_fs.FileSystem.from_uri(quote(path, safe="/:@"))  # Spark names files unescaped
+                        name, opened = path, system.open_input_file(where)
+                    size = min(step, length - block * step)
+                    raw = opened.read_at(size, block * step)
+                    if len(raw) != size:
+                        raise ValueError(f"{path}: shorter than listed")
+                    yield path, block, raw
+
+        # as many rows at once as make up about 16 MB
+        yield from batches({"file": pa.string(), "block": pa.int64(), "tokens": pa.binary()}, rows(), at_once=max(1, (16 << 20) // step))
+
+    files = prepare(spark).read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    tasks = max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    last = F.floor((F.col("length") - 1) / step).cast("long")
+    dealt = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    stretch = F.floor(F.col("block") * step / TASK_BYTES)
+    dealt = dealt.repartition(tasks, "path", stretch).sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(run, "file string, block long, tokens binary")
 
 
 def separator_scan(blocks: DataFrame, end_id: int = END_OF_DOCUMENT) -> DataFrame:
