@@ -187,3 +187,43 @@ def test_progress_has_a_row_for_every_batch_across_a_restart(spark, tmp_path):
     p = spark.read.parquet(root).filter("rows > 0")
     assert p.count() == 150 and p.agg(F.sum("rows"), F.count_distinct("run")).first()[:] == (150, 2)
     assert spark.read.parquet(out).count() == 150
+
+
+def test_groups_of_entities_leave_the_same_rows_and_state_as_single_ones(spark, tmp_path):
+    src = arrivals(spark, str(tmp_path / "in"), [
+        [(b * 400 + i, 1_704_067_200_000_000 + b * 40_000_000_000 + (i * 7919) % 40_000 * 1_000_000, i % 9, float(i % 13), i % 5) for i in range(400)] for b in range(3)])
+    left = {}
+    for parts in (None, 2):
+        out = B.run_available(S.entity_features(B.event_stream(spark, src, files_per_batch=1), rows=8, parts=parts), "x", str(tmp_path / f"out-{parts}"))
+        known, events = S.read_state(spark, f"{out}-checkpoint")
+        left[parts] = [sorted(map(str, d.select(sorted(d.columns)).collect())) for d in (spark.read.parquet(out), known, events)]
+    assert left[None] == left[2] and all(left[2])
+
+
+def test_one_call_serves_many_entities(spark, tmp_path, monkeypatch):
+    """The number of calls follows the groups and not the entities."""
+    marks = str(tmp_path / "calls")
+    old = S.EntityWindows.handleInputRows
+
+    def counted(self, key, rows, timer):
+        with open(marks, "a") as f:
+            f.write("x")
+        yield from old(self, key, rows, timer)
+
+    class Counted(S.EntityWindows):
+        handleInputRows = counted  # noqa: N815
+
+    monkeypatch.setattr(S, "EntityWindows", Counted)
+    src = arrivals(spark, str(tmp_path / "in"), [[(i, 1_704_067_200_000_000 + i * 1_000_000, i, 1.0, 1) for i in range(300)]])
+    B.run_available(S.entity_features(B.event_stream(spark, src), C.CATALOGUE[:1], parts=4), "x", str(tmp_path / "out"))
+    assert len(open(marks).read()) == 4
+
+
+def test_lateness_keeps_what_a_late_event_can_read(spark, tmp_path):
+    """An event an hour behind the newest one still reads its whole week."""
+    day, hour, t0 = 86_400_000_000, 3_600_000_000, 1_704_067_200_000_000
+    batches = [[(1, t0, 1, 1.0, 1), (2, t0 + 7 * day + hour // 2, 1, 1.0, 1)], [(3, t0 + 7 * day - 1_000_000, 1, 1.0, 1)]]
+    for parts in (None, 4):
+        src = arrivals(spark, str(tmp_path / f"in-{parts}"), batches)
+        out = B.run_available(S.entity_features(B.event_stream(spark, src, files_per_batch=1), lateness="1 hour", parts=parts), "late", str(tmp_path / f"out-{parts}"))
+        assert spark.read.parquet(out).filter("ent = 'cust' AND transaction_id = '3'").first()["n_7d"] == 1
