@@ -585,3 +585,20 @@ def test_what_if_takes_the_smallest_step_that_is_safe(spark):
     unsafe = {r.transaction_id for r in scored.filter("fraud_probability > 0.05").collect()}
     want = {k: v for k, v in safe.items() if k[0] in unsafe}
     assert found and {(r.transaction_id, r.feature): round(r.distance / L.STEP) for r in found} == want
+
+
+def test_quantiles_and_drift_read_the_rows_once(spark):
+    """Equal values are merged in the one pass over the rows; all that follows reads the merged ones."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(x):
+        seen.add(1)
+        return float(x % 97)
+
+    value = F.udf(see, "double").asNondeterministic()
+    rows = lambda lo, hi: spark.range(lo, hi).select(value("id").alias("v"), (F.col("id") % 3).cast("double").alias("w"))
+    q = R.quantiles(rows(0, 970), "v", [0.1, 0.5], slices=4).first()["q"]
+    assert list(q) == [9.0, 48.0] and seen.value == 970
+    got = {r["feature"]: r for r in D.feature_drift(rows(0, 970), rows(970, 1940), ["v", "w"]).collect()}
+    assert seen.value == 970 * 3
+    assert abs(got["v"]["psi"]) < 1e-12 and got["v"]["ref_mean"] == got["v"]["obs_mean"] == 48.0
