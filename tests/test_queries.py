@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from compare import compare, connect
+from compare import TABLES, compare, connect
 
 SF = "/root/testdata/sf0.001"
 SOME = ["flagship_velocity_band", "win_vel_distinct", "prj_canonical", "jn_asof_backward", "agg_pr_curve", "win_monitor_report",
@@ -23,3 +23,32 @@ def test_query_equals_sql(spark, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def with_amounts(tmp_path, values):
+    """The smallest tables with the amounts of the first events replaced."""
+    import duckdb
+
+    given = ", ".join(f"({i}, {v})" for i, v in values.items())
+    for t in TABLES:
+        rows = f"SELECT * FROM '{SF}/{t}.parquet'"
+        if t == "events":
+            rows = f"SELECT e.* REPLACE (coalesce(v.x, e.value) AS value) FROM '{SF}/events.parquet' e LEFT JOIN (VALUES {given}) v(i, x) ON event_id = i"
+        duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/{t}.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["fn_math_log_trig", "prj_validate_event", "snk_split_quarantine"])
+def test_amounts_of_zero(spark, tmp_path, name):
+    sf = with_amounts(tmp_path, {1: "0.0", 13: "0.0", 17: "0.0", 20: "0.001"})
+    res = compare(name, entry.queries()[name], entry.oracle_sql()[name], spark, sf, connect(sf))
+    assert res.startswith("ok"), res
+
+
+def test_page_hinkley_row_without_a_better_candidate(spark):
+    from tidewatch.operators import drift as D
+    from tidewatch.plans.drift import page_hinkley_row
+
+    none = spark.sql("SELECT 'x' AS name, 1 AS rank WHERE false")
+    points = spark.createDataFrame([(i, 0.5 if i < 8 else 0.9) for i in range(14)], "i int, x double")
+    assert page_hinkley_row(D.auto_switch(points, "i", "x", none, "c3")).select("triggered", "to_model").first()[:] == (True, None)

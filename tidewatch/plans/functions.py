@@ -43,7 +43,7 @@ simple("fn_date_diff", "(us - epoch_us(date_trunc('day', event_time))) / 1e6 AS
        lambda: [((X.micros("event_time") - X.micros(F.date_trunc("day", "event_time"))) / F.lit(1e6)).alias("seconds")])
 simple("fn_date_format", "strftime(event_time, '%Y-%m') AS v", lambda: [F.date_format("event_time", "yyyy-MM").alias("v")])
 simple("fn_math_log_trig", "round(ln(1 + amount), 6) AS a, round(sin(amount), 6) AS b, round(cos(amount), 6) AS c, round(exp(-amount / 100), 6) AS d, round(ln(amount), 6) AS e",
-       lambda: [F.round(F.log1p("amount"), 6).alias("a"), F.round(F.sin("amount"), 6).alias("b"), F.round(F.cos("amount"), 6).alias("c"), F.round(F.exp(-F.col("amount") / 100), 6).alias("d"), F.round(F.log("amount"), 6).alias("e")])
+       lambda: [F.round(F.log1p("amount"), 6).alias("a"), F.round(F.sin("amount"), 6).alias("b"), F.round(F.cos("amount"), 6).alias("c"), F.round(F.exp(-F.col("amount") / 100), 6).alias("d"), F.round(X.ln("amount"), 6).alias("e")])
 simple("fn_math_clip", "CASE WHEN seq % 9 = 0 THEN NULL ELSE least(greatest(amount, 5.0), 30.0) END AS v",
        lambda: [X.clip(F.when(F.col("seq") % 9 != 0, F.col("amount")), 5.0, 30.0).alias("v")])
 simple("fn_math_minmax_h", "least(amount, 25.0) AS lo, greatest(amount, 25.0) AS hi", lambda: [F.least("amount", F.lit(25.0)).alias("lo"), F.greatest("amount", F.lit(25.0)).alias("hi")])
