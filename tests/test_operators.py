@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -602,3 +603,16 @@ def test_quantiles_and_drift_read_the_rows_once(spark):
     got = {r["feature"]: r for r in D.feature_drift(rows(0, 970), rows(970, 1940), ["v", "w"]).collect()}
     assert seen.value == 970 * 3
     assert abs(got["v"]["psi"]) < 1e-12 and got["v"]["ref_mean"] == got["v"]["obs_mean"] == 48.0
+
+
+def test_sweep_tasks_follow_the_number_of_events(spark, monkeypatch):
+    """Spark does not merge the sweep's partitions: marks are several times the events that are shuffled."""
+    from tidewatch.operators import velocity
+    from tidewatch.sources import adapters as A
+
+    txn = A.events_to_txn(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    monkeypatch.setattr(velocity, "EVENTS_PER_TASK", 100)  # 1,000 events name three or four entities each
+    for made in (velocity.velocity_features(txn), velocity.history_features(txn)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        n = [int(x) for x in re.findall(r"hashpartitioning\(eid#\d+, ent#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert n and all(30 <= x <= 40 for x in n), plan
