@@ -52,3 +52,10 @@ def test_page_hinkley_row_without_a_better_candidate(spark):
     none = spark.sql("SELECT 'x' AS name, 1 AS rank WHERE false")
     points = spark.createDataFrame([(i, 0.5 if i < 8 else 0.9) for i in range(14)], "i int, x double")
     assert page_hinkley_row(D.auto_switch(points, "i", "x", none, "c3")).select("triggered", "to_model").first()[:] == (True, None)
+
+
+@pytest.mark.parametrize("name", ["rp_decision_parity", "agg_psi_sketch", "rp_model_race"])
+def test_scores_are_joined_once(spark, name):
+    """The result's plan reads the stored scores, not the lines and orders again."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan, plan[:2000]
