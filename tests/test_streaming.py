@@ -227,3 +227,57 @@ def test_lateness_keeps_what_a_late_event_can_read(spark, tmp_path):
         src = arrivals(spark, str(tmp_path / f"in-{parts}"), batches)
         out = B.run_available(S.entity_features(B.event_stream(spark, src, files_per_batch=1), lateness="1 hour", parts=parts), "late", str(tmp_path / f"out-{parts}"))
         assert spark.read.parquet(out).filter("ent = 'cust' AND transaction_id = '3'").first()["n_7d"] == 1
+
+
+class _State(dict):
+    """A state map that counts its writes; under the empty key, a state value."""
+
+    writes = 0
+
+    def getValue(self, key):  # noqa: N802
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.writes += 1
+        self[key] = value
+
+    def exists(self):
+        return () in self
+
+    def update(self, value):
+        self[()] = value
+
+    def get(self, key=()):
+        return super().get(key)
+
+
+def test_heads_of_a_group_are_written_page_by_page():
+    import numpy as np
+
+    state, count = _State(), _State()
+    head = lambda i: (i, 2 * i, None if i % 2 else 5, 7, i % 3 == 0, None, np.arange(i % 9), np.arange(i % 9) * 3, ["", "m"] * (i % 9))
+    for rows in (range(50), range(50, 4000)):
+        pages = S.Pages(state, count)
+        for i in rows:
+            pages.put(f"é{i}", head(i))
+        pages.write()
+    assert state.writes < 12 and len(state) == count[()][0] > 1  # 4,000 heads
+    stored = S.Pages(state, count)
+    found = dict(stored.items())
+    plain = lambda v: [x.tolist() if isinstance(x, np.ndarray) else x for x in v]
+    assert len(found) == 4000 and all(plain(found[f"é{i}"])[:8] == plain(head(i))[:8] for i in range(4000))
+    for v in stored.loaded.values():
+        assert sum(1 + len(x[6]) for x in v.values()) <= S.PAGE_ROWS
+
+
+def test_rows_of_a_group_are_packed():
+    import pyarrow as pa
+
+    rows = [("cust", i % 4, f"e{i % 8}", str(i), i, i * 10, i, "m") for i in range(1000)] + [("card", 1, "e", "x", 1, 1, 1, "")]
+    names = ["ent", "part", "eid", "transaction_id", "seq", "at", "amt", "merch"]
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    packs = [(r["ent"], r["part"], pa.ipc.read_record_batch(pa.py_buffer(r["pack"]), S._PACKED).to_pylist())
+             for b in S.pack_rows(iter([batch.slice(0, 0), batch.slice(0, 600), batch.slice(600)])) for r in b.to_pylist()]
+    assert len(packs) == 5
+    assert sorted((e, p, *r.values()) for e, p, many in packs for r in many) == sorted(rows)
