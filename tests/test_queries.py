@@ -59,3 +59,14 @@ def test_scores_are_joined_once(spark, name):
     """The result's plan reads the stored scores, not the lines and orders again."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan, plan[:2000]
+
+
+def test_stacked_scores_are_joined_once(spark, monkeypatch):
+    """What the metrics read comes from the stored scores, not from the lines and orders again."""
+    from tidewatch.plans import learned
+
+    plans = []
+    report = learned.M.metrics_report
+    monkeypatch.setattr(learned.M, "metrics_report", lambda df, **how: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or report(df, **how))
+    assert entry.queries()["ml_stack"](spark, SF).count() == 2
+    assert plans and "l_orderkey" not in plans[0], plans[0][:2000]

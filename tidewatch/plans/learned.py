@@ -67,7 +67,8 @@ def _(t):
 @query("ml_stack")
 def _(t):
     """Stacked signals: validation and test metrics of the stacker."""
-    s = t.scores().withColumn("noise", (F.col("seq") % 101) / F.lit(101.0)).withColumn(
+    lines = stored(t.scores().select("seq", "split", "score", "amount", "is_fraud"), "scores")  # joined once, read twice
+    s = lines.withColumn("noise", (F.col("seq") % 101) / F.lit(101.0)).withColumn(
         "anomaly", F.log1p("amount")).withColumn("is_fraud", F.col("is_fraud").cast("double"))
     cols = ["score", "noise", "anomaly"]
     train = s.filter(F.col("split") == "train").select(*cols, "is_fraud").persist()
@@ -76,8 +77,8 @@ def _(t):
     finally:
         train.unpersist()
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(s.select(ID, "split", *cols, "is_fraud")).withColumn("stacked", vector_to_array("probability")[1])
-    return M.metrics_report(out.filter(F.col("split") != "train"), score="stacked").withColumn("frauds", F.col("frauds").cast("long"))
+    out = model.transform(s.filter(F.col("split") != "train").select("split", *cols, "is_fraud")).withColumn("stacked", vector_to_array("probability")[1])
+    return M.metrics_report(out, score="stacked").withColumn("frauds", F.col("frauds").cast("long"))
 
 
 @query("ml_anomaly")
