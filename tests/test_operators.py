@@ -616,3 +616,22 @@ def test_sweep_tasks_follow_the_number_of_events(spark, monkeypatch):
         plan = made._jdf.queryExecution().executedPlan().toString()
         n = [int(x) for x in re.findall(r"hashpartitioning\(eid#\d+, ent#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
         assert n and all(30 <= x <= 40 for x in n), plan
+
+
+def test_shift_by_groups_equals_shift_by_rows(spark):
+    """The z of encodings from merchants and categories, weighted by their rows, is that of the joined rows."""
+    from tidewatch.plans import drift as P
+    from tidewatch.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    got = {r["feature"]: r["z"] for r in P.shifts(t, "test").collect()}
+    want = {r["feature"]: r["z"] for r in P.drift_table(P.featured(t), "test").collect()}
+    assert set(got) == set(want) == set(C.MONITORED_COLUMNS)
+    assert all(abs(got[f] - z) < 1e-6 for f, z in want.items())
+
+
+def test_shift_ignores_what_is_on_neither_side(spark):
+    rows = spark.createDataFrame([("train", 1.0, 2), ("train", 3.0, 2), ("test", 5.0, 4), ("val", 99.0, 1), ("test", None, 7)], "split string, x double, n long")
+    is_train = F.when(F.col("split") != "val", F.col("split") == "train")
+    assert [tuple(r) for r in D.feature_shift(rows, is_train, ["x"], weight="n").collect()] == [("x", 6.0)]
+    assert [tuple(r) for r in D.feature_shift(rows, is_train, ["x"]).collect()] == [("x", 3.0)]
