@@ -281,3 +281,28 @@ def test_rows_of_a_group_are_packed():
              for b in S.pack_rows(iter([batch.slice(0, 0), batch.slice(0, 600), batch.slice(600)])) for r in b.to_pylist()]
     assert len(packs) == 5
     assert sorted((e, p, *r.values()) for e, p, many in packs for r in many) == sorted(rows)
+
+
+def test_priors_alone_keep_no_windows(spark, tmp_path):
+    """Entities without windows have the same priors as with them, and heads of the newest instant only."""
+    from tidewatch.plans.streams import PRIORS_ALONE
+
+    stream = B.event_stream(spark, staged(spark, str(tmp_path / "in")), files_per_batch=1)
+    out = B.run_available(S.entity_features(stream, PRIORS_ALONE, parts=8, cell_minutes=60), "priors", str(tmp_path / "out"))
+    names = C.prior_feature_names()
+    rows = spark.read.parquet(out)
+    show = lambda d: d.select("transaction_id", *[F.round(n, 9).alias(n) for n in names])
+    got, want = show(S.widen(rows, PRIORS_ALONE)), show(V.velocity_features(B.events_to_txn(spark.read.parquet(f"{SF}/events.parquet"))))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+    assert rows.agg(F.max("kept")).first()[0] < 3 and "n_7d" not in rows.columns
+
+
+def test_events_without_the_entity_stay(spark, tmp_path):
+    """A stream that serves devices alone gives nothing for events without one; the query still has them, with nulls."""
+    import __spark_entry__ as entry
+
+    txn = B.events_to_txn(spark.read.parquet(f"{SF}/events.parquet"))
+    got = entry.queries()["st_missing_entity"](spark, SF)
+    without = txn.filter("device_id IS NULL").select("transaction_id")
+    assert got.count() == txn.count() and without.count() > 0
+    assert got.join(without, "transaction_id").filter("device_v_24h_count IS NULL AND device_v_7d_amount IS NULL").count() == without.count()
