@@ -526,3 +526,19 @@ def test_op10_crowded_keys_lose_no_link(spark):
         found = {f: roots.get(s, s) for f, (s,) in zip(fps, signed)}
         assert len(set(found.values())) == groups
         assert len({(want[f], found[f]) for f in fps}) == groups
+
+
+def test_op4_samples_do_not_depend_on_what_is_kept():
+    texts = ["a b c d e f g h a b", "h i j k l a a a", "", "m n o p q r s t u v w x y z a b c", "a b c d e f g h a b"]
+    small, large = weighted_minhash.Sampler(64, rows=6), weighted_minhash.Sampler(64, rows=1000)
+    assert [small.signature(t) for t in texts] == [large.signature(t) for t in texts]
+
+
+def test_op4_draws_a_term_from_three_mixes(monkeypatch):
+    mixes, mix = [], weighted_minhash._scatter
+    monkeypatch.setattr(weighted_minhash, "_scatter", lambda x: mixes.append(x.shape) or mix(x))
+    s = weighted_minhash.Sampler(16)
+    s.signature("a b b c")
+    assert mixes == [(3, 16)] * 3
+    s.signature("c b a b")
+    assert len(mixes) == 3

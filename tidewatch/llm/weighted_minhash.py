@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tidewatch.llm.common import batches, table
 
@@ -39,9 +40,12 @@ _NULL_ID = -(1 << 63)
 
 
 def _scatter(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Mixes `x` in place."""
+    for turn, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(turn)
+        x *= np.uint64(times)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Sampler:
@@ -49,48 +53,84 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, rows: int = CACHE_ROWS) -> None:
         self.samples = samples
-        self._row: dict[tuple[str, int], int] = {}
-        self._kept = np.zeros((rows, samples), np.uint64)
-        self._steps = (np.arange(1, 6 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(6, samples)
-
-    def _draw(self, terms: list[tuple[str, int]]) -> np.ndarray:
-        """For each term and sample: the number to be least in the high half, the sample's identity in the low."""
-        seeds = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w, _ in terms], np.uint64)
-        weight = np.log(np.array([n for _, n in terms], np.float32))[:, None]
-
-        def uniform(k: int) -> np.ndarray:
-            bits = _scatter(seeds[:, None] + self._steps[k])
-            return ((bits >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-
-        r = -np.log(uniform(0) * uniform(1))  # gamma(2, 1)
-        log_c = np.log(-np.log(uniform(2) * uniform(3)))
-        beta = uniform(4)
-        step = np.floor(weight / r + beta)
-        log_a = log_c - r * (step - beta) - r
-        raw = log_a.view(np.uint32)
-        rank = np.where(raw >> 31, ~raw, raw | np.uint32(1 << 31)).astype(np.uint64)  # orders like the number
-        name = _scatter((seeds[:, None] ^ self._steps[5]) + step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        return (rank << np.uint64(32)) | (name >> np.uint64(32))
+        #: Row of a word that occurs once, and of one that occurs several times: a word alone is looked up faster than a pair.
+        self._once: dict[str, int] = {}
+        self._more: dict[tuple[str, int], int] = {}
+        self._kept, self._used = np.zeros((rows, samples), np.uint64), 0
+        self._steps = (np.arange(1, 3 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, samples)
+
+    def _draw(self, words: list[str], times: list[int]) -> np.ndarray:
+        """For each term and sample: the number to be least in the high half, the sample's identity in the low.
+
+        Terms that occur once come first.
+        """
+        seeds = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+        one, two, three = (_scatter(seeds[:, None] + s).astype("<u8", copy=False) for s in self._steps)
+
+        def uniform(bits: np.ndarray, half: int) -> np.ndarray:
+            """The upper 24 bits of one half (0: low, 1: high)."""
+            x = (bits.view(np.uint32)[:, half::2] >> np.uint32(8)).view(np.int32).astype(np.float32)
+            x += np.float32(0.5)
+            x *= np.float32(2.0**-24)
+            return x
+
+        def gamma(bits: np.ndarray) -> np.ndarray:  # gamma(2, 1)
+            x = uniform(bits, 1)
+            x *= uniform(bits, 0)
+            return np.negative(np.log(x, out=x), out=x)
+
+        r, log_a, shift = gamma(one), gamma(two), uniform(three, 1)
+        np.log(log_a, out=log_a)
+        shift -= np.float32(1)
+        if (several := times.count(1)) < len(times):  # a word that occurs once is at step 0
+            beta = shift[several:] + np.float32(1)
+            step = np.floor(np.log(np.array(times[several:], np.float32))[:, None] / r[several:] + beta)
+            shift[several:] -= step
+            # the low half has no part in beta
+            three[several:] += step.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        shift *= r
+        log_a += shift  # log c - r * (step - beta + 1)
+        raw = log_a.view(np.int32)
+        # as unsigned numbers these order like log_a
+        three.view(np.uint32)[:, 1::2] = (raw ^ ((raw >> 31) | np.int32(-(1 << 31)))).view(np.uint32)
+        return three
+
+    def _add(self, words: list[str], times: list[int]) -> range:
+        """Draw terms that are not kept yet into the next rows."""
+        first = self._used
+        self._used += len(words)
+        for a in range(0, len(words), 256):
+            self._kept[first + a:first + a + 256][:len(words) - a] = self._draw(words[a:a + 256], times[a:a + 256])
+        return range(first, self._used)
+
+    def _rows(self, once: list[str], more: list[tuple[str, int]]) -> list[int]:
+        """The kept rows of some terms, at most as many as can be kept."""
+        rows = [*map(self._once.get, once), *map(self._more.get, more)]
+        if None in rows:
+            new = [i for i, r in enumerate(rows) if r is None]
+            if self._used + len(new) > len(self._kept):
+                self._once.clear()
+                self._more.clear()
+                self._used, new = 0, list(range(len(rows)))
+            words = [once[i] for i in new if i < len(once)]
+            pairs = [more[i - len(once)] for i in new[len(words):]]
+            drawn = self._add([*words, *(w for w, _ in pairs)], [1] * len(words) + [n for _, n in pairs])
+            for i, r in zip(new, drawn, strict=True):
+                rows[i] = r
+            self._once.update(zip(words, drawn))
+            self._more.update(zip(pairs, drawn[len(words):], strict=True))
+        return rows
 
     def signature(self, text: str | None) -> bytes:
         bag = Counter((text or "").lower().split())
-        least = np.full(self.samples, np.iinfo(np.uint64).max)
-        terms = list(bag.items())
-        for at in range(0, len(terms), len(self._kept)):
-            part = terms[at:at + len(self._kept)]
-            rows = list(map(self._row.get, part))
-            if None in rows:
-                new = [t for t, r in zip(part, rows, strict=True) if r is None]
-                if len(self._row) + len(new) > len(self._kept):
-                    self._row.clear()
-                    new = part
-                first = len(self._row)
-                for a in range(0, len(new), 512):
-                    self._kept[first + a:first + a + 512][:len(new) - a] = self._draw(new[a:a + 512])
-                self._row.update(zip(new, range(first, first + len(new)), strict=True))
-                rows = list(map(self._row.__getitem__, part))
-            least = np.minimum(least, self._kept[rows].min(axis=0))
-        return (least & np.uint64(0xFFFF)).astype(">u2").tobytes() if terms else b"\xff" * (2 * self.samples)
+        once = [w for w, n in bag.items() if n == 1]
+        more = [t for t in bag.items() if t[1] > 1] if len(once) < len(bag) else []
+        least, most = np.full(self.samples, np.iinfo(np.uint64).max), len(self._kept)
+        for at in range(0, len(bag), most):
+            rest = at - len(once)
+            rows = self._rows(once[at:at + most], more[max(0, rest):max(0, rest + most)])
+            np.minimum(least, self._kept.take(np.array(rows), axis=0, mode="clip").min(axis=0), out=least)
+        return (least & np.uint64(0xFFFF)).astype(">u2").tobytes() if bag else b"\xff" * (2 * self.samples)
 
 
 _SAMPLERS: dict[int, Sampler] = {}
