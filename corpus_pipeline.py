@@ -6,7 +6,8 @@ and read again as the next stage's `docs`. All but the last return the columns o
 
     toxicity         documents that the classifier rejects go
     simhash          of each component of near-duplicates one document stays; linked is what is
-                     0.8 alike or more in its 5-word shingles (op10's 3 bits are its query's own);
+                     0.8 alike or more in its 5-word shingles; SimHash (3 bits) makes the first
+                     candidates, min-hashes those beyond its reach, the sets themselves decide;
                      components, contraction and the choice of the row are op10's
     decontamination  documents that hold a passage of the benchmark go
     pii              personal data is replaced by its kind, n_chars follows the text

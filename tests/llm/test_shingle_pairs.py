@@ -105,3 +105,26 @@ def test_recall_of_the_keys_at_four_fifths():
         one, two = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 10, np.uint64)])) for _ in range(2))
         missed += not np.intersect1d(shingle_pairs.band_keys(one), shingle_pairs.band_keys(two)).size
     assert missed == 0
+
+
+def test_simhash_makes_candidates_of_its_own(spark):
+    """Without any min-hash key, what is within 3 bits is still found, and what is not 0.8 alike does not link."""
+    from tidewatch.llm import simhash_pivots
+    from tidewatch.llm.common import stored
+
+    rng = np.random.default_rng(8)
+    base = [[f"w{k}" for k in rng.integers(0, 5000, 1500)] for _ in range(6)]
+    texts = [t for b in base for t in (" ".join(b), " ".join([*b[:700], "changed", *b[701:]]), " ".join(b[:900]))] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = stored(shingle_pairs.shingle_sets(docs).withColumn("keys", F.array().cast("array<long>")), "test-sets")
+    for r in sets.join(docs, "doc_id").collect():
+        found = shingle_pairs.shingles(r.text)
+        assert r.sim % (1 << 64) == simhash_pivots.fingerprint_of(found)
+    fp = {r.doc_id: r.fp for r in sets.collect()}
+    linked = {frozenset(e) for e in shingle_pairs.links(docs, sets).collect()}
+    for n in range(len(base)):
+        one, two, short = (fp[3 * n + k] for k in range(3))
+        bits = bin(simhash_pivots.fingerprint_of(shingle_pairs.shingles(texts[3 * n])) ^ simhash_pivots.fingerprint_of(shingle_pairs.shingles(texts[3 * n + 1]))).count("1")
+        assert (frozenset((one, two)) in linked) == (bits <= 3)
+        assert frozenset((one, short)) not in linked and frozenset((two, short)) not in linked
+    assert linked

@@ -1,9 +1,12 @@
 """Near-duplicates by the five-word rule: Jaccard similarity of shingle sets of 0.8 or more.
 
 A document is the set of its 5-word shingles; documents of equal sets are merged first, so
-copies cost nothing. Candidates come from min-hashes: BANDS keys of ROWS samples each. A pair
-of similarity s shares no key with chance (1 - s^6)^48, which is 5e-7 at 0.8 and less above.
-Every candidate is verified on the shingle sets themselves, so nothing below 0.8 links.
+copies cost nothing. The first candidates are those of SimHash: a set's fingerprint has a bit for
+each bit that over half of its shingle hashes set, and fingerprints that differ in 3 bits at most
+meet by blocks and pivot tables as in `simhash_pivots`. Pairs at 0.8 mostly lie further apart (some
+10 bits), beyond what blocks of 64 bits can find, so min-hashes add what SimHash does not reach: BANDS
+keys of ROWS samples each. A pair of similarity s shares no key with chance (1 - s^6)^48, which is
+5e-7 at 0.8 and less above. Every candidate is verified on the shingle sets themselves, so nothing below 0.8 links.
 
 No crowd makes all its pairs. Each member of a key is first held against one member, the
 smallest, which is mostly the same for all keys of a crowd; what that links is contracted. Keys
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm import simhash_pivots
 from tidewatch.llm.common import stored
 from tidewatch.llm.simhash_pivots import contract, keep_one, row_keys, with_components
 
@@ -86,23 +90,35 @@ def alike(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, fp, n, keys): fp names the shingle set, n is its size, keys are its band keys."""
+    """(doc_id, text_key, fp, n, sim, keys): fp names the shingle set, n is its size, sim its SimHash, keys are its band keys."""
     import xxhash
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps, sizes, keys = [], [], []
+            fps, sizes, sims, keys = [], [], [], []
             for text in part.column("text").to_pylist():
                 found = shingles(text)
                 fps.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                sims.append(simhash_pivots.fingerprint_of(found))
                 keys.append(band_keys(found))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("text_key"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fp", "n", "keys"])
+                 pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "fp", "n", "sim", "keys"])
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_keys()[1].alias("text_key"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, "doc_id long, text_key long, fp long, n long, keys array<long>")
+    return cut.mapInArrow(run, "doc_id long, text_key long, fp long, n long, sim long, keys array<long>")
+
+
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) by SimHash: sets of one fingerprint with the smallest of them, and that with those of linked fingerprints."""
+    each = stored(sets.select("sim", "fp", "n").distinct(), "set-simhashes")
+    one = each.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("one")).select(F.col("sim").alias("_s"), F.col("one.fp").alias("a"), F.col("one.n").alias("n_a"))
+    same = each.join(one, F.col("sim") == F.col("_s")).select("a", "n_a", F.col("fp").alias("b"), F.col("n").alias("n_b"))
+    near = simhash_pivots.links(each.select(F.col("sim").alias("fp")).distinct()).withColumnsRenamed({"a": "sim_a", "b": "sim_b"})
+    two = one.select(F.col("_s").alias("_t"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
+    near = near.join(one, F.col("sim_a") == F.col("_s")).join(two, F.col("sim_b") == F.col("_t")).select("a", "n_a", "b", "n_b")
+    return _ordered(same.unionByName(near).where(_sized("n_a", "n_b")))
 
 
 def members(sets: DataFrame) -> DataFrame:
@@ -210,9 +226,11 @@ def crowd_links(of: DataFrame, edges: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what is alike among the sets of `sets`, a stored table."""
     shared = stored(members(sets), "shared-keys")
-    of = stored(found_sets(docs, sets, shared.select("fp").distinct()), "shingles")
+    near = stored(simhash_pairs(sets), "simhash-pairs")
+    wanted = shared.select("fp").unionByName(near.select(F.col("a").alias("fp"))).unionByName(near.select(F.col("b").alias("fp"))).distinct()
+    of = stored(found_sets(docs, sets, wanted), "shingles")
     stars = shared.where(_sized("n", "centre_n")).select(F.col("centre").alias("a"), F.col("fp").alias("b"))
-    first = stored(verified(_ordered(stars), of), "links-drawn")
+    first = stored(verified(_ordered(near.unionByName(stars)), of), "links-drawn")
     parted = _of_root(shared.select("key", "fp", "n"), contract(first))
     sizes = parted.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     apart = sizes.where("least <> most").select(F.col("key").alias("_k"), "members")
@@ -230,7 +248,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) of every row of `docs`."""
     sets = stored(shingle_sets(docs), "shingle-sets")
-    return with_components(sets.drop("keys", "n"), lambda _: links(docs, sets))
+    return with_components(sets.drop("keys", "n", "sim"), lambda _: links(docs, sets))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -72,11 +72,17 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * count > n).view(">u8")[0])
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     rows = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return rows.sum(axis=0, dtype=np.int64)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Fingerprint of shingles by their hashes, unsigned."""
+    count = sum((_bit_counts(hashes[at:at + 65_536]) for at in range(0, len(hashes), 65_536)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * count > len(hashes)).view(">u8")[0])
+
+
 def fingerprints(docs: DataFrame, more: list[Column] | None = None) -> DataFrame:
     """(doc_id, fp, and the longs in `more`): fp is the fingerprint as a signed long."""
     more = more or []
