@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewatch.llm import shingle_pairs
+from tidewatch.llm import shingle_pairs, simhash_pivots
 
 
 def plain_set(text):
@@ -128,3 +128,24 @@ def test_simhash_makes_candidates_of_its_own(spark):
         assert (frozenset((one, two)) in linked) == (bits <= 3)
         assert frozenset((one, short)) not in linked and frozenset((two, short)) not in linked
     assert linked
+
+
+def test_later_links_contract_their_own_roots_alone(spark, monkeypatch):
+    """No later contraction sees the first links again, and few edges need no rounds: each round was jobs on the driver's books."""
+    rng = np.random.default_rng(9)
+    pairs = [tuple(map(int, rng.choice(300, 2, replace=False))) for _ in range(200)]
+    first, more = (spark.createDataFrame([(min(p), max(p)) for p in part], "a long, b long") for part in (pairs[:180], pairs[180:]))
+    rows = lambda df: {r.node: r.root for r in df.collect()}
+    names, stored = [], simhash_pivots.stored
+    monkeypatch.setattr(simhash_pivots, "stored", lambda df, name: names.append(name) or stored(df, name))
+    want, roots = rows(simhash_pivots.contract(first.unionByName(more))), simhash_pivots.contract(first)
+    assert names == ["edges-0", "parents-1"] * 2
+    seen, contract = [], simhash_pivots.contract
+    monkeypatch.setattr(simhash_pivots, "contract", lambda edges: seen.append(edges.count()) or contract(edges))
+    for local in (1 << 16, 30, 0):  # at once, at the end, never
+        monkeypatch.setattr(simhash_pivots, "LOCAL", local)
+        assert rows(contract(first.unionByName(more))) == want
+        assert rows(simhash_pivots.contract_more(roots, more)) == want
+    assert seen == [20] * 3
+    assert rows(simhash_pivots.contract_more(roots, more.where("false"))) == rows(roots)
+    assert rows(simhash_pivots.contract_more(contract(more.where("false")), first)) == rows(roots)

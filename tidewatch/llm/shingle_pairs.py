@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import simhash_pivots
 from tidewatch.llm.common import stored
-from tidewatch.llm.simhash_pivots import contract, keep_one, row_keys, with_components
+from tidewatch.llm.simhash_pivots import contract, contract_more, keep_one, row_keys, with_components
 
 SHINGLE = 5
 SEED = 42
@@ -205,50 +205,59 @@ def _of_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
-def crowd_links(of: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that, with `edges`, connect what is alike among the sets of `of` (fp, found), by their prefixes."""
+def crowd_links(of: DataFrame, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`edges` and their `roots` with what connects whatever is alike among the sets of `of` (fp, found), by their prefixes."""
     tokens = stored(prefixes(of), "crowd-prefixes")
     found = edges
     for turn in range(ROUNDS):
-        parted = stored(_of_root(tokens, contract(found)), f"crowd-parts-{turn}")
+        parted = stored(_of_root(tokens, roots), f"crowd-parts-{turn}")
         drawn = F.struct(F.xxhash64("fp", F.lit(turn)).alias("by"), "fp", "n", "at", "root")
         centre = parted.where("short").groupBy("token").agg(F.min(drawn).alias("c")).select(
             F.col("token").alias("_t"), F.col("c.fp").alias("a"), F.col("c.n").alias("n_c"), F.col("c.at").alias("at_c"), F.col("c.root").alias("root_c"))
         star = parted.withColumnsRenamed({"n": "n_m", "at": "at_m"}).join(centre, (F.col("token") == F.col("_t")) & (F.col("root") != F.col("root_c")) & _enough("_m", "_c"))
-        found = found.unionByName(stored(verified(_ordered(star.select("a", F.col("fp").alias("b"))), of), f"crowd-links-{turn}"))
-    parted = stored(_of_root(tokens, contract(found)), "crowd-parts")
+        more = stored(verified(_ordered(star.select("a", F.col("fp").alias("b"))), of), f"crowd-links-{turn}")
+        found, roots = found.unionByName(more), contract_more(roots, more)
+    parted = stored(_of_root(tokens, roots), "crowd-parts")
     one = parted.where("short").select("token", F.col("fp").alias("a"), F.col("root").alias("ra"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
     two = parted.select("token", F.col("fp").alias("b"), F.col("root").alias("rb"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
     rest = one.join(two, "token").where((F.col("n_a") <= F.col("n_b")) & (F.col("ra") != F.col("rb")) & _enough("_a", "_b")).select("a", "b")
-    return found.unionByName(stored(verified(_ordered(rest), of), "crowd-links-rest"))
+    more = stored(verified(_ordered(rest), of), "crowd-links-rest")
+    return found.unionByName(more), contract_more(roots, more)
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what is alike among the sets of `sets`, a stored table."""
+def linked(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that connect what is alike among the sets of `sets`, a stored table, and the (node, root) of their components."""
     shared = stored(members(sets), "shared-keys")
     near = stored(simhash_pairs(sets), "simhash-pairs")
     wanted = shared.select("fp").unionByName(near.select(F.col("a").alias("fp"))).unionByName(near.select(F.col("b").alias("fp"))).distinct()
     of = stored(found_sets(docs, sets, wanted), "shingles")
     stars = shared.where(_sized("n", "centre_n")).select(F.col("centre").alias("a"), F.col("fp").alias("b"))
     first = stored(verified(_ordered(near.unionByName(stars)), of), "links-drawn")
-    parted = _of_root(shared.select("key", "fp", "n"), contract(first))
+    roots = contract(first)
+    parted = _of_root(shared.select("key", "fp", "n"), roots)
     sizes = parted.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most"))
     apart = sizes.where("least <> most").select(F.col("key").alias("_k"), "members")
     parted = stored(parted.join(apart, F.col("key") == F.col("_k")).drop("_k"), "shared-parts")
     small = parted.where(F.col("members") <= SMALL).drop("members")
     one, two = (small.withColumnsRenamed({c: f"{c}_{side}" for c in ("fp", "n", "root")}) for side in "ab")
     pairs = one.join(two, "key").where((F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & _sized("n_a", "n_b"))
-    found = first.unionByName(stored(verified(_ordered(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))), of), "links-small"))
+    more = stored(verified(_ordered(pairs.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))), of), "links-small")
+    found, roots = first.unionByName(more), contract_more(roots, more)
     crowd = parted.where(F.col("members") > SMALL).select("fp").distinct()
     if crowd.isEmpty():
-        return found
-    return crowd_links(stored(of.join(crowd, "fp", "left_semi"), "crowd-sets"), found)
+        return found, roots
+    return crowd_links(stored(of.join(crowd, "fp", "left_semi"), "crowd-sets"), found, roots)
+
+
+def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges of `linked`."""
+    return linked(docs, sets)[0]
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp, root, component_id) of every row of `docs`."""
     sets = stored(shingle_sets(docs), "shingle-sets")
-    return with_components(sets.drop("keys", "n", "sim"), lambda _: links(docs, sets))
+    return with_components(sets.drop("keys", "n", "sim"), lambda _: linked(docs, sets)[1])
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ spanning forest leaves it. A crowded key is cut into chunks, and every pair of c
 group of its own, so no task holds an unbounded group and no pair is lost.
 
 Components come from the forest edges by repeated contraction to the smallest neighbour;
-each round is written to the shared folder, which cuts lineage.
+each round is written to the shared folder, which cuts lineage. Once few edges (LOCAL) are
+left, one task joins them, so the driver is spared rounds of near-empty tasks.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links
 like any other; a null id never names a component unless all its ids are null; repeated
@@ -40,6 +41,8 @@ BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 PIVOTS = 32
 #: Members of a key above which it is cut into chunks of this size.
 CHUNK = 1024
+#: Edges (16 bytes each) that one task joins by itself, whatever the corpus.
+LOCAL = 1 << 16
 
 
 def pivot_table(n: int = PIVOTS) -> np.ndarray:
@@ -207,23 +210,45 @@ def links(distinct: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFram
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def _grown(edges: DataFrame) -> DataFrame:
+    """(node, up) for every node of `edges`, at most LOCAL of them: one task joins them, up is the root."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([p.column(c).to_numpy() for c in ("a", "b")], axis=1) for p in parts]
+        nodes, number = np.unique(np.concatenate(ends) if ends else np.zeros((0, 2), np.int64), return_inverse=True)
+        forest = _Forest(len(nodes))
+        for x, y in number.reshape(-1, 2).tolist():
+            forest.join(x, y)
+        roots = nodes[np.array([forest.find(x) for x in range(len(nodes))], np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "up"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, up long")
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): root is the smallest node of its component."""
-    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges-0")
+    """(node, root) for every node of `edges` (a, b): root is the smallest node of its component.
+
+    Rounds go on while more than LOCAL edges are left; the rest is joined at once.
+    """
+    edges = stored(edges.where("a <> b").select("a", "b"), "edges-0")
     nodes = None
     turn = 0
-    while not edges.isEmpty():
+    while n := edges.count():
         turn += 1
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        jump = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))  # parents have parents
-        up = stored(up.join(jump, "up").select("node", F.col("upper").alias("up")), f"parents-{turn}")
+        if n <= LOCAL:
+            up = stored(_grown(edges), f"parents-{turn}")
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+            jump = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))  # parents have parents
+            up = stored(up.join(jump, "up").select("node", F.col("upper").alias("up")), f"parents-{turn}")
         if nodes is None:
             nodes = up.select("node", F.col("up").alias("root"))
         else:
             step = up.select(F.col("node").alias("root"), "up")
-            nodes = nodes.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        nodes = stored(nodes, f"roots-{turn}")
+            nodes = stored(nodes.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"roots-{turn}")
+        if n <= LOCAL:
+            break
         one = up.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         two = up.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = edges.join(one, "a").join(two, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
@@ -233,15 +258,27 @@ def contract(edges: DataFrame) -> DataFrame:
     return nodes
 
 
+def contract_more(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`roots`, as `contract` gives them, after the further `edges`, a stored table: only the roots that these touch meet again."""
+    if edges.isEmpty():
+        return roots
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    moved = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    step = contract(moved).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    grown = roots.join(step, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    first = step.join(roots.select("node"), F.col("_node") == F.col("node"), "left_anti").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
+    return stored(grown.unionByName(first), "roots")
+
+
 def components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """`prints`, a stored table of (doc_id, fp), with root (a fingerprint) and component_id."""
-    return with_components(prints, lambda distinct: links(distinct, bits))
+    return with_components(prints, lambda distinct: contract(links(distinct, bits)))
 
 
-def with_components(prints: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`prints` with the components of the edges that `edges` finds among its distinct fp."""
+def with_components(prints: DataFrame, rooted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`prints` with the components whose (node, root) `rooted` finds among its distinct fp."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = contract(edges(distinct))
+    roots = rooted(distinct)
     grown = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grown.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
