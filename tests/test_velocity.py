@@ -122,3 +122,22 @@ def test_last_n_keeps_the_newest(spark):
     for c in {r[3] for r in rows}:
         mine = sorted((r for r in rows if r[3] == c), key=lambda r: (r[2], r[0]))[-3:]
         assert {r["transaction_id"] for r in got if r["customer_id"] == c} == {r[1] for r in mine}
+
+
+def test_queries_of_priors_sweep_their_own_entities_alone(spark, monkeypatch):
+    """The marks of other entities and of windows grew the sweep's tasks without being read."""
+    from tidewatch.plans import load_all
+    from tidewatch.plans.registry import QUERIES
+
+    load_all()
+    seen, find_hot = [], V.find_hot
+    monkeypatch.setattr(V, "find_hot", lambda base, entities, rows: seen.append(entities) or find_hot(base, entities, rows))
+    for name, own in (("win_prev_ratio", {"cust"}), ("win_gap_log", {"cust", "card"}), ("win_prior_mean", {"cust", "card"})):
+        seen.clear()
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(seen) == 2 and all({e.name for e in es} == own and not any(e.windows for e in es) for es in seen)
+    df = make(spark)[1]
+    own = C.priors_alone(["cust_prev_amount_ratio", "card_amount_mean_prior"])
+    for features in (lambda e: V.velocity_features(df, e), lambda e: V.history_features(df, entities=e)):
+        some = {tuple(r) for r in features(own).select("transaction_id", *C.prior_feature_names(own)).collect()}
+        assert some == {tuple(r) for r in features(C.CATALOGUE).select("transaction_id", *C.prior_feature_names(own)).collect()}
