@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
+from tidewatch import config as C
 from tidewatch.functions import expr as X
 from tidewatch.functions.frame import attach_row
+from tidewatch.operators import skew
 from tidewatch.session import stored
 
+#: Rows of all sides that a task of `placed_months` gets on average.
+ROWS_PER_TASK = 500_000
+
 
 def with_buckets(txn: DataFrame, bucket_months: int = 12) -> DataFrame:
     m = X.month_idx("event_time").cast("long")
@@ -23,20 +28,40 @@ def bucket_fractions(bucketed: DataFrame) -> DataFrame:
     return attach_row(ranked, n).select("bucket_idx", (F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).alias("month_frac"))
 
 
-def entity_month(txn: DataFrame, id_col: str, partner: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def entity_month(txn: DataFrame, id_col: str, partner: str) -> DataFrame:
     """Per (entity, month): rows, amount, exact distinct partners, frauds.
 
     Partners are made distinct by grouping, so a busy entity's month is spread
-    over (entity, month, partner) before it comes together. `keys` stand beside
-    the entity, such as its type.
+    over (entity, month, partner) before it comes together.
     """
-    pair = txn.groupBy(*keys, id_col, "month_idx", partner).agg(
+    pair = txn.groupBy(id_col, "month_idx", partner).agg(
         F.count(F.lit(1)).alias("n"), F.sum(X.money_units("amount")).alias("a"), F.sum("is_fraud").alias("f"))
-    return pair.groupBy(*keys, id_col, "month_idx").agg(
+    return pair.groupBy(id_col, "month_idx").agg(
         F.sum("n").alias("n"), (F.sum("a") / F.lit(10000.0)).alias("amt"), F.count(partner).alias("extra"),
         F.sum("f").alias("fraud"))
 
 
+def placed_months(txn: DataFrame, ids: list[str], partner: str, hot_rows: int = C.HOT_ROWS) -> DataFrame:
+    """`entity_month` for many entities at once: rows are shuffled once, by entity, as `history` wants them placed.
+
+    A counting pass finds entities with more than `hot_rows` rows; theirs are dealt by
+    partner and month first, and only what that leaves of a month comes together.
+    """
+    seen = Observation()
+    hot = skew.find_hot(txn.select(*ids).observe(seen, F.count(F.lit(1)).alias("n")), ids, hot_rows)
+    tasks = max(txn.sparkSession.sparkContext.defaultParallelism, -(-seen.get["n"] // ROWS_PER_TASK))
+    rows, share = txn.select(*ids, "month_idx", partner, X.money_units("amount").alias("a"), F.col("is_fraud").alias("f")), []
+    if hot is not None:
+        dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(partner, "month_idx"), F.lit(tasks)))
+        rows, share = skew.join_null_safe(rows, hot, ids).withColumn("_share", dealt), ["_share"]
+    pair = rows.repartition(tasks, *ids, *share).groupBy(*ids, *share, "month_idx", partner).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("f").alias("fraud"))
+    months = pair.groupBy(*ids, *share, "month_idx").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.count(partner).alias("extra"), F.sum("fraud").alias("fraud"))
+    if hot is not None:
+        months = months.repartition(tasks, *ids).groupBy(*ids, "month_idx").agg(*[F.sum(c).alias(c) for c in ("n", "a", "extra", "fraud")])
+    return months.select(*ids, "month_idx", "n", (F.col("a") / F.lit(10000.0)).alias("amt"), "extra", "fraud")
+
+
 def entity_month_sketches(txn: DataFrame, id_col: str, partner: str, lg_k: int = 12) -> DataFrame:
     """`entity_month` with a sketch of the partners in place of their exact number: one grouping, no row per partner.
 
@@ -130,8 +155,7 @@ def snapshot_nodes(txn: DataFrame, bucket_months: int = 12, exclusive: bool = Fa
     ends = F.explode(F.array(*[F.struct(F.lit(kind).alias("node_type"), F.col(idc).alias("node_id"), F.col(partner).alias("partner"))
                                for kind, (idc, partner) in NODE_TYPES.items()])).alias("e")
     sides = b.select("month_idx", "amount", "is_fraud", ends).select("e.*", "month_idx", "amount", "is_fraud")
-    kinds = ("node_type",)
-    hist = history(entity_month(sides, "node_id", "partner", kinds), "node_id", exclusive, kinds)
+    hist = history(placed_months(sides, ["node_type", "node_id"], "partner"), "node_id", exclusive, ("node_type",))
     served = serve(hist, ["node_type", "node_id"], buckets, bucket_months, before_first=True)
     return node_features(served)
 
